@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, words_of
+from .shared import materialize
 
 K = 3
 #: Everything but letters, digits and non-ASCII characters, after A-Z is lower-cased.
@@ -47,19 +47,14 @@ def lowered(text: Column) -> Column:
     return F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")), F.lit("\u0130"), F.lit("\u00e9")))
 
 
-def gram(words: Column, i: Column) -> tuple[Column, Column]:
-    own = [words[i + j] for j in range(K)]
-    return F.xxhash64(*own), F.concat_ws(" ", *own)
+def spaced(text: Column) -> Column:
+    """The words of a text, lower-cased and set apart by one blank."""
+    return F.trim(F.regexp_replace(lowered(text), GAPS, " "))
 
 
-def grams(words: Column) -> Column:
-    """The rolling k-grams as (h, g, p)."""
-
-    def one(i: Column) -> Column:
-        h, g = gram(words, i)
-        return F.struct(h.alias("h"), g.alias("g"), i.alias("p"))
-
-    return F.when(F.size(words) >= K, F.transform(F.sequence(F.lit(0), F.size(words) - K), one)).otherwise(F.array().cast("array<struct<h:bigint,g:string,p:int>>"))
+def grams(t: Column) -> Column:
+    """All rolling K-grams of a spaced text, in order, as text: each word is consumed once and the K - 1 after it are looked ahead at."""
+    return F.regexp_extract_all(t, F.lit(f"(?=([^ ]++(?: [^ ]++){{{K - 1}}}))[^ ]++ "), F.lit(1))
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, bool, str]]) -> DataFrame:
@@ -69,20 +64,21 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, bool, str]])
         words = [w for w in re.split(GAPS, text.lower()) if w]
         if len(words) < K:
             raise ValueError(f"a template needs {K} words: {text!r}")
-        rows += [(t, label, phrase, len(words) - K + 1, q, words[q : q + K]) for q in range(len(words) - K + 1)]
-    df = spark.createDataFrame(rows, "t int, label string, phrase boolean, n int, q int, w array<string>")
-    h, g = gram(F.col("w"), F.lit(0))
-    return df.select("t", "label", "phrase", "n", "q", h.alias("h"), g.alias("g"))
+        rows += [(t, label, phrase, len(words) - K + 1, q, " ".join(words[q : q + K])) for q in range(len(words) - K + 1)]
+    df = spark.createDataFrame(rows, "t int, label string, phrase boolean, n int, q int, g string")
+    return df.withColumn("h", F.xxhash64("g"))
 
 
 def _votes(docs: DataFrame, templates, phrases, id_col: str, text_col: str) -> DataFrame:
     """A row for each hit, and one with t = -1 for each document."""
     spark = docs.sparkSession
     known = template_grams(spark, [(label, True, x) for label, x in phrases] + [(label, False, x) for label, x in templates])
-    own = spark.createDataFrame([(-1, None, None, 0, 0, 0, "")], known.schema)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words_of(lowered(F.col(text_col)), GAPS).alias("w"))
-    each = texts.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit("").alias("g"), F.lit(-1).alias("p"))), grams(F.col("w"))).alias("x"))
-    flat = each.select("row", "doc_id", "n_words", F.inline("x"))
+    own = spark.createDataFrame([(-1, None, None, 0, 0, "")], "t int, label string, phrase boolean, n int, q int, g string").withColumn("h", F.xxhash64("g"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("x"))
+    n_words = F.when(F.col("x") == "", 0).otherwise(F.length("x") - F.length(F.replace("x", F.lit(" "), F.lit(""))) + 1).cast("long")
+    # An empty gram comes before the others: it meets the template of t = -1 and carries the document along.
+    each = texts.select("row", "doc_id", n_words.alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), grams(F.col("x")))).alias("p", "g"))
+    flat = each.select("row", "doc_id", "n_words", (F.col("p") - 1).alias("p"), "g", F.xxhash64("g").alias("h"))
     return flat.join(F.broadcast(known.unionByName(own).withColumnsRenamed({"h": "__h", "g": "__g"})), (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g"))).drop("h", "g", "__h", "__g")
 
 

@@ -24,15 +24,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, words_of
+from .shared import BLANKS, materialize
 
 GRID = 100
 #: name, counted, per: a document is rejected if counted / per is above the cutoff.
 RULES = (("symbols", "n_symbols", "n_words"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("capitals", "n_capitals", "word_chars"), ("shouts", "n_shouts", "n_words"))
 
 
-def repeated_words(words: str) -> Column:
-    """Words that lie in a three-word window found at least twice in the array column ``words`` of (h, i) window hashes, sorted."""
+def repeated_at(words: str) -> Column:
+    """The sorted places of windows found at least twice; ``words`` is a sorted array of (h, i), window hash and place."""
     same = lambda x, j: F.coalesce(F.get(words, j - 1).getField("h") == x.h, F.lit(False)) | F.coalesce(F.get(words, j + 1).getField("h") == x.h, F.lit(False))
     return F.sort_array(F.transform(F.filter(words, same), lambda x: x.i))
 
@@ -46,23 +46,26 @@ def covered(at: Column) -> Column:
 def text_stats(docs: DataFrame, *keep: Column, text_col: str = "text") -> DataFrame:
     """The kept columns and the counts that the rules use, all long."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = docs.select(*keep, text.alias("__t"), words_of(text).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__l"))
+    one = docs.select(*keep, text.alias("__t"), F.trim(F.regexp_replace(text, BLANKS, " ")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__l"))
     names = [c for c in one.columns if not c.startswith("__")]
     w = F.col("__w")
-    hashes = F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     two = one.select(
         *names,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.when(w == "", 0).otherwise(F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
+        F.length(F.replace(w, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("__t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count("__t", F.lit("!")).cast("long").alias("n_shouts"),
-        hashes.alias("__h"),
+        F.regexp_extract_all(w, F.lit("(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1)).alias("__g"),
     )
-    three = two.withColumn("__at", repeated_words("__h")).drop("__h")
-    return three.withColumn("n_repeat_words", covered(F.col("__at")).cast("long")).drop("__at")
+    # Only a text that repeats a window has its windows sorted.
+    some = F.size(F.array_distinct("__g")) < F.size("__g")
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    three = two.withColumn("__h", F.when(some, F.sort_array(F.transform("__g", lambda g, i: F.struct(F.xxhash64(g).alias("h"), i.alias("i"))))).otherwise(none)).drop("__g")
+    four = three.withColumn("__at", repeated_at("__h")).drop("__h")
+    return four.withColumn("n_repeat_words", covered(F.col("__at")).cast("long")).drop("__at")
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:

@@ -58,13 +58,17 @@ def instances(text: str) -> tuple[np.ndarray, np.ndarray]:
     return pair & (BUCKETS - 1), pair >> 18
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 200, l2: float = 1e-4, min_docs: int = 4) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the noisy-or's log loss over documents; bags holds the instances of each."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 2.5, l2: float = 0.3, min_docs: int = 5, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the noisy-or's log loss over documents; bags holds the instances of each.
+
+    l1 and l2 are in documents: a word whose documents pull by less than l1 of them in all keeps weight 0. Words in more than most_docs of the sample say nothing about a
+    sentence and are left out.
+    """
     w, base = np.zeros(BUCKETS), float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 0, 1)) if len(y) else 0.0
     if not len(y) or base in (0.0, 1.0):
         return w, -50.0 if base == 0 else float(np.log(1e6))
     seen = np.bincount(np.concatenate([np.unique(f) for f, _ in bags]), minlength=BUCKETS)
-    names = np.flatnonzero(seen >= min_docs)
+    names = np.flatnonzero((seen >= min_docs) & (seen <= max(most_docs * len(bags), min_docs)))
     place = np.full(BUCKETS, -1)
     place[names] = np.arange(len(names))
     n_sent = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
@@ -83,10 +87,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nda
         q = np.exp(log_q)
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0) * scale
         g = pull[doc] * p
-        grad, gb = np.bincount(feat, weights=g[sent], minlength=len(v)) + l2 * v / len(v) ** 0.5, g.sum()
+        grad, gb = np.bincount(feat, weights=g[sent], minlength=len(v)) + l2 / len(bags) * v, g.sum()
+        side = np.where(v != 0, np.sign(v), -np.sign(grad))
+        grad = np.where((v == 0) & (np.abs(grad) <= l1 / len(bags)), 0.0, grad + l1 / len(bags) * side)
         m, s2, mb, sb = 0.9 * m + 0.1 * grad, 0.99 * s2 + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb**2
         rate = 0.15 / (1 + 3 * t / rounds)
-        v -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s2 / (1 - 0.99**t)) + 1e-5)
+        step = v - rate * (m / (1 - 0.9**t)) / (np.sqrt(s2 / (1 - 0.99**t)) + 1e-6)
+        v = np.where((side != 0) & (np.sign(step) != side), 0.0, step)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(sb / (1 - 0.99**t)) + 1e-8)
     w[names] = v
     return w, b

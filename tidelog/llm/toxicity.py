@@ -32,14 +32,18 @@ EDGES = string.punctuation + "«»“”‘’¿¡"
 KEEP = 300_000
 
 
+def _bucket(name: str) -> int:
+    return 1 + zlib.crc32(name.encode()) % (BUCKETS - 1)
+
+
 class Buckets(dict):
-    """word to bucket; words that were met are kept, up to KEEP."""
+    """word to the buckets of itself and of its first four letters, packed (0: none); inflected forms share the second. Words that were met are kept, up to KEEP."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEEP:
             self.clear()
         core = word.strip(EDGES)
-        got = zlib.crc32(core.encode()) % BUCKETS if core else -1
+        got = (_bucket(core) << 18 | (_bucket(core[:4] + "^") if len(core) > 4 else 0)) if core else 0
         self[word] = got
         return got
 
@@ -48,20 +52,20 @@ _buckets = Buckets()
 
 
 def instances(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, index of its sentence); sentences without words are not counted."""
+    """(buckets of the words, index of their sentence), each pair once; sentences without words are not counted."""
     parts = [w for w in map(str.split, STOPS.split(text.lower())) if w]
     flat = [w for p in parts for w in p]
     ids = np.fromiter(map(_buckets.__getitem__, flat), np.int64, len(flat))
     sentence = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-    known = ids >= 0
-    pair = np.unique(sentence[known] << 18 | ids[known])
+    pair = np.concatenate([sentence << 18 | ids >> 18, sentence << 18 | ids & (BUCKETS - 1)])
+    pair = np.unique(pair[pair & (BUCKETS - 1) > 0])
     return pair & (BUCKETS - 1), pair >> 18
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 2.5, l2: float = 0.3, min_docs: int = 5, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 0.13, l2: float = 0.3, min_docs: int = 3, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
     """(weights, bias) that minimise the noisy-or's log loss over documents; bags holds the instances of each.
 
-    l1 and l2 are in documents: a word whose documents pull by less than l1 of them in all keeps weight 0. Words in more than most_docs of the sample say nothing about a
+    Penalties are in documents: a word that pulls by less than l1 times the root of the positive documents keeps weight 0. Words in more than most_docs of the sample say nothing about a
     sentence and are left out.
     """
     w, base = np.zeros(BUCKETS), float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 0, 1)) if len(y) else 0.0
@@ -80,6 +84,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nda
     v, b = np.zeros(len(names)), float(np.log(base / n_sent.mean()))
     m, s2, mb, sb = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     scale = weight / weight.sum()
+    l1 = min(3.0, l1 * max(1.0, float(y.sum())) ** 0.5)
     for t in range(1, rounds + 1):
         z = b + np.bincount(sent, weights=v[feat], minlength=len(doc))
         p = 1 / (1 + np.exp(-z))

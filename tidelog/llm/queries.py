@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, license_scan, quality_rules, source_mix, toxicity, url_filter
+from . import bpe, brown_lm, jaccard_join, kn_quality, license_scan, quality_rules, source_mix, toxicity, url_filter
 from .shared import table
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -28,6 +28,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.kn_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decoded = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
@@ -47,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_brown_lm, op2_toxicity, op3_license_scan, op7_bpe, op8_url_filter, op9_source_mix, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_brown_lm, op2_toxicity, op3_license_scan, op5_kn_quality, op6_jaccard_join, op7_bpe, op8_url_filter, op9_source_mix, op10_quality_rules)}
 
 _OP8 = """
 WITH u AS (
@@ -101,4 +109,22 @@ WITH sized AS (
 SELECT c.doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES: dict[str, str] = {"op8_url_filter": _OP8, "op9_source_mix": _OP9}
+_OP6 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN []::VARCHAR[] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) END) AS s FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS b FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.b
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_url_filter": _OP8, "op9_source_mix": _OP9}

@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEEP = 300_000
-CHUNK = 40_000
-BLOCK_CHARS = 4_000_000
+KEEP = 200_000
+CHUNK = 30_000
+BLOCK_CHARS = 2_000_000
 
 
 class Vocabulary:

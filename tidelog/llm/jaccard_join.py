@@ -213,7 +213,7 @@ def near(n: Column, o: Column, num: int, den: int) -> Column:
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each document, where documents link at den * intersection >= num * union."""
+    """doc_id, key (of id and text), n_shingles and component_id of each document, where documents link at den * intersection >= num * union."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
     told = materialize(digests(own, k), "join-digests")
@@ -240,4 +240,19 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")
     of_root = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of_set.join(of_root, "root").select("s", "component_id")
-    return told.where("sketch IS NULL").join(named, "s", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return told.where("sketch IS NULL").join(named, "s", "left").select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each component: the one with the smallest id (documents without words all stay, as do components without an id)."""
+    grouped = joined.where("n_shingles > 0 AND component_id IS NOT NULL")
+    stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("key"))
+    gone = materialize(grouped.select("key").distinct().join(stay, "key", "left_anti"), "join-gone")
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    left = docs.withColumn("__key", key).join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti")
+    again = materialize(joined.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key")), "join-again")
+    if again.isEmpty():
+        return left.drop("__key")
+    # Rows that repeat both id and text: one of each stays.
+    alone = left.join(again, "__key", "left_anti")
+    return alone.unionByName(left.join(again, "__key").dropDuplicates(["__key"])).drop("__key")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, jaccard_join, kn_quality, license_scan, quality_rules, source_mix, toxicity, url_filter
+from . import anisotropic_ann, bpe, brown_lm, jaccard_join, kn_quality, license_scan, quality_rules, source_mix, toxicity, url_filter
 from .shared import table
 
 #: The rules that op8 judges by: host, path, verdict.
@@ -28,12 +28,16 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.kn_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85)
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85).drop("key")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_brown_lm, op2_toxicity, op3_license_scan, op5_kn_quality, op6_jaccard_join, op7_bpe, op8_url_filter, op9_source_mix, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_brown_lm, op2_toxicity, op3_license_scan, op4_anisotropic_ann, op5_kn_quality, op6_jaccard_join, op7_bpe, op8_url_filter, op9_source_mix, op10_quality_rules)}
 
 _OP8 = """
 WITH u AS (

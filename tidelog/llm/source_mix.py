@@ -75,14 +75,32 @@ def thresholds(sized: DataFrame, goals: DataFrame, copies: int) -> DataFrame:
     return state
 
 
+def mix_plan(sized: DataFrame, *, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(s, source_size, target, cuts) of each source, from rows of (source, size, h); cuts holds each copy's threshold."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = materialize(targets(sizes, weights, share, most), "mix-goals")
+    cuts = thresholds(sized, goals, max(1, int(-(-most // 1)))).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("copy", "threshold"))).alias("cuts"))
+    return materialize(goals.join(cuts, goals.source.eqNullSafe(cuts.s), "left").drop("s"), "mix-plan").withColumnRenamed("source", "s")
+
+
+def copies_of(h: str, size: str) -> Column:
+    """How often a row is taken, next to its source's plan."""
+    return F.when(F.col(size) > 0, F.coalesce(F.size(F.filter("cuts", lambda c: F.col(h) < c.threshold)), F.lit(0))).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken, h."""
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash30(id_col, text_col).alias("h")), "mix-sized")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = materialize(targets(sizes, weights, share, most), "mix-goals")
-    depth = max(1, int(-(-most // 1)))
-    cuts = thresholds(sized, goals, depth).groupBy("s").agg(F.sort_array(F.collect_list(F.struct("copy", "threshold"))).alias("cuts"))
-    plan = materialize(goals.join(cuts, goals.source.eqNullSafe(cuts.s), "left").drop("s"), "mix-plan").withColumnRenamed("source", "s")
-    copies = F.coalesce(F.size(F.filter("cuts", lambda c: F.col("h") < c.threshold)), F.lit(0))
-    met = sized.join(plan, sized.source.eqNullSafe(plan.s)).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
+    plan = mix_plan(sized, weights=weights, share=share, most=most)
+    met = sized.join(plan, sized.source.eqNullSafe(plan.s)).withColumn("copies", copies_of("h", "size"))
     return met.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "h")
+
+
+def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.0, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns; only the plan is joined to the texts."""
+    own = docs.withColumn("__h", hash30(id_col, text_col)).withColumn("__n", n_words(F.col(text_col)))
+    sized = materialize(own.select(F.col(source_col).alias("source"), F.col("__n").alias("size"), F.col("__h").alias("h")), "mix-sized")
+    plan = mix_plan(sized, weights=weights, share=share, most=most).select(F.col("s").alias("__s"), "cuts")
+    met = own.join(plan, own[source_col].eqNullSafe(plan["__s"])).withColumn("__c", copies_of("__h", "__n"))
+    again = F.explode(F.sequence(F.lit(1), F.col("__c")))
+    return met.where("__c > 0").withColumn("__i", again).select(*docs.columns)

@@ -183,3 +183,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_wo
     model = train(docs, labels, fit_rows=fit_rows, fit_words=fit_words, usable=~held_out(F.col("doc_id"), fold_mod))
     scored = score_toxicity(docs, model, threshold=threshold)
     return scored.select("doc_id", held_out(F.col("doc_id"), fold_mod).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
+
+
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; a map without a shuffle."""
+    weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(np.append(weights, 0.0))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x in batch.column(at):
+                feat, sent = instances(x.as_py() or "")
+                z = bias + np.bincount(sent, weights=shared.value[feat], minlength=int(sent[-1]) + 1 if len(sent) else 1)
+                good.append(bool(-np.expm1(-np.logaddexp(0, z).sum()) < threshold))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,11 +1,14 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries of the reference's operators, and the SQL that states them."""
 
 from __future__ import annotations
 
+from . import aggregates, joins, scalars, scans, sequences  # noqa: F401  (they register)
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

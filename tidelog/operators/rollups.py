@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def votes(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key (ties: the smallest), its count, and whether there was a conflict."""
     counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    return counted.groupBy(key).agg(F.max_by(value, F.struct("n", F.lit(0))).alias("__any"), F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("__b"), (F.count("*") > 1).alias("conflict")).select(key, F.col("__b.v").alias(value), (-F.col("__b.m")).alias("n"), "conflict")
+    return counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("__b"), (F.count("*") > 1).alias("conflict")).select(key, F.col("__b.v").alias(value), (-F.col("__b.m")).alias("n"), "conflict")
 
 
 def most_common(df: DataFrame, by: str, value: str, k: int) -> DataFrame:

@@ -8,8 +8,9 @@ smaller of their two m; that loses no link. Verification compares the shingles o
 
 Frequencies come from one counter sketch of fixed size over all documents. Sets are named by 64 bits of a digest; equal
 sets are one node, so exact copies are never paired. A first round verifies each prefix token's sets against one of
-them (a star, linear in the group); only sets that the first round leaves in different components are paired in the
-second, so a group of near copies doesn't cost the square of its size.
+them (a star of its own for each token, linear in the group); only sets that the first round leaves in different
+components are paired in the second, so a group of near copies doesn't cost the square of its size. Sets that share a
+token are paired only if enough of both comes after it.
 
 Scale: four maps over the texts; prefixes (about 1 - t of the shingles) are shuffled once by token. Texts are moved for
 sets with a shared prefix token only, found again by a bitmap of bounded size whose false positives a join removes, and
@@ -33,10 +34,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import materialize, total_chars
 
-#: Counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
-SKETCH = 1 << 18
+#: The least and most counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
+SKETCH = (1 << 16, 1 << 24)
 MOST_BITS = 1 << 26
 MOST_MATCHES = 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -76,8 +77,21 @@ def set_id(h: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True) if len(h) else None
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) & (SKETCH - 1)
+def sketch_size(chars: int) -> int:
+    """A counter for every 32 shingles or so, so that passages shared by a few dozen documents stand out, up to a fixed size."""
+    size = SKETCH[0]
+    while size < SKETCH[1] and 32 * 6 * size < chars:
+        size <<= 1
+    return size
+
+
+def slot(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (size - 1)
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: eighths of an octave."""
+    return np.minimum(np.round(8 * np.log2(counts.astype(np.float64) + 1)), 255).astype(np.uint8)
 
 
 def prefix(h: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -88,18 +102,18 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int)
     """
     n = len(h)
     need = -(-num * n // den)
-    f = counts[slot(h)]
+    f = counts[slot(h, len(counts))]
     order = np.lexsort((h, f))
-    load = np.cumsum(np.maximum(f[order] - usual, 0.0))
+    load = np.cumsum(np.maximum(2.0 ** (f[order] / 8.0) - usual, 0.0))
     best = min(range(1, min(MOST_MATCHES, need) + 1), key=lambda m: (load[n - need + m - 1] * (1 + 20 / m**2), m))
     return h[order[: n - need + best]], best
 
 
-def digests(docs: DataFrame, k: int) -> DataFrame:
+def digests(docs: DataFrame, k: int, size: int) -> DataFrame:
     """doc_id, key, n, s for each document, and sketch (its other columns null) once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(size, dtype=np.uint32)
         names = ["doc_id", "key", "n", "s", "sketch"]
         kind = None
         for batch in batches:
@@ -109,9 +123,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                 h = shingle_hashes(x.as_py(), k)
                 sizes.append(len(h))
                 ids.append(set_id(h))
-                counts += np.bincount(slot(h), minlength=SKETCH) if len(h) > 20_000 else 0
-                if 0 < len(h) <= 20_000:
-                    np.add.at(counts, slot(h), 1)
+                np.add.at(counts, slot(h, size), np.uint32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
         if kind is not None and counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([zstandard.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())], names=names)
@@ -120,25 +132,26 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, s bigint, sketch binary")
 
 
-def merged(sketches: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches: added up in 64 groups, then on the driver (64 MB at most)."""
+def merged(sketches: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' sketches: added up in 8 groups, then on the driver, a group at a time."""
 
     def run(rows: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH, dtype=np.uint64)
+        total = np.zeros(size, dtype=np.uint32)
         for x in rows.column("sketch"):
             total += np.frombuffer(zstandard.decompress(x.as_py()), "<u4")
         return pa.table({"sketch": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(SKETCH)
-    for r in sketches.groupBy(F.pmod(F.xxhash64("sketch"), F.lit(64)).alias("g")).applyInArrow(run, "sketch binary").toLocalIterator():
-        out += np.frombuffer(r["sketch"], "<u8")
+    out = np.zeros(size, dtype=np.uint32)
+    for r in sketches.groupBy(F.pmod(F.xxhash64("sketch"), F.lit(8)).alias("g")).applyInArrow(run, "sketch binary").toLocalIterator():
+        out += np.frombuffer(r["sketch"], "<u4")
     return out
 
 
 def tokens(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(token, s, n, m): a row for each token of each set's prefix; within a task a set is given out once."""
-    usual = float(np.median(counts)) + 3 * float(np.median(counts)) ** 0.5
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float64))
+    """(token, s, n, m, i): a row for each token of each set's prefix, i its place; within a task a set is given out once."""
+    middle = float(np.median(counts))
+    usual = middle + 3 * middle**0.5 + 1
+    shared = docs.sparkSession.sparkContext.broadcast(ranked(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,9 +171,9 @@ def tokens(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> D
                 matches.append(m)
             if parts:
                 each = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts), pa.int64()), *(pa.array(np.repeat(np.array(x), each), t) for x, t in ((ids, pa.int64()), (sizes, pa.int32()), (matches, pa.int32())))], names=["token", "s", "n", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts), pa.int64()), *(pa.array(np.repeat(np.array(x), each), t) for x, t in ((ids, pa.int64()), (sizes, pa.int32()), (matches, pa.int32()))), pa.array(np.concatenate([np.arange(x) for x in each]), pa.int32())], names=["token", "s", "n", "m", "i"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, s bigint, n int, m int")
+    return docs.select("text").mapInArrow(run, "token bigint, s bigint, n int, m int, i int")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -207,34 +220,39 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return pairs.select("a", "b").join(zb, "b").join(za, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near(n: Column, o: Column, num: int, den: int) -> Column:
-    """Sets of these sizes can reach the threshold."""
-    return F.least(n, o).cast("long") * den >= F.greatest(n, o).cast("long") * num
+def near(x: str, y: str, num: int, den: int) -> Column:
+    """Sets of these sizes can reach the threshold, and this token can be one of the first m that they share: enough of both sets comes after it. x and y are suffixes of n, m and i."""
+    n, o, m = F.col(f"n{x}").cast("long"), F.col(f"n{y}").cast("long"), F.least(f"m{x}", f"m{y}")
+    need = F.ceil((n + o) * num / F.lit(num + den) - 1e-9) - m + 1
+    return (F.least(n, o) * den >= F.greatest(n, o) * num) & (n - F.col(f"i{x}") >= need) & (o - F.col(f"i{y}") >= need)
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of id and text), n_shingles and component_id of each document, where documents link at den * intersection >= num * union."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    told = materialize(digests(own, k), "join-digests")
+    size = sketch_size(total_chars(docs, text_col))
+    told = materialize(digests(own, k, size), "join-digests")
     sets = told.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"))
-    counts = merged(told.where("sketch IS NOT NULL").select("sketch"))
+    counts = merged(told.where("sketch IS NOT NULL").select("sketch"), size)
     by_token = Window.partitionBy("token")
-    prefixes = tokens(own, counts, k, num, den).repartition("token").groupBy("token", "s", "n", "m").agg(F.count("*").alias("__c")).drop("__c")
-    shared = prefixes.withColumn("sets", F.count("*").over(by_token)).withColumn("pivot", F.min(F.struct("s", "n")).over(by_token)).where("sets > 1")
-    shared = materialize(shared.select("token", "s", "n", "m", F.col("pivot.s").alias("p"), F.col("pivot.n").alias("pn")), "join-shared")
+    prefixes = tokens(own, counts, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
+    # Each token has a pivot of its own, so that a group of near copies is compared in many random stars.
+    pivot = F.min(F.struct(F.xxhash64("token", "s"), "s", "n", "m", "i")).over(by_token)
+    shared = prefixes.withColumn("sets", F.count("*").over(by_token)).withColumn("p", pivot).where("sets > 1")
+    shared = materialize(shared.select("token", "s", "n", "m", "i", F.col("p.s").alias("sp"), F.col("p.n").alias("np"), F.col("p.m").alias("mp"), F.col("p.i").alias("ip")), "join-shared")
     texts = materialize(fetched(own, shared.select("s").distinct().join(sets, "s").select("key", "s"), k), "join-texts")
-    star = materialize(shared.where((F.col("s") != F.col("p")) & near(F.col("n"), F.col("pn"), num, den)).select(F.col("p").alias("a"), F.col("s").alias("b")).distinct(), "join-star")
+    star = shared.where((F.col("s") != F.col("sp")) & near("", "p", num, den)).select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b"))
+    star = materialize(star.distinct(), "join-star")
     first = materialize(linked(star, texts, k, num, den), "join-first")
     root = components(first)
-    named = shared.drop("p", "pn").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    named = shared.drop("sp", "np", "mp", "ip").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     apart = named.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi")
     apart = materialize(apart, "join-apart")
-    x, y = apart.select("token", *[F.col(c).alias(f"{c}x") for c in ("s", "n", "m", "root")]), apart.select("token", *[F.col(c).alias(f"{c}y") for c in ("s", "n", "m", "root")])
-    met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near(F.col("nx"), F.col("ny"), num, den))
+    x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root")]) for end in "xy")
+    met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
     pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = linked(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, num, den)
+    second = linked(pairs.join(star, ["a", "b"], "left_anti"), texts, k, num, den)
     edges = materialize(second.unionByName(first), "join-edges")
     roots = components(edges)
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")

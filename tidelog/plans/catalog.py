@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, joins, scalars, scans, sequences  # noqa: F401  (they register)
+from . import aggregates, flows, joins, scalars, scans, sequences  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 

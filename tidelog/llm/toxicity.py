@@ -65,14 +65,15 @@ def instances(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 0.13, l2: float = 0.3, min_docs: int = 3, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
     """(weights, bias) that minimise the noisy-or's log loss over documents; bags holds the instances of each.
 
-    Penalties are in documents: a word that pulls by less than l1 times the root of the positive documents keeps weight 0. Words in more than most_docs of the sample say nothing about a
+    Penalties are in documents: a word that pulls by less than l1 times the root of the positive documents keeps weight 0. Words in more than most_docs of the negative documents say nothing about a
     sentence and are left out.
     """
     w, base = np.zeros(BUCKETS), float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 0, 1)) if len(y) else 0.0
     if not len(y) or base in (0.0, 1.0):
         return w, -50.0 if base == 0 else float(np.log(1e6))
     seen = np.bincount(np.concatenate([np.unique(f) for f, _ in bags]), minlength=BUCKETS)
-    names = np.flatnonzero((seen >= min_docs) & (seen <= max(most_docs * len(bags), min_docs)))
+    clean = np.bincount(np.concatenate([np.unique(f) for (f, _), t in zip(bags, y, strict=True) if not t]), minlength=BUCKETS)
+    names = np.flatnonzero((seen >= min_docs) & (clean <= most_docs * (y == 0).sum()))
     place = np.full(BUCKETS, -1)
     place[names] = np.arange(len(names))
     n_sent = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])

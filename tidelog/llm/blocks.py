@@ -17,9 +17,13 @@ from .shared import total_chars
 
 
 def blocked(docs: DataFrame, *keep: Column, text_col: str = "text", chars: int = 16_000_000) -> DataFrame:
-    """The kept columns, text (null: empty) and block, of about ``chars`` characters. The block depends on a row's place in the input, so that repeated rows are spread too."""
+    """The kept columns, text (null: empty) and block, of about ``chars`` characters.
+
+    The block follows from the row's content alone, so that it is the same whenever the row is computed; copies of a
+    text under different ids are spread.
+    """
     n = max(1, -(-total_chars(docs, text_col) // chars))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(*keep, F.col(text_col)), F.lit(n)).cast("int")
     return docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), block.alias("block"))
 
 

@@ -179,7 +179,7 @@ def offending(text: str, z: np.ndarray, threshold: float) -> list[dict]:
     return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_words: int = 8_000_000, threshold: float = 0.3, fold_mod: int = 4) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_words: int = 5_000_000, threshold: float = 0.3, fold_mod: int = 4) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, offending; learned from documents that are not held out."""
     model = train(docs, labels, fit_rows=fit_rows, fit_words=fit_words, usable=~held_out(F.col("doc_id"), fold_mod))
     scored = score_toxicity(docs, model, threshold=threshold)

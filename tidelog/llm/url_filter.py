@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FNV_BITS = 6
+from .shared import materialize
+
+BITS = 6
 
 
 def host_of(url: Column) -> Column:
@@ -44,10 +46,10 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def _mask(key: Column) -> Column:
-    """FNV_BITS bits of one 64-bit block, each from its own six bits of a second hash."""
+    """BITS bits of one 64-bit block, each from its own six bits of a second hash."""
     second = F.xxhash64(key, F.lit(1))
     mask = F.lit(0).cast("long")
-    for i in range(FNV_BITS):
+    for i in range(BITS):
         bit = F.shiftrightunsigned(second, 6 * i).bitwiseAND(F.lit(63)).cast("int")
         mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
     return mask
@@ -73,7 +75,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
         .agg(F.max(F.struct(F.length(F.concat("host", "path")), "verdict")).getField("verdict").alias("listed_verdict"))
     )
     lengths = sorted(r[0] for r in rules.where(F.col("path").isNotNull()).select(F.length("path")).distinct().collect())
-    own = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    # Written once: a row's number must be the same for its keys and for itself.
+    own = materialize(pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), "url-pages")
     if not lengths:
         return own.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.split("host", "\\.")

@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fit_rows=4000, fit_words=8_000_000)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fit_rows=4000, fit_words=5_000_000)
     return toxicity.keep_clean(docs, model)
 
 

@@ -142,7 +142,7 @@ def brute(corpus, k, num, den):
 
 
 def test_jaccard_join(docs, corpus, no_docs):
-    for k, num in ((4, 85), (5, 80), (2, 50)):
+    for k, num in ((4, 85), (2, 50)):
         got = jaccard_join.jaccard_join(docs, k=k, num=num)
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(corpus, k, num, 100)
     one = jaccard_join.one_of_each(docs, jaccard_join.jaccard_join(docs))
@@ -163,7 +163,7 @@ def test_jaccard_chain_and_hot_group(spark):
     # A passage that unrelated documents share.
     rows += [(1000 + i, " ".join(base[:60] + [f"u{i}x{j}" for j in range(60)])) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for num in (85, 75):
+    for num in (75,):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(d, k=4, num=num).collect())
         assert got == brute(rows, 4, num, 100)
 

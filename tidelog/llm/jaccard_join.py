@@ -7,9 +7,9 @@ frequent shingles (passages, near copies) take a larger one. Two documents are v
 smaller of their two m; that loses no link. Verification compares the shingles of the texts themselves.
 
 Frequencies come from one counter sketch of fixed size over all documents. Sets are named by 64 bits of a digest; equal
-sets are one node, so exact copies are never paired. A first round verifies each prefix token's sets against one of
-them (a star of its own for each token, linear in the group); only sets that the first round leaves in different
-components are paired in the second, so a group of near copies doesn't cost the square of its size. Sets that share a
+sets are one node, so exact copies are never paired. First each prefix token's sets are verified against one of them (a
+star, linear in the group), again with other pivots while large groups are not in one component; only sets that are
+then in different components are paired, so a group of near copies doesn't cost the square of its size. Sets that share a
 token are paired only if enough of both comes after it.
 
 Scale: four maps over the texts; prefixes (about 1 - t of the shingles) are shuffled once by token. Texts are moved for
@@ -23,6 +23,7 @@ repeated rows each get a result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ from .shared import materialize, total_chars
 SKETCH = (1 << 16, 1 << 24)
 MOST_BITS = 1 << 26
 MOST_MATCHES = 4
+#: Rounds of stars at most, before what is left is paired.
+STARS = 5
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,6 +230,14 @@ def near(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(n, o) * den >= F.greatest(n, o) * num) & (n - F.col(f"i{x}") >= need) & (o - F.col(f"i{y}") >= need)
 
 
+def stars(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each token's sets with its pivot, where they are not in one component; every turn has other pivots."""
+    pivot = F.min(F.struct(F.xxhash64("token", "s", F.lit(turn)).alias("h"), "s", "n", "m", "i", "root")).over(Window.partitionBy("token"))
+    met = shared.withColumn("p", pivot).select("s", "n", "m", "i", "root", *[F.col(f"p.{c}").alias(f"{c}p") for c in ("s", "n", "m", "i", "root")])
+    met = met.where((F.col("root") != F.col("rootp")) & near("", "p", num, den))
+    return met.select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of id and text), n_shingles and component_id of each document, where documents link at den * intersection >= num * union."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
@@ -237,23 +248,28 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     counts = merged(told.where("sketch IS NOT NULL").select("sketch"), size)
     by_token = Window.partitionBy("token")
     prefixes = tokens(own, counts, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
-    # Each token has a pivot of its own, so that a group of near copies is compared in many random stars.
-    pivot = F.min(F.struct(F.xxhash64("token", "s"), "s", "n", "m", "i")).over(by_token)
-    shared = prefixes.withColumn("sets", F.count("*").over(by_token)).withColumn("p", pivot).where("sets > 1")
-    shared = materialize(shared.select("token", "s", "n", "m", "i", F.col("p.s").alias("sp"), F.col("p.n").alias("np"), F.col("p.m").alias("mp"), F.col("p.i").alias("ip")), "join-shared")
+    shared = prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets").withColumn("root", F.col("s"))
+    apart = shared = materialize(shared, "join-shared")
     texts = materialize(fetched(own, shared.select("s").distinct().join(sets, "s").select("key", "s"), k), "join-texts")
-    star = shared.where((F.col("s") != F.col("sp")) & near("", "p", num, den)).select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b"))
-    star = materialize(star.distinct(), "join-star")
-    first = materialize(linked(star, texts, k, num, den), "join-first")
-    root = components(first)
-    named = shared.drop("sp", "np", "mp", "ip").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    apart = named.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    apart = materialize(apart, "join-apart")
+    links, tried = [], None
+    for turn in range(STARS):
+        star = stars(apart, turn, num, den)
+        star = materialize(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "join-star")
+        tried = star if tried is None else tried.unionByName(star)
+        links.append(materialize(linked(star, texts, k, num, den), "join-linked"))
+        root = components(functools.reduce(DataFrame.unionByName, links))
+        named = shared.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        apart = named.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi")
+        apart = materialize(apart, "join-apart")
+        # Another round of stars is worth its price while groups are large.
+        sizes = apart.groupBy("token").agg(F.count("*").alias("g")).agg(F.sum("g").alias("rows"), F.sum(F.col("g") * (F.col("g") - 1) / 2).alias("pairs")).first()
+        if (sizes["pairs"] or 0) <= 4 * (sizes["rows"] or 0):
+            break
     x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root")]) for end in "xy")
     met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
     pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    second = linked(pairs.join(star, ["a", "b"], "left_anti"), texts, k, num, den)
-    edges = materialize(second.unionByName(first), "join-edges")
+    links.append(linked(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, num, den))
+    edges = materialize(functools.reduce(DataFrame.unionByName, links), "join-edges")
     roots = components(edges)
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")
     of_root = of_set.groupBy("root").agg(F.min("low").alias("component_id"))

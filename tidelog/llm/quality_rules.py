@@ -96,10 +96,10 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float, delta: f
     group = Window.partitionBy("stratum", "rule")
     above = group.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
     tested = counts.select("stratum", "rule", F.col("bin").alias("cutoff"), F.sum("g").over(group).cast("double").alias("n_good"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(f"k_{name}") for c, name in (("g", "good"), ("b", "bad"))])
-    strata = counts.agg(F.countDistinct("stratum").alias("n_strata"))  # one row
+    strata = counts.agg(F.countDistinct("stratum")).first()[0]
     each = risk / len(RULES)
-    worth = tested.crossJoin(F.broadcast(strata)).where((F.col("k_bad") > F.col("k_good")) & (F.col("k_good") <= F.col("n_good") * each))
-    sure = worth.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), each)).where(F.col("tail") <= F.lit(delta) / (F.col("n_strata") * len(RULES) * (GRID + 1)))
+    worth = tested.where((F.col("k_bad") > F.col("k_good")) & (F.col("k_good") <= F.col("n_good") * each))
+    sure = worth.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), each)).where(F.col("tail") <= delta / (max(1, strata) * len(RULES) * (GRID + 1)))
     best = sure.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n_good", "k_good", "k_bad", "tail")).alias("best"))
     return best.select("stratum", "rule", "best.*")
 

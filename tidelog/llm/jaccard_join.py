@@ -39,6 +39,7 @@ from .shared import materialize, total_chars
 
 #: The least and most counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
 SKETCH = (1 << 16, 1 << 24)
+SLICES = 16
 MOST_BITS = 1 << 26
 MOST_MATCHES = 4
 #: Rounds of stars at most, before what is left is paired.
@@ -97,7 +98,7 @@ def ranked(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(8 * np.log2(counts.astype(np.float64) + 1)), 255).astype(np.uint8)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int) -> tuple[np.ndarray, int]:
+def prefix(h: np.ndarray, ranks: np.ndarray, usual: float, num: int, den: int) -> tuple[np.ndarray, int]:
     """(the tokens of a set's prefix, how many must be shared).
 
     The estimated cost of m matches is what the prefix's posting lists hold beyond the sketch's usual load, for
@@ -105,7 +106,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int)
     """
     n = len(h)
     need = -(-num * n // den)
-    f = counts[slot(h, len(counts))]
+    f = ranks[slot(h, len(ranks))]
     order = np.lexsort((h, f))
     load = np.cumsum(np.maximum(2.0 ** (f[order] / 8.0) - usual, 0.0))
     best = min(range(1, min(MOST_MATCHES, need) + 1), key=lambda m: (load[n - need + m - 1] * (1 + 20 / m**2), m))
@@ -113,7 +114,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int)
 
 
 def digests(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """doc_id, key, n, s for each document, and sketch (its other columns null) once for each task."""
+    """doc_id, key, n, s for each document; and for each task its sketch in slices, n their number (other columns null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.uint32)
@@ -129,32 +130,33 @@ def digests(docs: DataFrame, k: int, size: int) -> DataFrame:
                 np.add.at(counts, slot(h, size), np.uint32(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
         if kind is not None and counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([zstandard.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())], names=names)
+            parts = [zstandard.compress(x.astype("<u4").tobytes(), 1) for x in np.split(counts, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, s bigint, sketch binary")
 
 
 def merged(sketches: DataFrame, size: int) -> np.ndarray:
-    """The sum of all tasks' sketches: added up in 8 groups, then on the driver, a group at a time."""
+    """The ranks of the summed sketches of all tasks: slices are added up on the executors, a byte for each counter comes to the driver."""
 
     def run(rows: pa.Table) -> pa.Table:
-        total = np.zeros(size, dtype=np.uint32)
+        total = np.zeros(size // SLICES, dtype=np.uint32)
         for x in rows.column("sketch"):
             total += np.frombuffer(zstandard.decompress(x.as_py()), "<u4")
-        return pa.table({"sketch": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"n": rows.column("n").slice(0, 1), "ranks": pa.array([ranked(total).tobytes()], pa.binary())})
 
-    out = np.zeros(size, dtype=np.uint32)
-    for r in sketches.groupBy(F.pmod(F.xxhash64("sketch"), F.lit(8)).alias("g")).applyInArrow(run, "sketch binary").toLocalIterator():
-        out += np.frombuffer(r["sketch"], "<u4")
-    return out
+    out = np.zeros((SLICES, size // SLICES), dtype=np.uint8)
+    for r in sketches.select("n", "sketch").groupBy("n").applyInArrow(run, "n int, ranks binary").collect():
+        out[r["n"]] = np.frombuffer(r["ranks"], np.uint8)
+    return out.ravel()
 
 
-def tokens(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def tokens(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """(token, s, n, m, i): a row for each token of each set's prefix, i its place; within a task a set is given out once."""
-    middle = float(np.median(counts))
+    middle = 2.0 ** (float(np.median(ranks)) / 8) - 1
     usual = middle + 3 * middle**0.5 + 1
-    shared = docs.sparkSession.sparkContext.broadcast(ranked(counts))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -245,9 +247,9 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     size = sketch_size(total_chars(docs, text_col))
     told = materialize(digests(own, k, size), "join-digests")
     sets = told.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"))
-    counts = merged(told.where("sketch IS NOT NULL").select("sketch"), size)
+    ranks = merged(told.where("sketch IS NOT NULL"), size)
     by_token = Window.partitionBy("token")
-    prefixes = tokens(own, counts, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
+    prefixes = tokens(own, ranks, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
     shared = prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets").withColumn("root", F.col("s"))
     apart = shared = materialize(shared, "join-shared")
     texts = materialize(fetched(own, shared.select("s").distinct().join(sets, "s").select("key", "s"), k), "join-texts")

@@ -74,10 +74,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nda
     seen = np.bincount(np.concatenate([np.unique(f) for f, _ in bags]), minlength=BUCKETS)
     clean = np.bincount(np.concatenate([np.unique(f) for (f, _), t in zip(bags, y, strict=True) if not t]), minlength=BUCKETS)
     names = np.flatnonzero((seen >= min_docs) & (clean <= most_docs * (y == 0).sum()))
-    place = np.full(BUCKETS, -1)
-    place[names] = np.arange(len(names))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
     n_sent = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
-    start = np.concatenate([[0], np.cumsum(n_sent)])
+    start = np.concatenate([[0], np.cumsum(n_sent)]).astype(np.int32)
     feat = np.concatenate([place[f] for f, _ in bags])
     sent = np.concatenate([s + a for (_, s), a in zip(bags, start, strict=False)])
     feat, sent = feat[feat >= 0], sent[feat >= 0]
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int, fit_words: int,
     rows = sorted(bagged.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], dtype=np.float64)
     share = {c: counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    return fit([(np.frombuffer(r["f"], "<u4").astype(np.int64), np.frombuffer(r["s"], "<u4").astype(np.int64)) for r in rows], y, np.array([share[int(c)] for c in y]))
+    return fit([(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["s"], "<i4")) for r in rows], y, np.array([share[int(c)] for c in y]))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,13 @@ def met(docs: DataFrame, answers: DataFrame, run: Callable[[int, pa.Table, pa.Ta
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, rows, own: run(key[0].as_py(), rows, own), schema)
 
 
-def texts(rows: pa.Table, name: str = "text", at_once: int = 500) -> Iterator[tuple[pa.Table, list[str]]]:
-    """Slices of a table with their texts, so that few texts are Python objects at a time."""
-    for at in range(0, rows.num_rows, at_once):
-        part = rows.slice(at, at_once)
+def texts(rows: pa.Table, name: str = "text", most: int = 1_000_000) -> Iterator[tuple[pa.Table, list[str]]]:
+    """Slices of a table with their texts, of about ``most`` bytes of text (a longer text is a slice of its own), so that little is unpacked at a time."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(rows.column(name)), 0).to_numpy())
+    at = 0
+    while at < rows.num_rows:
+        base = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, base + most, side="right")))
+        part = rows.slice(at, end - at)
         yield part, part.column(name).to_pylist()
+        at = end

@@ -49,7 +49,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = got = xxhash.xxh64_intdigest(word)
         return got

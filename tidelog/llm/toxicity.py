@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 STOPS = re.compile(r"[.!?\n。！？]+")
 EDGES = string.punctuation + "«»“”‘’¿¡"
-KEEP = 300_000
+KEEP = 150_000
 
 
 def _bucket(name: str) -> int:

@@ -39,6 +39,15 @@ def test_brown_base_score(docs, corpus, no_docs):
     assert brown_lm.brown_scores(no_docs, F.lit(False)).collect() == []
 
 
+def test_brown_places_words_outside_the_head(spark):
+    # Rare words of two kinds that end alike: their own neighbours, not their ending, must tell them apart.
+    train = [f"{f} {n}{i}xyz" for i in range(40) for f, n in (("the", "n"), ("we", "v"), ("the", "n"), ("we", "v"))] + ["the cat", "we eat"] * 20
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(1000, "the n7xyz", True), (1001, "the v7xyz", True)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, held boolean")
+    got = {r.doc_id: r for r in brown_lm.brown_scores(d, F.col("held"), classes=6, head=4, tails=1).collect()}
+    assert got[1000].base_score == got[1001].base_score and got[1000].score > got[1001].score + 0.5
+
+
 def test_exchange_finds_classes():
     # Two kinds of words that alternate: the exchange must tell them apart.
     rng = np.random.default_rng(1)

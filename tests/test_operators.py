@@ -102,6 +102,25 @@ def test_visibility(spark):
     assert see(cutoff_visit=F.lit(None).cast("int"), cutoff_ts=F.lit("2024-01-02"), inclusive=False) == [True, False, True, True, True]
 
 
+def test_visibility_until_and_unplaced_rows(spark):
+    rows = [(0, "2024-01-01"), (2, "2024-01-05"), (-1, None), (None, None), (1, None), (None, "2024-01-02")]
+    df = spark.createDataFrame(rows, "v int, t string")
+    no_visit, no_ts = F.lit(None).cast("int"), F.lit(None).cast("string")
+    see = lambda **k: [r[0] for r in df.select(ev.visible(F.col("v"), F.col("t"), **({"cutoff_visit": no_visit, "cutoff_ts": no_ts} | k))).collect()]
+    assert see(until_visit=F.lit(2)) == [True, False, False, False, True, False]
+    assert see(until_ts=F.lit("2024-01-02")) == [True, False, False, False, False, True]
+    assert see(until_visit=no_visit, until_ts=no_ts) == [True] * 6
+    assert see(until_visit=F.lit(1), until_ts=F.lit("2024-01-05")) == [True, False, False, False, False, False]
+    # As the reference: without a time the visit decides, and an unknown one is hidden.
+    assert see(cutoff_visit=F.lit(1), cutoff_ts=F.lit("2024-01-05"), unplaced=False) == [True, True, False, False, True, True]
+
+
+def test_seen_so_far(spark):
+    rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, "b"), (4, 7, "c"), (5, 8, "a"), (6, None, "a"), (7, 7, None)]
+    got = ev.seen_so_far(spark.createDataFrame(rows, "e int, u int, t string"), "u", "t").collect()
+    assert sorted((r.e, r.n) for r in got) == [(1, 3), (2, 1), (3, 3), (4, 4), (5, 1)]
+
+
 def test_packing_against_a_loop(spark):
     rng = random.Random(6)
     rows = [(e, v, p, "x" * rng.randrange(60)) for e in range(6) for v in range(4) for p in range(5)]

@@ -124,11 +124,26 @@ def batches(df: DataFrame, by: str, order: Sequence[Column], size: int) -> DataF
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("int"))
 
 
-def visible(visit: Column, ts: Column, *, cutoff_visit: Column, cutoff_ts: Column, inclusive: bool = True) -> Column:
-    """May a row be seen at a cutoff? By time where both times are known, else by visit; unknown visits (null, -1) are hidden under a visit cutoff."""
+def visible(visit: Column, ts: Column, *, cutoff_visit: Column, cutoff_ts: Column, inclusive: bool = True, until_visit: Column | None = None, until_ts: Column | None = None, unplaced: bool = True) -> Column:
+    """May a row be seen at a cutoff? By time where both times are known, else by visit; unknown visits (null, -1) are hidden under a visit cutoff.
+
+    ``until_visit`` (exclusive) and ``until_ts`` (inclusive) limit further, where they are not null, and hide rows whose
+    visit or time is unknown. A row without time and visit is shown if both cutoffs are set, unless ``unplaced`` is off.
+    """
     by_ts = ts <= cutoff_ts if inclusive else ts < cutoff_ts
     by_visit = F.coalesce((visit <= cutoff_visit if inclusive else visit < cutoff_visit) & (visit >= 0), F.lit(False))
-    return F.when(cutoff_ts.isNotNull() & ts.isNotNull(), by_ts).when(cutoff_visit.isNotNull(), F.when(cutoff_ts.isNotNull() & visit.isNull(), F.lit(True)).otherwise(by_visit)).otherwise(F.lit(True))
+    unknown = cutoff_ts.isNotNull() & visit.isNull() & F.lit(unplaced)
+    seen = F.when(cutoff_ts.isNotNull() & ts.isNotNull(), by_ts).when(cutoff_visit.isNotNull(), F.when(unknown, F.lit(True)).otherwise(by_visit)).otherwise(F.lit(True))
+    if until_visit is not None:
+        seen &= until_visit.isNull() | F.coalesce((visit < until_visit) & (visit >= 0), F.lit(False))
+    if until_ts is not None:
+        seen &= until_ts.isNull() | F.coalesce(ts <= until_ts, F.lit(False))
+    return seen
+
+
+def seen_so_far(df: DataFrame, by: str, ts: str, name: str = "n") -> DataFrame:
+    """For each row how many rows of its entity are no later, itself and its peers included; rows without entity or time have none and are left out."""
+    return df.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).withColumn(name, F.count("*").over(Window.partitionBy(by).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def pack(df: DataFrame, by: str, group: str, order: str, text: str, budget: int) -> DataFrame:

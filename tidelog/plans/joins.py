@@ -72,4 +72,5 @@ q("VEC3_prefetch_search", "SELECT query_id, vec_id FROM (SELECT *, row_number()
 q("VEC4_lexical", "SELECT conv_id, turn, score FROM (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thing') THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS r FROM conversations) WHERE r <= 2", lambda t: vectors.lexical(t.conversations.select("conv_id").distinct().withColumn("needle", F.lit("Thing")), t.conversations, entity="conv_id", query_id="conv_id", needle="needle", text="text", position="turn", k=2).select("conv_id", "turn", "score"))
 q("VEC6_retrieval_gate", "SELECT conv_id, turn, role = 'user' AND regexp_matches(text, '[?？]') AS retrieve FROM conversations", lambda t: t.conversations.select("conv_id", "turn", ((c("role") == "user") & c("text").rlike("[?？]")).alias("retrieve")))
 q("FLT15_visibility", "SELECT a.event_id AS point_id, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 50 = 0) a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1", lambda t: t.events.where("event_id % 50 = 0").select("user_id", c("event_id").alias("point_id"), c("ts").alias("at")).join(t.events, "user_id").where(ev.visible(F.lit(None).cast("int"), c("ts"), cutoff_visit=F.lit(1), cutoff_ts=c("at"))).groupBy("point_id").agg(F.count("*").alias("n")))
+q("FLT15_visibility_all", "SELECT a.event_id AS point_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1", lambda t: ev.seen_so_far(t.events, "user_id", "ts").groupBy(c("event_id").alias("point_id")).agg(F.sum("n").alias("n")))
 q("FLT16_whitelist", "SELECT event_id FROM events WHERE user_id = 3 OR (user_id = 5 AND event_id % 2 = 0)", lambda t: t.events.join(t.spark.createDataFrame([(3, None), (5, 0)], "user_id bigint, parity bigint"), "user_id").where(c("parity").isNull() | (c("event_id") % 2 == c("parity"))).select("event_id"))

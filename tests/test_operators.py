@@ -121,6 +121,15 @@ def test_seen_so_far(spark):
     assert sorted((r.e, r.n) for r in got) == [(1, 3), (2, 1), (3, 3), (4, 4), (5, 1)]
 
 
+def test_prior_visits_of_every_customer(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    rows = [(1, 10, "2024-01-01"), (2, 10, "2024-01-02"), (3, 11, "2024-01-05"), (4, 11, "2024-01-03"), (5, 11, "2024-01-04"), (6, None, "2024-01-01"), (7, None, "2024-01-02")]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.queries()["JOI14_prior_visits_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.o_orderkey, r.prior) for r in got) == [(2, 1), (3, 4), (3, 5), (5, 4)]
+
+
 def test_packing_against_a_loop(spark):
     rng = random.Random(6)
     rows = [(e, v, p, "x" * rng.randrange(60)) for e in range(6) for v in range(4) for p in range(5)]

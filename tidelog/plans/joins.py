@@ -45,6 +45,7 @@ def visits(t):
 
 
 q("JOI14_prior_visits", f"SELECT a.o_orderkey, b.o_orderkey AS prior FROM {VISITS} a JOIN {VISITS} b ON a.o_custkey = b.o_custkey AND b.i < a.i WHERE a.o_custkey % 10 = 0", lambda t: (lambda v: v.where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey", "i").join(v.select("o_custkey", c("o_orderkey").alias("prior"), c("i").alias("j")), "o_custkey").where("j < i").select("o_orderkey", "prior"))(visits(t)))
+q("JOI14_prior_visits_all", f"SELECT a.o_orderkey, b.o_orderkey AS prior FROM {VISITS} a JOIN {VISITS} b ON a.o_custkey = b.o_custkey AND b.i < a.i", lambda t: (lambda v: v.select("o_orderkey", "o_custkey", "i").join(v.select("o_custkey", c("o_orderkey").alias("prior"), c("i").alias("j")), "o_custkey").where("j < i").select("o_orderkey", "prior"))(visits(t)))
 q("JOI15_terminal_window", "SELECT e.event_id FROM events e JOIN (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) m USING (user_id) WHERE e.ts >= m.last - INTERVAL 48 HOUR AND e.ts <= m.last - INTERVAL 30 MINUTE", lambda t: t.events.join(t.events.groupBy("user_id").agg(F.max("ts").alias("last")), "user_id").where(times.hours_between(c("ts"), c("last")).between(0.5, 48)).select("event_id"))
 q("JOI16_point_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42", lambda t: t.orders.where("o_orderkey = 42").select("o_orderkey", "o_totalprice"))
 q("JOI17_cutoff_coordinates", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error') WHERE r = 1", lambda t: t.events.where("event_type = 'error'").groupBy("user_id").agg(F.min_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.ts"))

@@ -99,6 +99,12 @@ def vector_store(t: Tables):
     return t.spark.read.parquet(at).where("label < 3").groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
+@query("SRC13_vector_store_all", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def vector_store_all(t: Tables):
+    t.embeddings.write.partitionBy("label").parquet(at := t.scratch())
+    return t.spark.read.parquet(at).groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
+
+
 @query("SRC14_preview", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
 def preview(t: Tables):
     return t.customer.select("c_custkey", "c_name").orderBy("c_custkey").limit(5)

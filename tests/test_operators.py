@@ -130,6 +130,15 @@ def test_prior_visits_of_every_customer(spark, tmp_path):
     assert sorted((r.o_orderkey, r.prior) for r in got) == [(2, 1), (3, 4), (3, 5), (5, 4)]
 
 
+def test_panel_mapping_has_every_key(spark, tmp_path):
+    from tidelog.plans import catalog
+
+    rows = [(u, k) for u in range(9) for k in ("click", "click", "view")] + [(9, "view"), (9, "click")]
+    spark.createDataFrame(rows, "user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["AUX1_panel_mapping_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_type, r.user_id) for r in got) == [("click", u) for u in range(10)]
+
+
 def test_packing_against_a_loop(spark):
     rng = random.Random(6)
     rows = [(e, v, p, "x" * rng.randrange(60)) for e in range(6) for v in range(4) for p in range(5)]

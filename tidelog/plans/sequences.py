@@ -88,6 +88,7 @@ q("UDF5_errors_are_rows", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THE
 
 # ---- remaining helpers -------------------------------------------------------------------------------------------
 q("AUX1_panel_mapping", "SELECT event_type, list(DISTINCT user_id ORDER BY user_id)[1:3] AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1 GROUP BY 1", lambda t: ru.inverted(ru.votes(t.events, "user_id", "event_type"), "user_id", "event_type").select("event_type", F.slice("keys", 1, 3).alias("keys")))
+q("AUX1_panel_mapping_all", "SELECT event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1", lambda t: ru.votes(t.events, "user_id", "event_type").select("event_type", "user_id"))
 q("AUX6_missing_list", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels", lambda t: ev.pending(t.documents.select("doc_id"), t.labels, ["doc_id"]).distinct())
 q("AUX8_bucket_by_visit", "SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(user_id AS INTEGER) END AS visit, count(*) AS n FROM events GROUP BY 1", lambda t: t.events.select(F.coalesce(texts.suffix_number(F.when(c("event_id") % 3 == 0, "UNK").otherwise(F.concat(F.lit("V"), c("user_id").cast("string"))), "V"), F.lit(-1)).alias("visit")).groupBy("visit").agg(F.count("*").alias("n")))
 q("AUX9_notes_first", f"SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'signup', ts, event_id) AS INTEGER) AS seq FROM events", lambda t: ev.with_ordinal(t.events, ["user_id"], [c("event_type") != "signup", *order()]).select("event_id", "seq"))

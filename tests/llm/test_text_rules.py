@@ -71,6 +71,16 @@ def test_quality_binomial_and_cutoffs(spark, no_docs, labels):
     assert quality_rules.quality_rules(no_docs, labels).collect() == []
 
 
+def test_quality_rejects_at_production_parameters(spark):
+    words = "plain words stand here in a row and go on"
+    texts = [(i, " ".join(f"{w}{i}{j}" for j in range(8) for w in words.split()) + (" ## $$ %% ||" * 30 if i % 3 == 0 else ""), "en") for i in range(2250)]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    l = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
+    out = quality_rules.quality_rules(d, l)
+    assert {(r.doc_id % 3 == 0, r.kept) for r in out.collect()} == {(True, False), (False, True)}
+    assert abs(sum(quality_rules.SHARES.values()) - 1) < 1e-12 and set(quality_rules.SHARES) == {r[0] for r in quality_rules.RULES}
+
+
 def test_mix_targets_and_bounds(docs, corpus):
     rows = source_mix.mix_sources(docs).collect()
     assert len(rows) == len(corpus)

@@ -3,8 +3,10 @@
 Every document gets a few rates (symbols, repeated lines, repeated words, capitals, exclamation marks). For each
 stratum (language) and rule, every cutoff of a fixed grid is tested on the labelled holdout: with n trusted documents
 of which the cutoff would reject k, the exact binomial tail P(Bin(n, risk) <= k) bounds the chance that the true false
-rejection rate exceeds ``risk``. The tests share ``delta`` by Bonferroni over rules, strata and grid, and the rules
-share ``risk``, so that with confidence 1 - delta no stratum loses more than ``risk`` of its good documents. Among the
+rejection rate exceeds ``risk``. The cutoffs of a rule are nested, so they are tested in a fixed sequence from the
+loosest down, which the first failure ends, and need no share of ``delta`` each; rules and strata share it by Bonferroni.
+The rules share ``risk`` by ``SHARES``, so that with confidence 1 - delta no stratum loses more than ``risk`` of its good
+documents. A rule decides in a stratum from ln(delta / strata / rules) / ln(1 - its risk) trusted documents on. Among the
 certified cutoffs the lowest that rejects more bad than good labelled documents is taken; a rule without one rejects
 nothing in that stratum.
 
@@ -19,8 +21,6 @@ without labels no cutoff is certified and the base rule alone decides; extra col
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,9 @@ GRID = 100
 #: name, counted, per: a document is rejected if counted / per is above the cutoff.
 RULES = (("symbols", "n_symbols", "n_words"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"), ("capitals", "n_capitals", "word_chars"), ("shouts", "n_shouts", "n_words"))
 
+#: What part of the risk each rule may use: fixed beforehand, and 1 together.
+SHARES = {"symbols": 0.4, "dup_lines": 0.15, "repeats": 0.15, "capitals": 0.15, "shouts": 0.15}
+
 
 def repeated_at(words: str) -> Column:
     """The sorted places of windows found at least twice; ``words`` is a sorted array of (h, i), window hash and place."""
@@ -68,14 +71,15 @@ def text_stats(docs: DataFrame, *keep: Column, text_col: str = "text") -> DataFr
     return four.withColumn("n_repeat_words", covered(F.col("__at")).cast("long")).drop("__at")
 
 
-def binomial_tail(n: Column, k: Column, p: float) -> Column:
+def binomial_tail(n: Column, k: Column, p: float | Column) -> Column:
     """P(Bin(n, p) <= k), summed exactly term by term in logarithms."""
-    odds = math.log(p) - math.log1p(-p)
-    first = n * F.lit(math.log1p(-p))
+    p = p if isinstance(p, Column) else F.lit(p)
+    odds = F.log(p) - F.log1p(-p)
+    first = n * F.log1p(-p)
     zero = F.struct(first.alias("term"), first.alias("total"))
 
     def more(s: Column, i: Column) -> Column:
-        term = s.term + F.log(n - i + 1) - F.log(i) + F.lit(odds)
+        term = s.term + F.log(n - i + 1) - F.log(i) + odds
         high = F.greatest(s.total, term)
         return F.struct(term.alias("term"), (high + F.log(F.exp(s.total - high) + F.exp(term - high))).alias("total"))
 
@@ -97,9 +101,10 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float, delta: f
     above = group.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
     tested = counts.select("stratum", "rule", F.col("bin").alias("cutoff"), F.sum("g").over(group).cast("double").alias("n_good"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(f"k_{name}") for c, name in (("g", "good"), ("b", "bad"))])
     strata = counts.agg(F.countDistinct("stratum")).first()[0]
-    each = risk / len(RULES)
+    each = F.element_at(F.create_map(*[F.lit(x) for name, _, _ in RULES for x in (name, risk * SHARES[name])]), F.col("rule"))
     worth = tested.where((F.col("k_bad") > F.col("k_good")) & (F.col("k_good") <= F.col("n_good") * each))
-    sure = worth.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), each)).where(F.col("tail") <= delta / (max(1, strata) * len(RULES) * (GRID + 1)))
+    # A tail grows with k_good, hence down the cutoffs: those that pass are what the sequence reaches before its first failure.
+    sure = worth.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), each)).where(F.col("tail") <= delta / (max(1, strata) * len(RULES)))
     best = sure.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n_good", "k_good", "k_bad", "tail")).alias("best"))
     return best.select("stratum", "rule", "best.*")
 

@@ -88,6 +88,18 @@ def test_toxicity_finds_sentences(spark, docs, no_docs, labels):
     assert len(toxicity.toxicity(docs, labels.where("false")).collect()) == docs.count()
 
 
+def test_toxicity_leaves_out_only_what_does_not_fit(spark):
+    d, l = planted(spark)
+    huge = [(10_000 + i, "river stone " * 6000 if i % 2 else "river.stone." * 8000, "en", "s", 96_000) for i in range(20)]
+    more = d.unionByName(spark.createDataFrame(huge, d.schema))
+    marks = l.unionByName(spark.createDataFrame([(r[0], 1, 0) for r in huge], l.schema))
+    model = toxicity.train(more, marks, fit_rows=4000, fit_words=11_500)
+    assert toxicity.keep_clean(d, model).count() == 480
+    # Nothing fits: the labelled proportion.
+    w, bias = toxicity.train(d, l, fit_rows=4000, fit_words=3)
+    assert not w.any() and abs(1 / (1 + math.exp(-bias)) - 0.2) < 1e-9
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = ["abab abba", "bab", "aab b"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -5,12 +5,13 @@ sentences, 1 - prod(1 - p). The noisy-or is trained through from document labels
 label are found without having been marked.
 
 Scale: the fit uses a bounded sample: at most ``fit_rows`` labelled rows of each class and ``fit_words`` words in all,
-taken in hash order (both are parameters; rows are taken whole); class weights restore the labelled proportions. Scoring is a map over all whole texts without
+taken in hash order (both are parameters; rows are taken whole, and one that doesn't fit is left out alone; a class may
+use half the words, and what the other doesn't need; eight characters count as a word at least); class weights restore the labelled proportions. Scoring is a map over all whole texts without
 a shuffle; the weights (2^18 doubles, fixed) are broadcast.
 
 Edge cases: null and empty texts have no sentence and get the score of a single empty one; documents with null, unknown
-or contradicting labels are not learned from; if one class is missing, or there are no labels, every score is the
-labelled proportion (0 without labels); repeated rows each get a result; only id, text and the labels are read, so
+or contradicting labels are not learned from; if one class is missing, no row of it fits, or there are no labels, every
+sentence's score is the labelled proportion (0 without labels); repeated rows each get a result; only id, text and the labels are read, so
 extra columns, languages and sources don't matter.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
@@ -124,9 +125,19 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int, fit_words: int,
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("y = 0").orderBy(*order).limit(fit_rows).unionByName(known.where("y = 1").orderBy(*order).limit(fit_rows))
     own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    sized = own.withColumn("n", F.regexp_count("text", F.lit("\\s+")))
-    upto = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = sized.select("doc_id", "n").withColumn("upto", upto).where(F.col("upto") <= fit_words).select("doc_id")
+    # At most fit_rows rows of each class, without their texts.
+    sized = own.select("doc_id", "y", F.coalesce(F.greatest(F.regexp_count("text", F.lit("\\s+")), F.ceil(F.length("text") / 8)), F.lit(0)).alias("n")).orderBy(*order).collect()
+    need = {c: sum(r["n"] for r in sized if r["y"] == c) for c in (0, 1)}
+    left = {c: max(fit_words // 2, fit_words - need[1 - c]) for c in (0, 1)}
+    fitting = []
+    for r in sized:
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            fitting.append(r)
+    if {r["y"] for r in fitting} < {r["y"] for r in sized}:
+        odds = counts.get(1, 0) / max(1, counts.get(0, 0))
+        return np.zeros(BUCKETS), float(np.log(np.clip(odds, 1e-20, 1e6)))
+    kept = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in fitting], own.select("doc_id").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

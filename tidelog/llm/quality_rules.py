@@ -6,9 +6,10 @@ of which the cutoff would reject k, the exact binomial tail P(Bin(n, risk) <= k)
 rejection rate exceeds ``risk``. The cutoffs of a rule are nested, so they are tested in a fixed sequence from the
 loosest down, which the first failure ends, and need no share of ``delta`` each; rules and strata share it by Bonferroni.
 The rules share ``risk`` by ``SHARES``, so that with confidence 1 - delta no stratum loses more than ``risk`` of its good
-documents. A rule decides in a stratum from ln(delta / strata / rules) / ln(1 - its risk) trusted documents on. Among the
-certified cutoffs the lowest that rejects more bad than good labelled documents is taken; a rule without one rejects
-nothing in that stratum.
+documents. A rule decides in a stratum from ln(delta / strata / rules) / ln(1 - its risk) trusted documents on (see
+``enough``); strata in which no rule can decide are tested together, as one, and the bound holds for them together.
+Among the certified cutoffs the one with the most bad labelled documents rejected is taken, where a good one weighs as
+much as 1 / risk bad ones (ties: the loosest); a rule without a gain rejects nothing in that stratum.
 
 Scale: one pass over the texts makes a narrow digest, written to the shared folder. The holdout is joined to it by id;
 the histogram has strata x rules x ``GRID`` rows and is pre-aggregated before it is shuffled. Repeated windows are
@@ -21,6 +22,8 @@ without labels no cutoff is certified and the base rule alone decides; extra col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,25 +94,37 @@ def rate(counted: str, per: str) -> Column:
     return F.when(F.col(per) > 0, F.least(F.floor(F.lit(GRID) * F.col(counted) / F.col(per)), F.lit(GRID))).otherwise(0).cast("int")
 
 
+def enough(risk: float, delta: float, strata: int) -> int:
+    """How many trusted documents a stratum needs for its first rule to decide, if the cutoff rejects none of them."""
+    return math.ceil(math.log(delta / (max(1, strata) * len(RULES))) / math.log1p(-risk * max(SHARES.values())))
+
+
 def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, k_good, k_bad, tail): the cutoff that each rule may use in each stratum."""
+    """(stratum, pool, rule, cutoff, n_good, k_good, k_bad, tail): the cutoff that each rule may use in each stratum, and what it was tested on (pool: the stratum, or null for all small ones)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("quality").alias("__m")).where("good = __m").drop("__m")
     held = stats.join(known, "doc_id").select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), rate(a, b).alias("bin")) for name, a, b in RULES])).alias("x"))
     counts = held.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.bin").alias("bin")).agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
     counts = materialize(counts, "quality-counts")
-    group = Window.partitionBy("stratum", "rule")
-    above = group.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    tested = counts.select("stratum", "rule", F.col("bin").alias("cutoff"), F.sum("g").over(group).cast("double").alias("n_good"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(f"k_{name}") for c, name in (("g", "good"), ("b", "bad"))])
     strata = counts.agg(F.countDistinct("stratum")).first()[0]
+    # Which strata are pooled follows from their sizes alone, not from what a rule would reject there.
+    pools = counts.groupBy("stratum").agg((F.sum("g") / len(RULES)).alias("n")).select("stratum", F.when(F.col("n") >= enough(risk, delta, strata), F.col("stratum")).alias("pool"))
+    pools = materialize(pools, "quality-pools")
+    pooled = counts.join(pools, "stratum").groupBy("pool", "rule", "bin").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    group = Window.partitionBy("pool", "rule")
+    above = group.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    # Every cutoff from this bin to just below the next one rejects the same: the loosest stands for them.
+    loosest = F.coalesce(F.lead("bin").over(group.orderBy("bin")) - 1, F.col("bin"))
+    tested = pooled.select("pool", "rule", loosest.alias("cutoff"), F.sum("g").over(group).cast("double").alias("n_good"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).cast("double").alias(f"k_{name}") for c, name in (("g", "good"), ("b", "bad"))])
     each = F.element_at(F.create_map(*[F.lit(x) for name, _, _ in RULES for x in (name, risk * SHARES[name])]), F.col("rule"))
-    worth = tested.where((F.col("k_bad") > F.col("k_good")) & (F.col("k_good") <= F.col("n_good") * each))
+    gain = F.col("k_bad") - F.col("k_good") / F.lit(risk)
+    worth = tested.where((gain > 0) & (F.col("k_good") <= F.col("n_good") * each))
     # A tail grows with k_good, hence down the cutoffs: those that pass are what the sequence reaches before its first failure.
     sure = worth.withColumn("tail", binomial_tail(F.col("n_good"), F.col("k_good"), each)).where(F.col("tail") <= delta / (max(1, strata) * len(RULES)))
-    best = sure.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n_good", "k_good", "k_bad", "tail")).alias("best"))
-    return best.select("stratum", "rule", "best.*")
+    best = sure.groupBy("pool", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff", "n_good", "k_good", "k_bad", "tail")).alias("best"))
+    return pools.join(best.withColumnRenamed("pool", "__p"), F.col("pool").eqNullSafe(F.col("__p"))).select("stratum", "pool", "rule", *[F.col(f"best.{c}").alias(c) for c in ("cutoff", "n_good", "k_good", "k_bad", "tail")])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, risk: float = 0.01, delta: float = 0.1, min_words: int = 50, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, risk: float = 0.05, delta: float = 0.1, min_words: int = 50, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """A row for each document: doc_id, the counts, base_failed, rejected_by (rules, comma-joined, or null) and kept."""
     stratum = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")).alias("stratum")
     stats = materialize(text_stats(docs, F.col(id_col).alias("doc_id"), stratum, text_col=text_col), "quality-stats")

@@ -1,8 +1,9 @@
 """License scan, quality rules, source mix and URL filter against brute force."""
 
+import random
 import re
 from collections import Counter
-from math import comb
+from math import comb, log, log1p
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,49 @@ def test_license_places(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_license_diagonals_against_a_loop(spark):
+    rng = random.Random(21)
+    notices = [(label, WORD.findall(lower(t))) for label, t in license_scan.TEMPLATES]
+    rows = []
+    for i in range(120):
+        out = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            own = list(rng.choice(notices)[1])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = ["edited"] * rng.randrange(3)
+            out += own[rng.randrange(1 + len(own) // 3) :] + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(20))]
+        rows.append((i, " ".join(out)))
+    got = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen = set()
+    for i, text in rows:
+        w, want = text.split(), set()
+        for label, q in notices:
+            hits = [(a, b) for a in range(len(w) - 2) for b in range(len(q) - 2) if w[a : a + 3] == q[b : b + 3]]
+            width = max(3, (len(q) - 2) // 8) + 1
+            bands = {}
+            for a, b in hits:
+                for band in ((a - b) // width - 1, (a - b) // width):
+                    bands.setdefault(band, []).append((a, b))
+            votes = {band: len({b for _, b in x}) for band, x in bands.items() if len({b for _, b in x}) >= 0.6 * (len(q) - 2)}
+            for band, n in votes.items():
+                if n > votes.get(band - 1, 0) and n >= votes.get(band + 1, 0):
+                    want.add((min(a for a, _ in bands[band]), max(a for a, _ in bands[band]) + 3, label))
+                    assert max(a for a, _ in bands[band]) + 3 - min(a for a, _ in bands[band]) <= len(q) + 2 * width
+        phrases = {(a, a + len(p.split()), label) for label, p in license_scan.PHRASES for a in range(len(w)) if w[a : a + len(p.split())] == p.split()}
+        assert {(s.start, s.end, s.label) for s in got[i].spans or []} == want | phrases, i
+        assert got[i].labels == ",".join(sorted({x[2] for x in want | phrases}))
+        seen |= {x[2] for x in want}
+    assert len(seen) >= 8
+
+
+def test_license_lines_in_use(spark):
+    lines = ["This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "GNU Lesser General Public License", "general public remarks on a license"]
+    df = spark.createDataFrame([(i, f"some words before. {t} And after.") for i, t in enumerate(lines)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.base_labels, r.labels) for r in license_scan.license_report(df).collect()}
+    assert got == {0: ("", "gpl"), 1: ("mit", "mit"), 2: ("cc-by-nc", "cc-by-nc"), 3: ("apache-2", "apache-2"), 4: ("", "lgpl"), 5: ("", "")}
+
+
 def test_license_empty(no_docs):
     assert license_scan.license_report(no_docs).collect() == []
 
@@ -62,23 +106,60 @@ def test_quality_binomial_and_cutoffs(spark, no_docs, labels):
     got = [r[0] for r in df.select(quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.01)).collect()]
     for (n, k), x in zip(rows, got):
         assert abs(x - sum(comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 1))) < 1e-9
-    words = "plain words stand here in a row and go on " * 1
-    texts = [(i, " ".join(f"{w}{i}{j}" for j in range(8) for w in words.split()) + (" ## $$ %% ||" * 30 if i % 3 == 0 else ""), "en") for i in range(6000)]
-    d = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
-    l = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
-    out = quality_rules.quality_rules(d, l, risk=0.05)
-    assert {(r.bad, r.kept) for r in out.select((F.col("doc_id") % 3 == 0).alias("bad"), "kept").distinct().collect()} == {(True, False), (False, True)}
     assert quality_rules.quality_rules(no_docs, labels).collect() == []
 
 
-def test_quality_rejects_at_production_parameters(spark):
+def noisy(i, bad):
     words = "plain words stand here in a row and go on"
-    texts = [(i, " ".join(f"{w}{i}{j}" for j in range(8) for w in words.split()) + (" ## $$ %% ||" * 30 if i % 3 == 0 else ""), "en") for i in range(2250)]
+    return " ".join(f"{w}{i}{j}{'##$%' if bad else ''}" for j in range(8) for w in words.split())
+
+
+def test_quality_rejects_at_production_parameters(spark):
+    """Cutoffs and verdicts of the query's own parameters, recomputed in Python; two small strata decide together."""
+    rng = random.Random(8)
+    sizes = {"en": 1500, "de": 700, "fr": 300, "es": 250, None: 30}
+    rows = [(lang, rng.random() < 0.2, rng.random() < 0.002) for lang, n in sizes.items() for _ in range(n)]
+    texts = [(i, noisy(i, bad or odd), lang) for i, (lang, bad, odd) in enumerate(rows)]
     d = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
-    l = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
-    out = quality_rules.quality_rules(d, l)
-    assert {(r.doc_id % 3 == 0, r.kept) for r in out.collect()} == {(True, False), (False, True)}
-    assert abs(sum(quality_rules.SHARES.values()) - 1) < 1e-12 and set(quality_rules.SHARES) == {r[0] for r in quality_rules.RULES}
+    l = spark.createDataFrame([(i, int(not bad)) for i, (_, bad, _) in enumerate(rows)], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(d, l).collect()}
+    risk, delta, n_rules = 0.05, 0.1, len(quality_rules.RULES)
+    need = log(delta / len(sizes) / n_rules) / log1p(-risk * max(quality_rules.SHARES.values()))
+    good = Counter(lang for lang, bad, _ in rows if not bad)
+    pool = {lang: lang if good[lang] >= need else "small" for lang in sizes}
+    assert pool == {"en": "en", "de": "de", "fr": "small", "es": "small", None: "small"}
+    rate = {i: min(100, 100 * got[i].n_symbols // got[i].n_words) for i in got}
+    for p in set(pool.values()):
+        own = [i for i, (lang, _, _) in enumerate(rows) if pool[lang] == p]
+        goods, bads = [rate[i] for i in own if not rows[i][1]], [rate[i] for i in own if rows[i][1]]
+        best = (0, None)
+        for cut in sorted({rate[i] for i in own}):
+            k, kb, r = sum(x > cut for x in goods), sum(x > cut for x in bads), risk * quality_rules.SHARES["symbols"]
+            tail = sum(comb(len(goods), j) * r**j * (1 - r) ** (len(goods) - j) for j in range(k + 1))
+            if tail <= delta / len(sizes) / n_rules and kb - k / risk > best[0]:
+                best = (kb - k / risk, cut)
+        for i in own:
+            assert got[i].kept == (best[1] is None or rate[i] <= best[1]), (p, best)
+        assert best[1] is not None
+
+
+def test_quality_risk_holds(spark):
+    """Replicates of one population: the cutoff that each chooses may lose more than its risk in one of ten at most."""
+    rng = random.Random(4)
+    n, runs, risk = 600, 60, 0.05
+    share = risk * quality_rules.SHARES["symbols"]
+    rows, marks = [], []
+    for r in range(runs):
+        for _ in range(n):
+            bad = rng.random() < 0.3
+            # Three in a hundred good documents have some symbols, half of them many: a cutoff below those loses too much.
+            x = rng.choice([3, 40]) if not bad and rng.random() < 0.03 else (rng.randrange(2, 60) if bad else 0)
+            rows.append((len(rows), f"={r}", 100, 400, x, 10, 0, 0, 3, 0))
+            marks.append((len(marks), int(not bad)))
+    stats = spark.createDataFrame(rows, "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_capitals bigint, n_shouts bigint")
+    cuts = quality_rules.certified_cutoffs(stats, spark.createDataFrame(marks, "doc_id bigint, quality int"), risk, 0.1 * runs).where("rule = 'symbols'").collect()
+    lost = lambda cut: 0.015 * (cut < 3) + 0.015 * (cut < 40)
+    assert cuts and sum(lost(c.cutoff) > share for c in cuts) <= 0.1 * runs
 
 
 def test_mix_targets_and_bounds(docs, corpus):

@@ -2,10 +2,12 @@
 
 All rolling word k-grams of all texts are joined to the k-grams of the license templates. A hit at word p of the text
 and word q of the template votes for the diagonal p - q, on which the whole template would start. Votes are summed by
-diagonal, diagonals that differ by at most ``slack`` words (a word put in or left out) are merged into one span, and a
-span counts if the distinct template places it matched reach ``coverage`` of the template. The k-gram's words travel
-with its hash and are compared after the hash join, so a span holds true matches only. Short phrases are templates
-that count only where one diagonal matched every k-gram.
+diagonal, and neighbouring diagonals (words put in or left out) are merged in bands: a band is twice the drift wide and
+overlaps the next by half, so that whatever lies within the drift is in one band, and no chain of diagonals makes a span
+longer than its template and the band. The drift is ``slack`` words, or an eighth of a longer template. A span counts if
+the distinct template places it matched reach ``coverage`` of the template and no overlapping band matched more. The
+k-gram's words travel with its hash and are compared after the hash join, so a span holds true matches only. Short
+phrases are templates that count only where one diagonal matched every k-gram.
 
 Scale: the templates are a fixed list (a few hundred k-grams, broadcast with that bound); the k-grams of the texts
 stream through the broadcast join and only hits and one row for each document are shuffled. Rows are keyed by document,
@@ -39,6 +41,15 @@ TEMPLATES = (
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("gpl", "under the GNU General Public License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("mit", "Released under the MIT License."),
+    ("apache-2", "Licensed under the Apache License, Version 2.0."),
+    ("bsd", "Released under the BSD License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 )
 
 
@@ -83,13 +94,20 @@ def _votes(docs: DataFrame, templates, phrases, id_col: str, text_col: str) -> D
 
 
 def _spans(hits: DataFrame, coverage: float, slack: int) -> DataFrame:
+    """(row, doc_id, label, phrase, start, end, score) of each span that counts."""
     diagonals = hits.groupBy("row", "doc_id", "t", "label", "phrase", "n", (F.col("p") - F.col("q")).alias("d")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("a"), F.max("p").alias("b"))
-    run = Window.partitionBy("row", "t").orderBy("d")
-    apart = F.when(F.col("phrase") | F.lag("d").over(run).isNull() | (F.col("d") - F.lag("d").over(run) > slack), 1).otherwise(0)
-    merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(run))
-    spans = merged.groupBy("row", "doc_id", "t", "label", "phrase", "n", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("votes"), F.min("a").alias("start"), (F.max("b") + K).alias("end"))
+    width = F.greatest(F.lit(slack), F.floor(F.col("n") / 8)).cast("int") + 1
+    band = F.floor(F.col("d") / width).cast("int")
+    # A phrase's diagonal is alone in its band.
+    bands = F.when(F.col("phrase"), F.array(F.col("d").cast("int"))).otherwise(F.array(band - 1, band))
+    spans = diagonals.withColumn("band", F.explode(bands)).groupBy("row", "doc_id", "t", "label", "phrase", "n", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("votes"), F.min("a").alias("start"), (F.max("b") + K).alias("end"))
     score = F.col("votes") / F.col("n")
-    return spans.where(F.when(F.col("phrase"), F.col("votes") == F.col("n")).otherwise(score >= coverage)).select("row", "doc_id", "label", "phrase", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), score.alias("score"))
+    enough = spans.where(F.when(F.col("phrase"), F.col("votes") == F.col("n")).otherwise(score >= coverage))
+    run = Window.partitionBy("row", "t").orderBy("band")
+    beside = lambda w, step: F.when(w("band").over(run) == F.col("band") + step, w("votes").over(run))
+    best = (F.col("votes") > F.coalesce(beside(F.lag, -1), F.lit(0))) & (F.col("votes") >= F.coalesce(beside(F.lead, 1), F.lit(0)))
+    peaks = enough.withColumn("best", F.col("phrase") | best).where("best")
+    return peaks.select("row", "doc_id", "label", "phrase", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), score.alias("score"))
 
 
 def license_report(docs: DataFrame, *, templates=TEMPLATES, phrases=PHRASES, coverage: float = 0.6, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

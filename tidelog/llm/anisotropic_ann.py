@@ -2,21 +2,24 @@
 
 The codebooks minimise |r|^2 + (eta - 1) (r . x/|x|)^2 over the residuals r, which makes error along a vector cost more
 than error across it: that part changes the products which rank high. Each vector becomes 4 bits for every ``sub``
-components. A scan adds up a query's table entries for a block of codes, two codes a byte; the ``rerank`` best of a
-block, with all ties, are scored again on the original vectors in double precision.
+components. A scan adds up a query's table entries for a chunk of codes, two codes a byte; the ``rerank`` best of a
+chunk, with all ties, are scored again on the original vectors in double precision.
 
-Scale: the codebooks are fitted on at most ``fit_rows`` vectors in hash order; every vector is encoded. The query set
-and the rows meet in blocks of bounded size, each pair of blocks in a task of its own, and a pair gives ``top`` rows
-for each query. Of equal vectors only the ``top`` + 1 smallest ids can be among the results, so a vector that many rows
-share is cut to those by a window limit (before the shuffle) without loss.
+Scale: the codebooks are fitted on at most ``fit_rows`` vectors in hash order; every vector is encoded and stays where
+it is. Queries go to the rows: they are broadcast in turns of about ``query_rows``, and in each turn a task scans its
+rows chunk by chunk and keeps ``top`` rows for each query. So a turn shuffles queries x tasks x ``top`` small rows, and
+vectors are never copied or shuffled, however many queries there are. Equal vectors in a chunk (a vector that many rows
+share) are cut to the ``top`` + 1 smallest ids, which loses nothing. The scan itself is queries times rows.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, rows without an id, and vectors that
 don't have the usual length take no part; repeated rows (same id and vector) count once; ties go to the smaller id;
-with fewer candidates than ``top`` all are returned; an empty table gives an empty result; extra columns are ignored.
+ids may be of any integer type (they come back as bigint); with fewer candidates than ``top`` all are returned; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded_batches, materialize
 
 CENTERS = 16
 
@@ -66,13 +69,15 @@ def fit(x: np.ndarray, sub: int, eta: float, rounds: int = 10) -> np.ndarray:
         along = np.stack([((cut[:, m] - books[m][codes[:, m]]) * unit[:, m]).sum(1) for m in range(parts)], 1)
         for m in range(parts):
             rest = along.sum(1) - along[:, m]
-            left, right = np.zeros((CENTERS, sub, sub)), np.zeros((CENTERS, sub))
-            np.add.at(left, codes[:, m], np.eye(sub) + weight * unit[:, m, :, None] * unit[:, m, None, :])
-            np.add.at(right, codes[:, m], cut[:, m] + weight * unit[:, m] * (rest + (cut[:, m] * unit[:, m]).sum(1))[:, None])
-            for c in range(CENTERS):
-                if left[c, 0, 0] > 0:
-                    books[m, c] = np.linalg.solve(left[c] + 1e-9 * np.eye(sub), right[c])
-            along[:, m] = ((cut[:, m] - books[m][codes[:, m]]) * unit[:, m]).sum(1)
+            own = codes[:, m]
+            summed = lambda values, own=own: np.bincount(own, weights=values, minlength=CENTERS)
+            goal = cut[:, m] + weight * unit[:, m] * (rest + (cut[:, m] * unit[:, m]).sum(1))[:, None]
+            size = summed(np.ones(n))
+            left = np.stack([np.stack([(i == j) * size + weight * summed(unit[:, m, i] * unit[:, m, j]) for j in range(sub)], 1) for i in range(sub)], 1)
+            right = np.stack([summed(goal[:, i]) for i in range(sub)], 1)
+            for c in np.flatnonzero(size):
+                books[m, c] = np.linalg.solve(left[c] + 1e-9 * np.eye(sub), right[c])
+            along[:, m] = ((cut[:, m] - books[m][own]) * unit[:, m]).sum(1)
     return books
 
 
@@ -106,54 +111,100 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, top: int = 20, rerank: int = 300, sub: int = 2, fit_rows: int = 20_000, block_rows: int = 32_768, query_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+class Chunk:
+    """Rows of a scan: ids, vectors and codes; of equal vectors the ``most`` smallest ids."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, most: int) -> None:
+        rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+        kind = np.unique(rows, return_inverse=True)[1]
+        order = np.lexsort((ids, kind))
+        kind, own = kind[order], ids[order]
+        fresh = np.append(True, (kind[1:] != kind[:-1]) | (own[1:] != own[:-1]))
+        order, kind = order[fresh], kind[fresh]
+        start = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+        place = np.arange(len(kind)) - np.repeat(start, np.diff(np.append(start, len(kind))))
+        keep = order[place < most]
+        self.ids, self.x = ids[keep], x[keep].astype(np.float64)
+        self.codes = np.ascontiguousarray(codes[keep].T)
+
+    def best(self, own_id: int, query: np.ndarray, books: np.ndarray, rerank: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, exact products) of the ``top`` rows other than the query's own among those that the scan puts first."""
+        rough = scan(query, books, self.codes)
+        rough[self.ids == own_id] = -np.inf
+        take = min(rerank, len(rough))
+        some = np.flatnonzero(rough >= np.partition(rough, len(rough) - take)[len(rough) - take])
+        some = some[self.ids[some] != own_id]
+        exact = (self.x[some] * query).sum(1)
+        order = np.lexsort((self.ids[some], -exact))[:top]
+        return self.ids[some][order], exact[order]
+
+
+def nearest(vectors: DataFrame, is_query: Column, *, top: int = 20, rerank: int = 300, sub: int = 2, fit_rows: int = 20_000, block_rows: int = 32_768, query_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query row's ``top`` rows of largest inner product, other than itself; is_query is over ``id``."""
     spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id", "v"])
+    bounded_batches(spark)
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     usual = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    out = "query_id bigint, vec_id bigint, score double"
     if usual is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim = usual["d"]
     sub = next(s for s in range(min(sub, dim), 0, -1) if dim % s == 0)
-    same = materialize(own.where(F.size("v") == dim), "ann-vectors")
-    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    rows = same.withColumn("__r", first).where(F.col("__r") <= top + 1).drop("__r")
-    queries = same.where(is_query)
-    sample = same.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
+    same = own.where(F.size("v") == dim)
+    sample = same.orderBy(F.xxhash64("id"), "id", "v").limit(fit_rows).toArrow()
     eta = eta_of(dim)
-    books = fit(_matrix(sample.column("v"), dim), sub, eta)
-    shared = spark.sparkContext.broadcast(books)
+    shared = spark.sparkContext.broadcast(fit(_matrix(sample.column("v"), dim), sub, eta))
+    kind = dict(same.dtypes)["v"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = packed(encode(_matrix(batch.column(1), dim), shared.value, eta)) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "code"])
 
-    coded = materialize(rows.mapInArrow(index, "id bigint, v array<float>, code binary" if dict(same.dtypes)["v"] == "array<float>" else "id bigint, v array<double>, code binary"), "ann-codes")
-    n_blocks, n_query = max(1, -(-coded.count() // block_rows)), max(1, -(-queries.count() // query_rows))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "v", block(n_query, 1).alias("q"), every(n_blocks).alias("b"))
-    right = coded.select("id", "v", "code", block(n_blocks, 2).alias("b"), every(n_query).alias("q"))
-
-    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if asked.num_rows and held.num_rows:
-            ids, x = held.column("id").to_numpy(), _matrix(held.column("v"), dim)
-            bytes_ = np.ascontiguousarray(np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).T)
-            for i, query in zip(asked.column("id").to_pylist(), _matrix(asked.column("v"), dim), strict=True):
-                rough = scan(query, shared.value, bytes_)
-                rough[ids == i] = -np.inf
-                take = min(rerank, len(rough))
-                best = np.flatnonzero(rough >= np.partition(rough, len(rough) - take)[len(rough) - take])
-                best = best[ids[best] != i]
-                exact = (x[best] * query).sum(1)
-                order = np.lexsort((ids[best], -exact))[:top]
-                found.append((i, ids[best][order], exact[order]))
-        sizes = [len(f[1]) for f in found]
-        return pa.table({"query_id": pa.array(np.repeat(np.array([f[0] for f in found], np.int64), sizes), pa.int64()), "vec_id": pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.int64()), "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())})
-
-    parts = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(search, out)
+    coded = materialize(same.mapInArrow(index, f"id bigint, v {kind}, code binary"), "ann-codes")
+    queries = materialize(coded.where(is_query).select("id", "v").dropDuplicates(["id", "v"]), "ann-queries")
+    turns = max(1, -(-queries.count() // query_rows))
+    turn_of = F.pmod(F.xxhash64("id", "v"), F.lit(turns))
+    found = []
+    for turn in range(turns):
+        # About query_rows queries, whatever the table: the rows that this turn's scan is for.
+        part = queries.where(turn_of == turn).orderBy("id", "v").toArrow()
+        asked = spark.sparkContext.broadcast((part.column("id").to_numpy(), _matrix(part.column("v"), dim)))
+
+        def search(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            names, queries = asked.value
+            ids = np.full((len(names), top), -1, np.int64)
+            scores = np.full((len(names), top), -np.inf)
+
+            def scanned(rows: pa.Table) -> None:
+                codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+                chunk = Chunk(rows.column("id").to_numpy(), rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim), codes, top + 1)
+                for i, (name, query) in enumerate(zip(names.tolist(), queries, strict=True)):
+                    new, exact = chunk.best(name, query, shared.value, rerank, top)
+                    both, value = np.concatenate([ids[i], new]), np.concatenate([scores[i], exact])
+                    order = np.lexsort((both, -value))
+                    # A row that came up in an earlier chunk too counts once.
+                    again = np.append(False, (both[order][1:] == both[order][:-1]) & (value[order][1:] == value[order][:-1]) & (value[order][1:] > -np.inf))
+                    order = order[~again][:top]
+                    ids[i], scores[i] = both[order], value[order]
+
+            waiting, n = [], 0
+            for batch in batches:
+                waiting.append(batch)
+                n += batch.num_rows
+                if n >= block_rows:
+                    scanned(pa.Table.from_batches(waiting))
+                    waiting, n = [], 0
+            if n:
+                scanned(pa.Table.from_batches(waiting))
+            for at in range(0, len(names), 2000):
+                some = scores[at : at + 2000] > -np.inf
+                each = np.repeat(names[at : at + 2000], some.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.array(ids[at : at + 2000][some], pa.int64()), pa.array(scores[at : at + 2000][some], pa.float64())], names=["query_id", "vec_id", "score"])
+
+        if part.num_rows:
+            found.append(materialize(coded.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), "ann-found"))
+    if not found:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    parts = functools.reduce(DataFrame.unionByName, found).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

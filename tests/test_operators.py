@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import jsons, nulls, scores, texts, times
@@ -92,27 +93,28 @@ def test_dense_ids(spark):
     assert sorted((r.k, r.n) for r in got) == [(1, 1), (3, 2), (44, 3), (900, 4)]
 
 
-def test_visibility(spark):
-    rows = [(0, "2024-01-01"), (2, "2024-01-05"), (-1, None), (None, None), (1, None)]
-    df = spark.createDataFrame(rows, "v int, t string")
-    see = lambda **k: [r[0] for r in df.select(ev.visible(F.col("v"), F.col("t"), **k)).collect()]
-    none = F.lit(None).cast("string")
-    assert see(cutoff_visit=F.lit(1), cutoff_ts=none) == [True, False, False, False, True]
-    assert see(cutoff_visit=F.lit(1), cutoff_ts=F.lit("2024-01-05")) == [True, True, False, True, True]
-    assert see(cutoff_visit=F.lit(None).cast("int"), cutoff_ts=F.lit("2024-01-02"), inclusive=False) == [True, False, True, True, True]
+def test_visibility_against_a_loop(spark):
+    """All combinations of known and unknown places, cutoffs and bounds."""
+    visits, times_ = [None, -1, 0, 1, 2], [None, "2024-01-01", "2024-01-02", "2024-01-03"]
+    some_visit, some_time = [None, 1], [None, "2024-01-02"]
+    rows = [(v, t, cv, ct, uv, ut) for v in visits for t in times_ for cv in some_visit for ct in some_time for uv in some_visit for ut in some_time]
+    df = spark.createDataFrame(rows, "v int, t string, cv int, ct string, uv int, ut string")
 
+    def seen(v, t, cv, ct, uv, ut, inclusive):
+        v = -1 if v is None else v
+        if uv is not None and (v < 0 or v >= uv):
+            return False
+        if ut is not None and (t is None or t > ut):
+            return False
+        if ct is not None and t is not None:
+            return t <= ct if inclusive else t < ct
+        if cv is not None:
+            return v >= 0 and (v <= cv if inclusive else v < cv)
+        return True
 
-def test_visibility_until_and_unplaced_rows(spark):
-    rows = [(0, "2024-01-01"), (2, "2024-01-05"), (-1, None), (None, None), (1, None), (None, "2024-01-02")]
-    df = spark.createDataFrame(rows, "v int, t string")
-    no_visit, no_ts = F.lit(None).cast("int"), F.lit(None).cast("string")
-    see = lambda **k: [r[0] for r in df.select(ev.visible(F.col("v"), F.col("t"), **({"cutoff_visit": no_visit, "cutoff_ts": no_ts} | k))).collect()]
-    assert see(until_visit=F.lit(2)) == [True, False, False, False, True, False]
-    assert see(until_ts=F.lit("2024-01-02")) == [True, False, False, False, False, True]
-    assert see(until_visit=no_visit, until_ts=no_ts) == [True] * 6
-    assert see(until_visit=F.lit(1), until_ts=F.lit("2024-01-05")) == [True, False, False, False, False, False]
-    # As the reference: without a time the visit decides, and an unknown one is hidden.
-    assert see(cutoff_visit=F.lit(1), cutoff_ts=F.lit("2024-01-05"), unplaced=False) == [True, True, False, False, True, True]
+    for inclusive in (False, True):
+        got = df.select("*", ev.visible(F.col("v"), F.col("t"), cutoff_visit=F.col("cv"), cutoff_ts=F.col("ct"), until_visit=F.col("uv"), until_ts=F.col("ut"), inclusive=inclusive).alias("s")).collect()
+        assert len(got) == len(rows) and all(r.s == seen(*r[:6], inclusive) for r in got)
 
 
 def test_seen_so_far(spark):
@@ -126,35 +128,78 @@ def test_prior_visits_of_every_customer(spark, tmp_path):
 
     rows = [(1, 10, "2024-01-01"), (2, 10, "2024-01-02"), (3, 11, "2024-01-05"), (4, 11, "2024-01-03"), (5, 11, "2024-01-04"), (6, None, "2024-01-01"), (7, None, "2024-01-02")]
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = catalog.queries()["JOI14_prior_visits_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["JOI14_prior_visits"](spark, str(tmp_path)).collect()
     assert sorted((r.o_orderkey, r.prior) for r in got) == [(2, 1), (3, 4), (3, 5), (5, 4)]
 
 
-def test_panel_mapping_has_every_key(spark, tmp_path):
-    from tidelog.plans import catalog
-
-    rows = [(u, k) for u in range(9) for k in ("click", "click", "view")] + [(9, "view"), (9, "click")]
-    spark.createDataFrame(rows, "user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    got = catalog.queries()["AUX1_panel_mapping_all"](spark, str(tmp_path)).collect()
-    assert sorted((r.event_type, r.user_id) for r in got) == [("click", u) for u in range(10)]
-
-
 def test_packing_against_a_loop(spark):
     rng = random.Random(6)
-    rows = [(e, v, p, "x" * rng.randrange(60)) for e in range(6) for v in range(4) for p in range(5)]
-    df = spark.createDataFrame(rows, "e int, v bigint, p bigint, t string")
-    got = defaultdict(list)
-    for r in ev.pack(df, "e", "v", "p", "t", 220).orderBy("e", "place").collect():
-        got[r.e].append((r.v, r.p))
-    for e in range(6):
-        used, want = 0, []
-        for v in (3, 2, 1, 0):
-            for _, _, p, t in sorted(r for r in rows if r[:2] == (e, v)):
-                if used + len(t) + 1 > 220:
+    rows = [(e, v, p, "x" * rng.randrange(90), rng.random() < 0.3) for e in range(8) for v in range(5) for p in range(5)]
+    df = spark.createDataFrame(rows, "e int, v bigint, p bigint, t string, note boolean")
+    for cap in (None, 0, 2):
+        got = defaultdict(list)
+        for r in ev.pack(df, "e", "v", "p", "t", 260, item_chars=60, note=F.col("note"), most_groups=cap).orderBy("e", "place").collect():
+            got[r.e].append((r.v, r.p, r.line))
+        for e in range(8):
+            used, want, groups = 0, [], 0
+            for v in (4, 3, 2, 1, 0):
+                if cap is not None and groups >= cap:
                     break
-                used += len(t) + 1
-                want.append((v, p))
-        assert got[e] == want
+                added = False
+                for _, _, p, t, _ in sorted((r for r in rows if r[:2] == (e, v)), key=lambda r: (not r[4], r[2])):
+                    line = "- " + (t[:60] + " ...[TRUNCATED]" if len(t) > 60 else t)
+                    if used + len(line) + 1 > 260:
+                        break
+                    used, added = used + len(line) + 1, True
+                    want.append((v, p, line))
+                groups += added
+            assert got[e] == want, (cap, e)
+
+
+def test_ratio_sample_of_a_hot_group(spark):
+    rows = [(i, "hot" if i % 4 else None) for i in range(20_000)] + [(30_000 + i, "few") for i in range(7)]
+    df = spark.createDataFrame(rows, "i bigint, g string")
+    got = ev.ratio_sample(df, "g", ["i"], 0.3).collect()
+    n = defaultdict(int)
+    for r in got:
+        n[r.g] += 1
+    assert n == {"hot": 4500, None: 1500, "few": 2} and len({r.i for r in got}) == len(got)
+    order = {r.i: r.h for r in df.withColumn("h", ev.keyed_order("7", "i")).collect()}
+    picked = {r.i for r in got if r.g == "hot"}
+    assert max(order[i] for i in picked) < min(order[i] for i, g in rows if g == "hot" and i not in picked)
+
+
+def test_careful_client_waits_and_repairs(spark):
+    from tidelog.plans.questions import Flaky
+
+    calls = []
+
+    class Strange(Flaky):
+        def ask(self, prompt):
+            calls.append(prompt)
+            return super().ask(prompt)
+
+    own = sy.Careful(Strange, attempts=3, pause=0.0, per_second=1e9)
+    assert own.ask("number 5") == '{"answer": "5"}' and calls == ["number 5"] * 3 + [sy.REPAIR + "number 5"]
+    with pytest.raises(sy.RateLimited):
+        sy.Careful(Strange, attempts=1, pause=0.0, per_second=1e9).ask("number 8")
+
+
+def test_yaml_settings():
+    from tidelog.sources.config import flat, load_config, parse_yaml
+
+    assert parse_yaml("a: 1\nb:\n  c: 'x # y'\n  d:\n  - 1\n  - two\ne: ~ # none\n") == {"a": 1, "b": {"c": "x # y", "d": [1, "two"]}, "e": None}
+    assert load_config({"a": 1, "b": {"c": 2, "d": 3}}, text='{"b": {"c": 5}}', a=9) == {"a": 9, "b": {"c": 5, "d": 3}}
+    assert load_config({"a": 1}) == {"a": 1} and flat({"a": {"b": [1]}, "c": "t"}) == {"a.b": "[1]", "c": "t"}
+    with pytest.raises(ValueError):
+        parse_yaml("a: 1\n    b: 2\n  c")
+
+
+def test_chart_refuses_too_many_bars(spark, tmp_path):
+    from tidelog.sources import writers
+
+    with pytest.raises(ValueError):
+        writers.write_bar_chart(spark.range(30).selectExpr("id", "id AS n"), f"{tmp_path}/x", "id", "n", most=20)
 
 
 def test_failed_calls_are_rows(spark):

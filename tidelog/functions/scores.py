@@ -51,3 +51,8 @@ def kendall_tau(a: Column, b: Column) -> Column:
 def sample_size(n: Column, ratio: float, least: int = 1) -> Column:
     """floor(n * ratio), ``least`` at least, n at most."""
     return F.least(n, F.greatest(F.floor(n * ratio), F.lit(least)))
+
+
+def inverse_permutation(a: Column) -> Column:
+    """For each value 0, 1, ... of a permutation the place where it stands."""
+    return F.transform(F.sort_array(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s.i.cast("int"))

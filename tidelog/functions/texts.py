@@ -118,3 +118,20 @@ def template(pattern: str, *values: Column) -> Column:
 def is_question(text: Column, cues: Sequence[str] = ("what", "when", "which", "who", "how", "why", "where")) -> Column:
     """Ends or holds a question mark, or holds a cue word."""
     return F.coalesce(text.rlike("[?？]") | F.lower(text).rlike("(" + "|".join(cues) + ")"), F.lit(False))
+
+
+def parameters(text: Column) -> Column:
+    """``name = value; name = value`` as a map of trimmed text; parts without a name or an equals sign are left out, and the first of a name counts."""
+    pairs = F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: x.rlike("^[^=]*[^= ][^=]*="))
+    entry = lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("v"))
+    named = F.transform(pairs, entry)
+    first = F.filter(named, lambda e, i: F.array_position(F.transform(named, lambda o: o.k), e.k) == i + 1)
+    return F.map_from_entries(first)
+
+
+def prompt(text: str, **places: Column) -> Column:
+    """A prompt whose ``{name}`` places are filled from columns; without arguments it is the text itself, and a place that isn't given stays."""
+    out = F.lit(text)
+    for name, value in places.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -124,18 +124,18 @@ def batches(df: DataFrame, by: str, order: Sequence[Column], size: int) -> DataF
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("int"))
 
 
-def visible(visit: Column, ts: Column, *, cutoff_visit: Column, cutoff_ts: Column, inclusive: bool = True, until_visit: Column | None = None, until_ts: Column | None = None, unplaced: bool = True) -> Column:
-    """May a row be seen at a cutoff? By time where both times are known, else by visit; unknown visits (null, -1) are hidden under a visit cutoff.
+def visible(visit: Column, ts: Column, *, cutoff_visit: Column, cutoff_ts: Column, inclusive: bool = False, until_visit: Column | None = None, until_ts: Column | None = None) -> Column:
+    """May a row be seen at a cutoff? By time where the row's and the cutoff's are known, else by visit; an unknown visit (null, -1) is hidden under a visit cutoff.
 
     ``until_visit`` (exclusive) and ``until_ts`` (inclusive) limit further, where they are not null, and hide rows whose
-    visit or time is unknown. A row without time and visit is shown if both cutoffs are set, unless ``unplaced`` is off.
+    visit or time is unknown.
     """
     by_ts = ts <= cutoff_ts if inclusive else ts < cutoff_ts
-    by_visit = F.coalesce((visit <= cutoff_visit if inclusive else visit < cutoff_visit) & (visit >= 0), F.lit(False))
-    unknown = cutoff_ts.isNotNull() & visit.isNull() & F.lit(unplaced)
-    seen = F.when(cutoff_ts.isNotNull() & ts.isNotNull(), by_ts).when(cutoff_visit.isNotNull(), F.when(unknown, F.lit(True)).otherwise(by_visit)).otherwise(F.lit(True))
+    known = F.coalesce(visit >= 0, F.lit(False))
+    by_visit = known & F.coalesce(visit <= cutoff_visit if inclusive else visit < cutoff_visit, F.lit(False))
+    seen = F.when(cutoff_ts.isNotNull() & ts.isNotNull(), by_ts).when(cutoff_visit.isNotNull(), by_visit).otherwise(F.lit(True))
     if until_visit is not None:
-        seen &= until_visit.isNull() | F.coalesce((visit < until_visit) & (visit >= 0), F.lit(False))
+        seen &= until_visit.isNull() | (known & F.coalesce(visit < until_visit, F.lit(False)))
     if until_ts is not None:
         seen &= until_ts.isNull() | F.coalesce(ts <= until_ts, F.lit(False))
     return seen
@@ -146,21 +146,56 @@ def seen_so_far(df: DataFrame, by: str, ts: str, name: str = "n") -> DataFrame:
     return df.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).withColumn(name, F.count("*").over(Window.partitionBy(by).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def pack(df: DataFrame, by: str, group: str, order: str, text: str, budget: int) -> DataFrame:
-    """Newest group first, rows in order: rows are taken while they fit; one that doesn't ends its group, not the older ones.
+def pack(df: DataFrame, by: str, group: str, order: str, text: str, budget: int, *, item_chars: int = 900, note: Column | None = None, most_groups: int | None = None, bullet: str = "- ", cut_mark: str = " ...[TRUNCATED]") -> DataFrame:
+    """by, place, group, order, line: what fits into ``budget`` characters, newest group first, notes before other rows, then in order.
 
-    A fold over one entity's rows (its memory), which a running sum can't express: what is skipped depends on what was taken.
+    A longer text is cut to ``item_chars`` and marked. A line that doesn't fit ends its group, not the older ones; after
+    ``most_groups`` groups with a line no other is opened. A fold over one entity's rows (its memory), which a running
+    sum can't express: what is skipped depends on what was taken.
     """
-    items = F.sort_array(F.collect_list(F.struct((-F.col(group)).alias("g"), F.col(order).alias("o"), (F.length(text) + 1).alias("n"))))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(None).cast("bigint").alias("shut"), F.array().cast("array<struct<g:bigint,o:bigint>>").alias("taken"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    line = F.concat(F.lit(bullet), F.when(F.length(whole) > item_chars, F.concat(F.substring(whole, 1, item_chars), F.lit(cut_mark))).otherwise(whole))
+    late = F.lit(0) if note is None else F.coalesce((~note).cast("int"), F.lit(1))
+    items = F.sort_array(F.collect_list(F.struct((-F.col(group)).cast("bigint").alias("g"), late.alias("late"), F.col(order).cast("bigint").alias("o"), line.alias("line"))))
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("groups"), *[F.lit(None).cast("bigint").alias(x) for x in ("shut", "last")], F.array().cast("array<struct<g:bigint,o:bigint,line:string>>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:
-        fits = ~s.shut.eqNullSafe(x.g.cast("bigint")) & (s.used + x.n <= budget)
-        taken = F.concat(s.taken, F.array(F.struct(x.g.cast("bigint").alias("g"), x.o.cast("bigint").alias("o"))))
-        return F.struct(F.when(fits, s.used + x.n).otherwise(s.used).alias("used"), F.when(fits, s.shut).otherwise(x.g.cast("bigint")).alias("shut"), F.when(fits, taken).otherwise(s.taken).alias("taken"))
+        size = F.length(x.line) + 1
+        again = s.last.eqNullSafe(x.g)
+        opens = F.lit(True) if most_groups is None else again | (s.groups < most_groups)
+        fits = ~s.shut.eqNullSafe(x.g) & opens & (s.used + size <= budget)
+        taken = F.concat(s.taken, F.array(F.struct(x.g.alias("g"), x.o.alias("o"), x.line.alias("line"))))
+        return F.struct(
+            F.when(fits, s.used + size).otherwise(s.used).alias("used"),
+            F.when(fits & ~again, s.groups + 1).otherwise(s.groups).alias("groups"),
+            F.when(fits, s.shut).otherwise(x.g).alias("shut"),
+            F.when(fits, x.g).otherwise(s.last).alias("last"),
+            F.when(fits, taken).otherwise(s.taken).alias("taken"),
+        )
 
     folded = df.groupBy(by).agg(F.aggregate(items, zero, step, lambda s: s.taken).alias("t"))
-    return folded.select(by, F.posexplode("t").alias("place", "x")).select(by, "place", (-F.col("x.g")).alias(group), F.col("x.o").alias(order))
+    return folded.select(by, F.posexplode("t").alias("place", "x")).select(by, "place", (-F.col("x.g")).alias(group), F.col("x.o").alias(order), "x.line")
+
+
+def ratio_sample(df: DataFrame, by: str, keys: Sequence[str], ratio: float, seed: str = "7") -> DataFrame:
+    """floor(ratio * n) rows of each group, those that come first in a fixed shuffle, in the columns of df.
+
+    Groups may be few and large: counts by hash bucket find the bucket in which a group's share ends, and only that
+    bucket's rows are ranked (a 4096th of the group).
+    """
+    h = keyed_order(seed, *keys)
+    bucket = F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+    own = df.withColumns({"__h": h, "__b": bucket})
+    counts = own.groupBy(by, "__b").agg(F.count("*").alias("__n"))
+    run = Window.partitionBy(by).orderBy("__b")
+    upto = counts.withColumn("__upto", F.sum("__n").over(run)).withColumn("__want", F.floor(F.sum("__n").over(Window.partitionBy(by)) * ratio))
+    # One row for each group: its first bucket that isn't taken whole, and how many of that one's rows are.
+    edge = upto.where("__upto > __want").groupBy(F.col(by).alias("__by")).agg(F.min(F.struct("__b", (F.col("__want") - F.col("__upto") + F.col("__n")).alias("left"))).alias("__e"))
+    met = own.join(edge, F.col(by).eqNullSafe(F.col("__by")), "left")
+    whole = met.where(F.col("__e").isNull() | (F.col("__b") < F.col("__e.__b")))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("__h", *keys))
+    part = met.where(F.col("__b") == F.col("__e.__b")).withColumn("__r", rank).where(F.col("__r") <= F.col("__e.left"))
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -64,3 +64,8 @@ def disagreements(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, cou
     """Keys whose means differ by more than the tolerance or whose counts differ."""
     other = b.select(*on, F.col(value).alias("__v"), F.col(count).alias("__n"))
     return a.join(other, list(on)).where((F.abs(F.col(value) - F.col("__v")) > tolerance) | (F.col(count) != F.col("__n"))).select(*on)
+
+
+def audit(df: DataFrame, entity: str, *, terminal: Column, flag: Column) -> DataFrame:
+    """For each entity whether its terminal row is there, and how many of its rows are flagged."""
+    return df.groupBy(entity).agg(F.coalesce(F.bool_or(terminal), F.lit(False)).alias("has_terminal"), F.count_if(F.coalesce(flag, F.lit(False))).alias("flagged"))

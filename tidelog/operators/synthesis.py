@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator, Sequence
+import json
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import times
+from ..functions import scores, times
 from . import events as ev
+from . import rollups as ru
 
 
 class Client(Protocol):
@@ -27,14 +31,66 @@ class Offline:
         return '{"answer": "' + hashlib.md5(prompt.encode()).hexdigest()[:8] + '"}'
 
 
-def ask_model(df: DataFrame, key: str, prompt: str, client: type[Client] = Offline, attempts: int = 2) -> DataFrame:
-    """key, reply, error: a failed call is a row with its error, after ``attempts`` tries."""
+class RateLimited(Exception):
+    """The service asks to be left alone for a while."""
+
+
+#: What precedes a prompt whose reply was no JSON.
+REPAIR = "Reply with JSON only. "
+
+
+class Careful:
+    """A client around another: calls at most ``per_second`` times a second, tries again after a failure with a pause that doubles, and asks once to repair a reply that is no JSON."""
+
+    def __init__(self, inner: Callable[[], Client], *, attempts: int = 4, pause: float = 1.0, per_second: float = 5.0) -> None:
+        self.inner, self.attempts, self.pause, self.gap = inner(), attempts, pause, 1.0 / per_second
+        self.next = 0.0
+
+    def once(self, prompt: str) -> str:
+        now = time.monotonic()
+        if now < self.next:
+            time.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+        return self.inner.ask(prompt)
+
+    def patiently(self, prompt: str) -> str:
+        for turn in range(self.attempts):
+            try:
+                return self.once(prompt)
+            except Exception:
+                if turn + 1 == self.attempts:
+                    raise
+                time.sleep(self.pause * 2**turn)
+        raise ValueError("at least one attempt is needed")
+
+    def ask(self, prompt: str) -> str:
+        reply = self.patiently(prompt)
+        try:
+            json.loads(reply)
+        except ValueError:
+            reply = self.patiently(REPAIR + prompt)
+        return reply
+
+
+class Adapter:
+    """A client from a function of messages (a list of role and content), for services that take chats; the prompt is the list as JSON."""
+
+    def __init__(self, call: Callable[[list[dict]], str]) -> None:
+        self.call = call
+
+    def ask(self, prompt: str) -> str:
+        return self.call(json.loads(prompt))
+
+
+def ask_model(df: DataFrame, key: str | Sequence[str], prompt: str, client: Callable[[], Client] = Offline, attempts: int = 2) -> DataFrame:
+    """The key columns, reply, error: a failed call is a row with its error, after ``attempts`` tries."""
+    keys = [key] if isinstance(key, str) else list(key)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = client()
         for part in parts:
-            rows = []
-            for k, text in zip(part[key], part[prompt], strict=True):
+            replies, errors = [], []
+            for text in part[prompt]:
                 reply, error = None, None
                 for _ in range(attempts):
                     try:
@@ -42,10 +98,47 @@ def ask_model(df: DataFrame, key: str, prompt: str, client: type[Client] = Offli
                         break
                     except Exception as failed:  # noqa: BLE001  (a client may raise anything; the row carries it)
                         error = f"{type(failed).__name__}: {failed}"
-                rows.append((k, reply, error))
-            yield pd.DataFrame(rows, columns=[key, "reply", "error"])
+                replies.append(reply)
+                errors.append(error)
+            yield part[keys].assign(reply=replies, error=errors)
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, prompt).mapInPandas(run, f"{kinds}, reply string, error string")
+
 
-    return df.select(key, prompt).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, reply string, error string")
+def chat_turns(asked: DataFrame, facts: DataFrame, *, entity: str, turn: str, text: str, gate: str, client: Callable[[], Client] = Offline) -> DataFrame:
+    """entity, turn, kind, text: the facts, and for each asked turn the reply, written back as a dialog row.
+
+    Where the gate is open, the entity's last fact before the turn goes before the question (one running window over
+    both, no join of turns with facts).
+    """
+    rows = asked.select(entity, turn, text, gate, F.lit(None).cast("string").alias("__fact"), F.lit(True).alias("__asks"))
+    rows = rows.unionByName(facts.select(entity, turn, F.lit(None).cast("string").alias(text), F.lit(False).alias(gate), F.col(text).alias("__fact"), F.lit(False).alias("__asks")))
+    before = Window.partitionBy(entity).orderBy(turn, "__asks").rowsBetween(Window.unboundedPreceding, -1)
+    known = rows.withColumn("__known", F.last("__fact", ignorenulls=True).over(before)).where("__asks")
+    memory = F.when(F.col(gate) & F.col("__known").isNotNull(), F.concat(F.lit("Memory: "), "__known", F.lit("\n"))).otherwise("")
+    replies = ask_model(known.select(entity, turn, F.concat(memory, F.lit("User: "), F.col(text)).alias("__prompt")), [entity, turn], "__prompt", client)
+    dialog = replies.select(entity, turn, F.lit("dialog").alias("kind"), F.col("reply").alias("text"))
+    return dialog.unionByName(facts.select(entity, turn, F.lit("fact").alias("kind"), F.col(text).alias("text")))
+
+
+def panel_mapping(df: DataFrame, key: str, client: Callable[[], Client], *, batch_sizes: Sequence[int], canonical: Mapping[str, str]) -> DataFrame:
+    """panel, keys, n_events: keys sorted into panels by a model that is asked for batches, once for each batch size.
+
+    The most frequent keys come first. Each turn's replies (key to panel, as JSON) are votes; the most frequent panel of a
+    key wins, is canonicalised (itself, if it has no other name), and is applied to the rows of df.
+    """
+    counted = df.groupBy(key).agg(F.count("*").alias("n"))
+    ranked = ev.dense_ids(counted.withColumn("__by", F.struct((-F.col("n")).alias("m"), F.col(key).alias("k"))), "__by", "__place").select(F.col("__by.k").alias(key), "__place")
+    turns = []
+    for turn, size in enumerate(batch_sizes, 1):
+        batch = ranked.groupBy(F.floor((F.col("__place") - 1) / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("__place", key))).alias("s"))
+        turns.append(batch.select(F.lit(turn).alias("turn"), "batch", F.concat(F.lit(f"turn {turn}: "), F.array_join(F.transform("s", lambda x: x[key]), ", ")).alias("prompt")))
+    replies = ask_model(functools.reduce(DataFrame.unionByName, turns), ["turn", "batch"], "prompt", client)
+    cast = replies.select(F.explode(F.from_json("reply", "map<string,string>")).alias(key, "panel"))
+    names = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
+    voted = ru.votes(cast, key, "panel").select(key, F.coalesce(names[F.col("panel")], F.col("panel")).alias("panel"))
+    return voted.join(counted, key).groupBy("panel").agg(F.sort_array(F.collect_set(key)).alias("keys"), F.sum("n").alias("n_events"))
 
 
 def hash_embedding(text: Column, dim: int = 8) -> Column:
@@ -83,6 +176,76 @@ def horizon_question(events: DataFrame, *, entity: str, event_id: str, ts: str,
     return met.select(event_id, F.when(times.hours_between(F.col(ts), F.col("__end")) <= hours, "Yes").otherwise("No").alias("label"))
 
 
+def discharge_points(events: DataFrame, ends: DataFrame, *, entity: str, event_id: str, ts: str, end: str, hours: float, yes_ratio: float = 0.5, gap: float = 0.0, margin: float = 6.0, within: float = 72.0, last: int = 50, seed: str = "7") -> DataFrame:
+    """One decision point for each entity, shortly before its end: entity, event_id, label (Yes: the end is at most ``hours`` away).
+
+    Points are events of the last ``within`` hours. A fixed draw names the wanted pool: Yes in [gap, hours) before the
+    end, No in [hours, hours + margin). If it is empty the other pool serves, and if both are, the ``last`` events.
+    """
+    away = times.hours_between(F.col(ts), F.col(end))
+    met = events.join(ends, entity).withColumn("__away", away).where(F.col("__away").between(0, within))
+    yes = (F.col("__away") < hours) & (F.col("__away") >= gap)
+    no = (F.col("__away") >= hours) & (F.col("__away") < hours + margin)
+    draw = F.conv(F.substring(ev.keyed_order(seed, entity), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    wanted = F.when(draw < yes_ratio, yes).otherwise(no)
+    pool = F.when(wanted, 0).when(yes | no, 1).otherwise(2)
+    recent = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(ts), F.desc(event_id)))
+    pooled = met.withColumns({"__pool": pool, "__recent": recent}).where(f"__pool < 2 OR __recent <= {last}")
+    one = ev.top_k(pooled, [entity], [F.col("__pool"), ev.keyed_order(seed, event_id), F.col(event_id)], 1, "__r")
+    return one.select(entity, event_id, F.when(F.col("__away") <= hours, "Yes").otherwise("No").alias("label"))
+
+
+def factual_questions(items: DataFrame, kind: str) -> DataFrame:
+    """question_id, kind, explicit, relative, keywords from (event_id, ts, visit, place, name, answer) of one kind: LAB, MED or IMG.
+
+    The explicit form names the event and its time, the relative one its place among its kind in the visit. A null
+    answer stands for a laboratory value that the event doesn't have.
+    """
+    asks = {"LAB": "was %s measured, and what was the value", "MED": "which drugs were given with %s", "IMG": "what did the study of %s show"}[kind]
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    explicit = F.format_string(f"In event %s at %s, {asks}?", F.col("event_id").cast("string"), at, F.col("name"))
+    relative = F.format_string(f"In {kind} event %d of visit %d, {asks}?", F.col("place").cast("long"), F.col("visit").cast("long"), F.col("name"))
+    found = F.array(F.lit("found"), F.col("answer")) if kind == "LAB" else F.array("answer")
+    keywords = F.when(F.col("answer").isNull(), F.array(F.lit("not found"))).otherwise(found)
+    return items.select(F.concat_ws("-", F.col("event_id").cast("string"), F.lit(kind.lower())).alias("question_id"), F.lit(kind).alias("kind"), explicit.alias("explicit"), relative.alias("relative"), keywords.alias("keywords"))
+
+
+def stay_questions(stays: DataFrame) -> DataFrame:
+    """The fourth kind, ADM_DIS, in the same columns, from (entity, visit, complaint, diagnosis): one question a stay, without a relative form."""
+    text = F.format_string("In visit %d of %s, what was the complaint on admission and the diagnosis at discharge?", F.col("visit").cast("long"), F.col("entity").cast("string"))
+    keywords = F.array_compact(F.array("complaint", "diagnosis"))
+    return stays.select(F.format_string("%s-V%d-adm_dis", F.col("entity").cast("string"), F.col("visit").cast("long")).alias("question_id"), F.lit("ADM_DIS").alias("kind"), text.alias("explicit"), F.lit(None).cast("string").alias("relative"), keywords.alias("keywords"))
+
+
+def cloze_questions(df: DataFrame, by: Sequence[str], order: Sequence[str], key: str, target: Column, least: int, seed: str = "7") -> DataFrame:
+    """Per group: its stream with the targets cut out (GAP 0, GAP 1, ...), the targets in a fixed shuffle, and which of them fills each gap.
+
+    Groups with fewer than ``least`` targets ask nothing.
+    """
+    rows = df.withColumn("__t", F.coalesce(target, F.lit(False))).withColumn("__k", F.col(key).cast("string"))
+    stream = F.sort_array(F.collect_list(F.struct(*order, "__t", "__k")))
+    options = F.sort_array(F.collect_list(F.when(F.col("__t"), F.struct(ev.keyed_order(seed, key).alias("h"), F.col("__k").alias("k")))))
+    grouped = rows.groupBy(*by).agg(stream.alias("s"), options.alias("o")).where(F.size("o") >= least)
+    gaps = F.transform(F.filter("s", lambda x: x["__t"]), lambda x: x["__k"])
+    shown = F.transform("o", lambda x: x.k)
+    filled = F.transform("gaps", lambda k: (F.array_position("options", k) - 1).cast("int"))
+    # A gap's number is its place among the cut-out rows.
+    told = F.transform("s", lambda x: F.when(x["__t"], F.concat(F.lit("GAP "), (F.array_position("gaps", x["__k"]) - 1).cast("string"))).otherwise(x["__k"]))
+    both = grouped.withColumns({"gaps": gaps, "options": shown})
+    return both.select(*by, told.alias("stream"), "options", filled.alias("answer"))
+
+
+def joint_questions(visits: DataFrame, entity: str, visit: str, opening: str, closing: str, size: int, stride: int, seed: str = "7") -> DataFrame:
+    """Windows of ``size`` visits, each as its opening and its closing text: the texts in a fixed shuffle, and the true order of what is shown."""
+    both = visits.select(entity, visit, F.posexplode(F.array(opening, closing)).alias("side", "text")).where(F.col("text").isNotNull())
+    windows = ev.sliding(both, entity, [F.col(visit), F.col("side")], F.struct(visit, "side", "text"), 2 * size, 2 * stride)
+    each = windows.select(entity, "window", F.posexplode("items").alias("rank", "x")).select(entity, "window", "rank", "x.*")
+    shuffle = F.sort_array(F.collect_list(F.struct(ev.keyed_order(seed, entity, "window", "rank").alias("h"), "rank", "text")))
+    shown = each.groupBy(entity, "window").agg(shuffle.alias("s"))
+    truth = scores.inverse_permutation(F.transform("s", lambda x: x.rank))
+    return shown.select(entity, "window", F.transform("s", lambda x: x.text).alias("items"), truth.alias("answer"))
+
+
 def balanced_pick(df: DataFrame, by: str, label: str, keys: Sequence[str], seed: str = "7") -> DataFrame:
     """One row of each group: of the label that a coin names, else of the other."""
     wanted = F.when(coin(seed, by) == 0, "No").otherwise("Yes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,34 @@ def unit_vectors(df: DataFrame, vector: str, name: str = "unit") -> DataFrame:
     return df.withColumn(name, scores.normalized(F.col(vector)))
 
 
+def index(df: DataFrame, vector: str, metric: str = "ip", name: str = "indexed") -> DataFrame:
+    """What an exact search compares: unit vectors for the inner product, the vectors themselves for ``l2``; rows without a vector are left out, an empty store gives an empty index."""
+    if metric not in ("ip", "l2"):
+        raise ValueError(f"metric is ip or l2, not {metric!r}")
+    there = df.where(F.col(vector).isNotNull())
+    return unit_vectors(there, vector, name) if metric == "ip" else there.withColumn(name, F.transform(vector, lambda x: x.cast("double")))
+
+
+class Store:
+    """Vectors in folders by entity and kind: one entity's kind is read once, from its own folder."""
+
+    def __init__(self, spark, path: str, by: Sequence[str]) -> None:
+        self.spark, self.path, self.by = spark, path, list(by)
+        self.loaded: dict[tuple, DataFrame] = {}
+
+    def save(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").partitionBy(*self.by).parquet(self.path)
+        self.loaded.clear()
+
+    def load(self, *key: object) -> DataFrame:
+        if key not in self.loaded:
+            own = self.spark.read.parquet(self.path)
+            for name, value in zip(self.by, key, strict=True):
+                own = own.where(F.col(name) == F.lit(value))
+            self.loaded[key] = own.drop(*self.by).cache()
+        return self.loaded[key]
+
+
 def search(queries: DataFrame, docs: DataFrame, *, entity: str, query_id: str, doc_id: str, k: int, visible: Column | None = None, prefetch: int | None = None) -> DataFrame:
     """Each query's k best documents of its entity by inner product (columns qv and dv).
 

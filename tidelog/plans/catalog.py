@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, flows, helpers, joins, scalars, scans, sequences  # noqa: F401  (they register)
+from . import aggregates, files, flows, helpers, joins, questions, retrieval, scalars, scans, sequences  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 

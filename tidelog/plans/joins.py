@@ -35,7 +35,6 @@ def points(t):
 
 q("JOI10_horizon_join", HORIZON, lambda t: ev.decayed(ev.horizon_join(points(t), t.events, entity="user_id", at="at", ts="ts", hours=24), at="at", ts="ts").select("point_id", "event_id", "weight"))
 q("JOI11_horizon_by_day", "SELECT p.event_id AS point_id, e.event_id FROM events p JOIN events e ON p.user_id = e.user_id AND CASE WHEN e.event_type = 'error' THEN CAST(e.ts AS DATE) BETWEEN CAST(p.ts AS DATE) AND CAST(p.ts + INTERVAL 24 HOUR AS DATE) ELSE e.ts > p.ts AND e.ts <= p.ts + INTERVAL 24 HOUR END WHERE p.event_type = 'signup'", lambda t: ev.horizon_join(points(t), t.events.withColumn("fuzzy", c("event_type") == "error").withColumn("ts", F.when(c("fuzzy"), F.date_trunc("day", "ts").cast("timestamp_ntz")).otherwise(c("ts"))), entity="user_id", at="at", ts="ts", hours=24, day_only="fuzzy").select("point_id", "event_id"))
-q("JOI12_history_prefix", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n_before FROM events", lambda t: ev.history(t.events, "user_id", [c("ts"), c("event_id")], c("event_id")).select("event_id", F.size("history").cast("long").alias("n_before")))
 q("JOI13_next_event", "SELECT event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event_type FROM events", lambda t: ev.next_event(t.events, "user_id", [c("ts"), c("event_id")], ["event_type"]).select("event_id", "next_event_type"))
 VISITS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)"
 
@@ -44,14 +43,10 @@ def visits(t):
     return ev.with_ordinal(t.orders, ["o_custkey"], [c("o_orderdate"), c("o_orderkey")], "i")
 
 
-q("JOI14_prior_visits", f"SELECT a.o_orderkey, b.o_orderkey AS prior FROM {VISITS} a JOIN {VISITS} b ON a.o_custkey = b.o_custkey AND b.i < a.i WHERE a.o_custkey % 10 = 0", lambda t: (lambda v: v.where("o_custkey % 10 = 0").select("o_orderkey", "o_custkey", "i").join(v.select("o_custkey", c("o_orderkey").alias("prior"), c("i").alias("j")), "o_custkey").where("j < i").select("o_orderkey", "prior"))(visits(t)))
-q("JOI14_prior_visits_all", f"SELECT a.o_orderkey, b.o_orderkey AS prior FROM {VISITS} a JOIN {VISITS} b ON a.o_custkey = b.o_custkey AND b.i < a.i", lambda t: (lambda v: v.select("o_orderkey", "o_custkey", "i").join(v.select("o_custkey", c("o_orderkey").alias("prior"), c("i").alias("j")), "o_custkey").where("j < i").select("o_orderkey", "prior"))(visits(t)))
 q("JOI15_terminal_window", "SELECT e.event_id FROM events e JOIN (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) m USING (user_id) WHERE e.ts >= m.last - INTERVAL 48 HOUR AND e.ts <= m.last - INTERVAL 30 MINUTE", lambda t: t.events.join(t.events.groupBy("user_id").agg(F.max("ts").alias("last")), "user_id").where(times.hours_between(c("ts"), c("last")).between(0.5, 48)).select("event_id"))
 q("JOI16_point_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42", lambda t: t.orders.where("o_orderkey = 42").select("o_orderkey", "o_totalprice"))
 q("JOI17_cutoff_coordinates", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error') WHERE r = 1", lambda t: t.events.where("event_type = 'error'").groupBy("user_id").agg(F.min_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.ts"))
 q("JOI18_option_lookup", "SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", lambda t: t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality"), "doc_id", "left"))
-q("JOI19_completeness", "SELECT count(*) AS expected, count(l.doc_id) AS done, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id", lambda t: t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(1).alias("have")).distinct(), "doc_id", "left").agg(F.count("*").alias("expected"), F.count("have").alias("done")).withColumn("missing", c("expected") - c("done")))
-q("JOI20_task_grid", "SELECT r_name, n_name FROM region, nation", lambda t: t.region.select("r_name", F.lit(1).alias("k")).join(t.nation.select("n_name", F.lit(1).alias("k")), "k").select("r_name", "n_name"))
 q("JOI21_vector_join", "SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3", lambda t: vectors.search(t.embeddings.select("label", c("vec_id").alias("query_id"), c("embedding").alias("qv")), t.embeddings.select("label", "vec_id", c("embedding").alias("dv")), entity="label", query_id="query_id", doc_id="vec_id", k=3, visible=c("vec_id") != c("query_id")).select("query_id", "vec_id", "rank"))
 
 # ---- sets and restructuring --------------------------------------------------------------------------------------
@@ -68,10 +63,6 @@ q("SET10_fingerprint_dedup", "SELECT event_id FROM (SELECT *, row_number() OVER
 q("SET11_scoped_delete", "SELECT event_id FROM events WHERE NOT (user_id = 7 AND event_type = 'view')", lambda t: t.events.where(~F.coalesce((c("user_id") == 7) & (c("event_type") == "view"), F.lit(False))).select("event_id"))
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------
-q("VEC1_index", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings", lambda t: vectors.unit_vectors(t.embeddings, "embedding").select("vec_id", F.size("unit").alias("dim")))
-q("VEC3_prefetch_search", "SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r2 FROM (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 10 = 0) WHERE r <= 20 AND vec_id < query_id) WHERE r2 <= 4", lambda t: vectors.search(t.embeddings.where("vec_id % 10 = 0").select("label", c("vec_id").alias("query_id"), c("embedding").alias("qv")), t.embeddings.select("label", "vec_id", c("embedding").alias("dv")), entity="label", query_id="query_id", doc_id="vec_id", k=4, prefetch=20, visible=c("vec_id") < c("query_id")).select("query_id", "vec_id"))
 q("VEC4_lexical", "SELECT conv_id, turn, score FROM (SELECT conv_id, turn, CASE WHEN contains(lower(text), 'thing') THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS r FROM conversations) WHERE r <= 2", lambda t: vectors.lexical(t.conversations.select("conv_id").distinct().withColumn("needle", F.lit("Thing")), t.conversations, entity="conv_id", query_id="conv_id", needle="needle", text="text", position="turn", k=2).select("conv_id", "turn", "score"))
 q("VEC6_retrieval_gate", "SELECT conv_id, turn, role = 'user' AND regexp_matches(text, '[?？]') AS retrieve FROM conversations", lambda t: t.conversations.select("conv_id", "turn", ((c("role") == "user") & c("text").rlike("[?？]")).alias("retrieve")))
-q("FLT15_visibility", "SELECT a.event_id AS point_id, count(*) AS n FROM (SELECT * FROM events WHERE event_id % 50 = 0) a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1", lambda t: t.events.where("event_id % 50 = 0").select("user_id", c("event_id").alias("point_id"), c("ts").alias("at")).join(t.events, "user_id").where(ev.visible(F.lit(None).cast("int"), c("ts"), cutoff_visit=F.lit(1), cutoff_ts=c("at"))).groupBy("point_id").agg(F.count("*").alias("n")))
-q("FLT15_visibility_all", "SELECT a.event_id AS point_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY 1", lambda t: ev.seen_so_far(t.events, "user_id", "ts").groupBy(c("event_id").alias("point_id")).agg(F.sum("n").alias("n")))
 q("FLT16_whitelist", "SELECT event_id FROM events WHERE user_id = 3 OR (user_id = 5 AND event_id % 2 = 0)", lambda t: t.events.join(t.spark.createDataFrame([(3, None), (5, 0)], "user_id bigint, parity bigint"), "user_id").where(c("parity").isNull() | (c("event_id") % 2 == c("parity"))).select("event_id"))

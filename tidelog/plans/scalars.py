@@ -51,7 +51,6 @@ q("FLT11_target_events", "SELECT event_id, event_type IN ('click', 'view') AND v
 q("FLT12_skip_visit_zero", "SELECT event_id FROM events WHERE user_id <> 0", lambda t: t.events.withColumn("v", F.concat(F.lit("V"), c("user_id").cast("string"))).where(c("v").isNotNull() & (c("v") != "V0")).select("event_id"))
 q("FLT13_having_at_least", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 60", lambda t: t.events.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 60"))
 q("FLT14_from_visit", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) WHERE i >= 3", lambda t: __import__("tidelog.operators.events", fromlist=["x"]).with_ordinal(t.orders, ["o_custkey"], [c("o_orderdate"), c("o_orderkey")]).where("seq >= 3").select("o_custkey", "o_orderkey"))
-q("FLT17_scope_match", "SELECT event_id FROM events WHERE user_id = 7 AND event_type = 'view'", lambda t: t.events.where(F.lit(None).cast("long").isNull() | (c("event_id") == F.lit(None))).where((c("user_id") == 7) & (c("event_type") == "view")).select("event_id"))
 q("FLT18_is_question", "SELECT conv_id, turn, regexp_matches(text, '[?？]') OR regexp_matches(lower(text), '(what|when|which|who|how|why|where)') AS asks FROM conversations", lambda t: t.conversations.select("conv_id", "turn", texts.is_question(c("text")).alias("asks")))
 
 # ---- strings -----------------------------------------------------------------------------------------------------
@@ -88,8 +87,6 @@ q("DTM7_text_compare", "SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%d
 q("MTH1_decay", "SELECT event_id, exp(-ln(100) / 24 * greatest((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-02')) / 3.6e9, 0)) AS w FROM events", lambda t: t.events.select("event_id", scores.decay(times.hours_between(F.lit("2024-01-02 00:00:00").cast("timestamp"), c("ts"))).alias("w")))
 q("MTH3_uniform_weight", "SELECT user_id, event_type, 1.0 / count(*) OVER (PARTITION BY user_id) AS w FROM (SELECT DISTINCT user_id, event_type FROM events)", lambda t: t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("a")).select("user_id", F.explode(F.map_from_arrays("a", F.transform("a", lambda x: F.lit(1.0) / F.size("a")))).alias("event_type", "w")))
 q("MTH4_weighted_accuracy", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.75::DOUBLE WHEN 'O' THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS acc FROM orders", lambda t: t.orders.select("o_orderkey", scores.weighted_accuracy(F.array(F.concat(F.lit("<"), c("o_orderstatus"), F.lit(">"))), F.create_map(F.lit("f"), F.lit(0.75), F.lit("o"), F.lit(0.25))).alias("acc")))
-q("MTH5_kendall_tau", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE / 3 END AS tau FROM nation", lambda t: t.nation.select("n_nationkey", scores.kendall_tau(F.array(*map(F.lit, (1, 2, 3))), F.when(c("n_nationkey") % 3 == 0, F.array(*map(F.lit, (4, 5, 6)))).when(c("n_nationkey") % 3 == 1, F.array(*map(F.lit, (9, 5, 1)))).otherwise(F.array(*map(F.lit, (1, 3, 2))))).alias("tau")))
-q("MTH6_l2_normalise", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-12)) ^ 2))), 6) AS n FROM embeddings", lambda t: t.embeddings.select("vec_id", F.round(scores.l2_norm(scores.normalized(c("embedding"))), 6).alias("n")))
 q("MTH7_sample_size", "SELECT user_id, least(count(*), greatest(CAST(floor(count(*) * 0.1) AS BIGINT), 3)) AS n FROM events GROUP BY user_id", lambda t: t.events.groupBy("user_id").agg(F.count("*").alias("k")).select("user_id", scores.sample_size(c("k"), 0.1, 3).alias("n")))
 q("MTH8_horizon_label", "SELECT event_id, CASE WHEN (epoch_us(TIMESTAMP '2024-01-15') - epoch_us(ts)) / 3.6e9 <= 24 THEN 'Yes' ELSE 'No' END AS label FROM events", lambda t: t.events.select("event_id", F.when(times.hours_between(c("ts"), F.lit("2024-01-15 00:00:00").cast("timestamp")) <= 24, "Yes").otherwise("No").alias("label")))
 
@@ -109,7 +106,6 @@ q("ARR4_normal_list", "SELECT n_nationkey, [n_name] AS a FROM nation", lambda t:
 q("ARR5_candidates", f"SELECT l_orderkey, list_filter(a, lambda x, i: x <> a[1] AND list_position(a, x) = i)[1:3] AS a FROM ({BASKET})", lambda t: basket(t).select("l_orderkey", F.slice(F.array_distinct(F.array_except("a", F.slice("a", 1, 1))), 1, 3).alias("a")))
 q("ARR6_backfill", "SELECT n_nationkey, [n_name, 'Unrelated 1', 'Unrelated 2'] AS a FROM nation", lambda t: t.nation.select("n_nationkey", F.concat(F.array("n_name"), F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("Unrelated "), i.cast("string")))).alias("a")))
 q("ARR7_keyed_shuffle", "SELECT o_custkey, list(o_orderkey ORDER BY md5('s::' || o_orderkey)) AS a FROM orders GROUP BY o_custkey", lambda t: t.orders.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.md5(F.concat(F.lit("s::"), c("o_orderkey").cast("string"))).alias("h"), "o_orderkey"))), lambda x: x.o_orderkey).alias("a")))
-q("ARR8_inverse_permutation", "SELECT n_nationkey, [1, 2, 0] AS a FROM nation", lambda t: t.nation.select("n_nationkey", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda r: (F.array_position(F.array(*map(F.lit, (2, 0, 1))), r) - 1).cast("int")).alias("a")))
 q("MAP1_weight_map", "SELECT user_id, event_type, max(value) AS high, max_by(value, ts) AS last FROM events GROUP BY ALL", lambda t: t.events.groupBy("user_id", "event_type").agg(F.max("value").alias("high"), F.max_by("value", "ts").alias("last")))
 q("MAP2_apply_or_same", "SELECT event_id, CASE event_type WHEN 'view' THEN 'click' ELSE event_type END AS kind FROM events", lambda t: t.events.select("event_id", F.coalesce(F.create_map(F.lit("view"), F.lit("click"))[c("event_type")], c("event_type")).alias("kind")))
 q("MAP3_reverse", "SELECT r_name AS k, r_regionkey AS v FROM region", lambda t: t.region.select(F.create_map("r_regionkey", "r_name").alias("m")).select(F.explode(F.map_from_arrays(F.map_values("m"), F.map_keys("m"))).alias("k", "v")))

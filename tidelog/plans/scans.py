@@ -22,12 +22,6 @@ def csv_existing(t: Tables):
     return readers.scan_csv_safe(t.spark, at, ["n_nationkey", "absent", "n_name"])
 
 
-@query("SRC3_csv_header", "SELECT column_name FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) v(column_name)")
-def csv_header(t: Tables):
-    writers.write_csv(t.nation, at := t.scratch())
-    return t.spark.createDataFrame([(c,) for c in readers.csv_columns(t.spark, at)], "column_name string")
-
-
 @query("SRC4_csv_parse_dates", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL")
 def csv_dates(t: Tables):
     out = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_totalprice")
@@ -82,46 +76,12 @@ def jsonl_wrap(t: Tables):
     return readers.scan_jsonl(t.spark, _dirty(t), "r_regionkey bigint, r_name string", "mark").select("r_name", F.col("_value").alias("value"))
 
 
-@query("SRC11_count_unreadable", "SELECT CAST(1 AS BIGINT) AS unreadable")
-def unreadable(t: Tables):
-    return readers.count_unreadable(t.spark, _dirty(t)).agg(F.sum("unreadable").alias("unreadable"))
-
-
-@query("SRC12_glob_dir_file", "SELECT count(*) AS n FROM nation")
-def glob(t: Tables):
-    t.nation.write.json(f"{(at := t.scratch())}/x1")
-    return t.spark.read.schema("n_nationkey bigint").json(f"{at}/x*").agg(F.count("n_nationkey").alias("n"))
-
-
-@query("SRC13_vector_store", "SELECT label, count(*) AS n FROM embeddings WHERE label < 3 GROUP BY label")
-def vector_store(t: Tables):
-    t.embeddings.write.partitionBy("label").parquet(at := t.scratch())
-    return t.spark.read.parquet(at).where("label < 3").groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("SRC13_vector_store_all", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
-def vector_store_all(t: Tables):
-    t.embeddings.write.partitionBy("label").parquet(at := t.scratch())
-    return t.spark.read.parquet(at).groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("SRC14_preview", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
-def preview(t: Tables):
-    return t.customer.select("c_custkey", "c_name").orderBy("c_custkey").limit(5)
-
-
 @query("SNK1_filtered_csv", "SELECT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'error'")
 def filtered_csv(t: Tables):
     writers.write_csv(t.events.where("event_type = 'error'").select("event_id", "event_type"), at := t.scratch())
     return readers.scan_csv(t.spark, at, ["event_id"])
 
 
-@query("SNK2_empty_header", "SELECT column_name FROM (VALUES ('c_custkey'), ('c_name')) v(column_name)")
-def empty_header(t: Tables):
-    writers.write_csv(t.customer.where("false").select("c_custkey", "c_name"), at := t.scratch())
-    return t.spark.createDataFrame([(c,) for c in readers.csv_columns(t.spark, at)], "column_name string")
-
-
 @query("SNK3_csv_table", "SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
 def csv_table(t: Tables):
     writers.write_csv(t.region, at := t.scratch())

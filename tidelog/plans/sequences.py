@@ -54,21 +54,16 @@ q("MTH2_relative_weight", f"SELECT event_id, value / first_value(value) OVER ({O
 # ---- sampling ----------------------------------------------------------------------------------------------------
 q("SMP1_k_per_visit_type", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY md5('7::' || event_id), event_id) AS r FROM events) WHERE r <= 2", lambda t: ev.sample_per_group(t.events, ["user_id", "event_type"], ["event_id"], 2).select("event_id"))
 q("SMP2_decision_points", f"SELECT user_id, event_id, CAST(row_number() OVER ({ORDER}) AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('7::' || event_id), event_id) AS r FROM events) WHERE r <= 5", lambda t: ev.with_ordinal(ev.sample_per_group(t.events, ["user_id"], ["event_id"], 5), ["user_id"], order(), "pos").select("user_id", "event_id", "pos"))
-q("SMP3_ratio_sample", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('7::' || event_id), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= floor(n * 0.1)", lambda t: t.events.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(ev.keyed_order("7", "event_id"), "event_id"))).join(t.events.groupBy("event_type").agg(F.count("*").alias("n")), "event_type").where(c("r") <= F.floor(c("n") * 0.1)).select("event_id"))
 q("SMP4_balanced_pick", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(label <> CASE WHEN CAST('0x' || substr(md5('7::' || user_id), 1, 8) AS BIGINT) % 2 = 0 THEN 'No' ELSE 'Yes' END AS INTEGER), md5('7::' || event_id), event_id) AS r FROM (SELECT *, CASE WHEN value > 25 THEN 'Yes' ELSE 'No' END AS label FROM events)) WHERE r = 1", lambda t: sy.balanced_pick(t.events.withColumn("label", F.when(c("value") > 25, "Yes").otherwise("No")), "user_id", "label", ["event_id"]).select("user_id", "event_id"))
 q("SMP5_negative_sample", "SELECT user_id, n_name FROM (SELECT u.user_id, n_name, row_number() OVER (PARTITION BY u.user_id ORDER BY md5('7::' || u.user_id || '::' || n_name)) AS r FROM (SELECT DISTINCT user_id FROM events) u JOIN nation ON n_regionkey = u.user_id % 5 WHERE NOT contains(lower(n_name), '1')) WHERE r = 1", lambda t: ev.sample_per_group(t.events.select("user_id", (c("user_id") % 5).alias("n_regionkey")).distinct().join(t.nation, "n_regionkey").where(~texts.similar_names(c("n_name"), F.lit("1"))), ["user_id"], ["user_id", "n_name"], 1).select("user_id", "n_name"))
 q("SMP6_coin", "SELECT event_id, CAST('0x' || substr(md5('7::' || event_id), 1, 8) AS BIGINT) % 2 AS coin FROM events", lambda t: t.events.select("event_id", sy.coin("7", "event_id").alias("coin")))
 
 # ---- questions ---------------------------------------------------------------------------------------------------
 KINDS = ("click", "error", "purchase", "signup", "view")
-q("QST1_next_action", f"SELECT event_id, answer, 3 AS n_options FROM (SELECT event_id, lead(event_type) OVER ({ORDER}) AS answer FROM events) WHERE answer IS NOT NULL", lambda t: sy.next_action_questions(t.events, entity="user_id", event_id="event_id", ts="ts", kind="event_type", kinds=KINDS, k=3).where(F.array_contains("options", c("answer"))).select("event_id", "answer", F.size("options").alias("n_options")))
 q("QST2_weighted_options", "SELECT point_id, event_type, max(w) AS weight FROM (SELECT p.event_id AS point_id, e.event_type, exp(-ln(100) / 24 * (epoch_us(e.ts) - epoch_us(p.ts)) / 3.6e9) AS w FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL 24 HOUR WHERE p.event_type = 'signup') GROUP BY ALL", lambda t: sy.weighted_options(ev.decayed(ev.horizon_join(t.events.where("event_type = 'signup'").select("user_id", c("event_id").alias("point_id"), c("ts").alias("at")), t.events, entity="user_id", at="at", ts="ts", hours=24), at="at", ts="ts"), "point_id", "event_type").select("point_id", F.explode("answer").alias("event_type", "weight")))
-q("QST3_terminal_horizon", "SELECT event_id, CASE WHEN (epoch_us(m) - epoch_us(ts)) / 3.6e9 <= 72 THEN 'Yes' ELSE 'No' END AS label FROM events JOIN (SELECT user_id, max(ts) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (user_id)", lambda t: sy.horizon_question(t.events, entity="user_id", event_id="event_id", ts="ts", terminal=c("event_type") == "purchase", hours=72))
 q("QST4_visit_questions", "SELECT user_id || '-T' || printf('%04d', i) || '-T3-N-0' AS qid, event_type AS answer FROM (SELECT user_id, i - 1 AS i, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) WHERE i > 1)", lambda t: ev.next_event(ev.with_ordinal(t.events, ["user_id"], order()), "user_id", order(), ["event_type"]).where("next_event_type IS NOT NULL").select(F.format_string("%d-T%04d-T3-N-0", "user_id", "seq").alias("qid"), c("next_event_type").alias("answer")))
-q("QST5_factual_rows", "SELECT event_id || '-' || left(event_type, 3) AS question_id, 'What was ' || event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '?' AS question, value FROM events", lambda t: t.events.select(F.concat_ws("-", c("event_id").cast("string"), F.left("event_type", F.lit(3))).alias("question_id"), texts.template("What was %s at %s?", c("event_type"), times.time_text(c("ts"))).alias("question"), "value"))
 q("QST6_sorting_questions", f"SELECT user_id, \"window\", list(event_id ORDER BY md5('7::' || event_id)) AS items FROM (SELECT user_id, CAST(i / 5 AS INTEGER) AS \"window\", unnest(items) AS event_id FROM (SELECT user_id, row_number() OVER ({ORDER}) - 1 AS i, list(event_id) OVER ({ORDER} ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS items FROM events) WHERE len(items) = 5 AND i % 5 = 0) GROUP BY ALL", lambda t: sy.shuffled_ranking(ev.sliding(t.events, "user_id", order(), c("event_id"), 5, 5).select("user_id", "window", F.posexplode("items").alias("p", "event_id")), ["user_id", "window"], [c("p")], "event_id").select("user_id", "window", "items"))
 q("QST7_messages", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1", lambda t: sy.messages(t.conversations, "conv_id", ["turn"], "role", "text").select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(": "), m.text)), "\n").alias("prompt")))
-q("VEC2_embed_texts", "SELECT conv_id, turn, CAST(8 AS INTEGER) AS dim FROM conversations", lambda t: t.conversations.select("conv_id", "turn", F.size(sy.hash_embedding(c("text"))).alias("dim")))
 
 # ---- models as opaque functions ----------------------------------------------------------------------------------
 q("UDF1_model_calls", "SELECT c_custkey, '{\"answer\": \"' || substr(md5('q ' || c_name), 1, 8) || '\"}' AS reply FROM customer", lambda t: sy.ask_model(t.customer.select("c_custkey", F.concat(F.lit("q "), c("c_name")).alias("prompt")), "c_custkey", "prompt").select("c_custkey", "reply"))
@@ -87,22 +82,13 @@ class Failing:
 q("UDF5_errors_are_rows", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS reply, CASE WHEN n_nationkey % 2 = 1 THEN 'ValueError: odd' END AS error FROM nation", lambda t: sy.ask_model(t.nation.select("n_nationkey", c("n_nationkey").cast("string").alias("prompt")), "n_nationkey", "prompt", Failing))
 
 # ---- remaining helpers -------------------------------------------------------------------------------------------
-q("AUX1_panel_mapping", "SELECT event_type, list(DISTINCT user_id ORDER BY user_id)[1:3] AS keys FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1 GROUP BY 1", lambda t: ru.inverted(ru.votes(t.events, "user_id", "event_type"), "user_id", "event_type").select("event_type", F.slice("keys", 1, 3).alias("keys")))
-q("AUX1_panel_mapping_all", "SELECT event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1", lambda t: ru.votes(t.events, "user_id", "event_type").select("event_type", "user_id"))
 q("AUX6_missing_list", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels", lambda t: ev.pending(t.documents.select("doc_id"), t.labels, ["doc_id"]).distinct())
 q("AUX8_bucket_by_visit", "SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(user_id AS INTEGER) END AS visit, count(*) AS n FROM events GROUP BY 1", lambda t: t.events.select(F.coalesce(texts.suffix_number(F.when(c("event_id") % 3 == 0, "UNK").otherwise(F.concat(F.lit("V"), c("user_id").cast("string"))), "V"), F.lit(-1)).alias("visit")).groupBy("visit").agg(F.count("*").alias("n")))
 q("AUX9_notes_first", f"SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'signup', ts, event_id) AS INTEGER) AS seq FROM events", lambda t: ev.with_ordinal(t.events, ["user_id"], [c("event_type") != "signup", *order()]).select("event_id", "seq"))
 q("AUX16_null_safe", "SELECT event_id, TRY_CAST(event_id % 10 AS INTEGER) AS n FROM events", lambda t: t.events.select("event_id", nulls.lenient((c("event_id") % 10).cast("string"), "int").alias("n")))
 q("AUX17_summary_line", "SELECT c_custkey, c_name || '; ' || c_mktsegment AS line FROM customer", lambda t: t.customer.select("c_custkey", F.array_join(F.filter(F.array("c_name", F.lit(None).cast("string"), "c_mktsegment"), lambda x: x.isNotNull()), "; ").alias("line")))
 q("AUX19_context_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", lambda t: ev.pending(t.customer.select(c("c_custkey").alias("k")), t.orders.select(c("o_custkey").alias("k")), ["k"]).select(c("k").alias("c_custkey")))
-q("AUX20_note_items", "SELECT conv_id, turn, i FROM (SELECT conv_id, turn, unnest(range(greatest(1, CAST(ceil((length(text) - 150) / 1050.0) AS INTEGER)))) AS i FROM conversations WHERE length(text) > 0)", lambda t: t.conversations.select("conv_id", "turn", F.posexplode(texts.chunks(c("text"))).alias("i", "x")).select("conv_id", "turn", c("i").cast("long").alias("i")))
 q("AUX21_mapped_events", "SELECT event_id, CASE event_type WHEN 'click' THEN 'A' ELSE 'B' END AS kind FROM events WHERE event_type IN ('click', 'purchase')", lambda t: t.events.join(t.spark.createDataFrame([("click", "A"), ("purchase", "B")], "event_type string, kind string"), "event_type").select("event_id", "kind"))
 q("AUX23_turn_of_event", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1", lambda t: t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("turn")))
 q("AUX32_note_lengths", "SELECT role, count(*) AS n, quantile_cont(length(text), 0.9) AS p90 FROM conversations GROUP BY 1", lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.percentile(F.length("text"), 0.9).alias("p90")))
 q("AUX35_message_blocks", "SELECT conv_id, turn, role, 'text' AS kind, text FROM conversations", lambda t: t.conversations.select("conv_id", "turn", "role", F.inline(F.array(F.struct(F.lit("text").alias("kind"), "text")))))
-
-
-@query("WIN17_budget_packing")
-def packing(t):
-    """A fold: tested against a loop in the tests."""
-    return ev.pack(t.conversations.withColumn("visit", (c("turn") / 2).cast("bigint")), "conv_id", "visit", "turn", "text", 2000)

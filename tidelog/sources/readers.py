@@ -61,4 +61,33 @@ def count_unreadable(spark: SparkSession, path: str) -> DataFrame:
     """(file, unreadable) for each JSON lines file: lines that are no JSON."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     bad = F.expr("try_parse_json(value)").isNull()
-    return lines.groupBy(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file")).agg(F.count_if(bad).alias("unreadable"))
+    return lines.groupBy(F.input_file_name().alias("file")).agg(F.count_if(bad).alias("unreadable"))
+
+
+def scan_any(spark: SparkSession, path: str, schema: str, recursive: bool = False) -> DataFrame:
+    """JSON lines from a file, a pattern or a folder; with ``recursive`` from all folders below it too."""
+    reader = spark.read.schema(schema)
+    if recursive:
+        return reader.option("recursiveFileLookup", True).json(path)
+    # A folder's own files: what lies deeper belongs to no table of its own.
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if any(x in path for x in "*?[{") or not fs.getFileStatus(at).isDirectory():
+        return reader.json(path)
+    own = [str(x.getPath()) for x in fs.listStatus(at) if x.isFile() and not str(x.getPath().getName()).startswith(("_", "."))]
+    return reader.json(own) if own else spark.createDataFrame([], schema)
+
+
+def preview(spark: SparkSession, path: str, n: int) -> list[tuple]:
+    """The header and the first n rows of a CSV file, as text."""
+    names = csv_columns(spark, path)
+    return [tuple(names), *(tuple(r) for r in scan_csv(spark, path, names).limit(n).collect())]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as one text, from wherever Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
+    return [name for name in required if name not in df.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,3 +44,18 @@ def resume(df: DataFrame, path: str, on: Sequence[str]) -> int:
     n = todo.count()
     todo.write.mode("append").parquet(path)
     return n
+
+
+def write_bar_chart(df: DataFrame, path: str, label: str, value: str, *, title: str = "", most: int = 200, height: float = 200.0) -> None:
+    """An SVG drawing with a bar for each row, in order of the labels; a chart with more than ``most`` bars is refused."""
+    rows = df.select(label, value).orderBy(label).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a chart has {most} bars at most")
+    top = max([float(r[1]) for r in rows], default=0.0) or 1.0
+    lines = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{24 * len(rows) + 20}" height="{height + 60:g}">', f"<title>{escape(title)}</title>"]
+    for i, (name, n) in enumerate(rows):
+        tall = round(height * float(n) / top, 2)
+        lines.append(f'<rect class="bar" x="{24 * i + 10}" y="{height + 10 - tall:g}" width="20" height="{tall}" data-label={quoteattr(str(name))} data-value="{n}"/>')
+        lines.append(f'<text x="{24 * i + 10}" y="{height + 30:g}">{escape(str(name))}</text>')
+    lines.append("</svg>")
+    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)

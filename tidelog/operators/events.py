@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, times
+from ..sources.shared import written
 
 
 def dictionary_join(facts: DataFrame, names: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -48,15 +49,23 @@ def with_ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def running_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "n") -> DataFrame:
+    """1, 2, ... in a total order: counts by range partition, then ordinals within each, no global window.
+
+    The rows are written once with their partition and place: both uses must see the same partitions.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__m"))
+    kept = written(spread)
+    # Range partitions ascend with the order, and a row's id with its place in the partition.
+    counted = kept.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__first"))
+    # One row for each partition.
+    before = counted.select("__p", "__first", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return kept.join(F.broadcast(before), "__p").withColumn(name, (F.col("__m") - F.col("__first") + F.col("__before") + 1).cast("long")).drop("__p", "__m", "__first", "__before")
+
+
 def dense_ids(df: DataFrame, key: str, name: str = "n") -> DataFrame:
-    """1, 2, ... over the distinct keys in order: counts by range partition, then ordinals within each, no global window."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    spread = keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    # Range partitions ascend with the key, so a partition's smallest key ranks it.
-    counted = spread.groupBy("__p").agg(F.count("*").alias("__c"), F.min(key).alias("__lo"))
-    before = counted.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(key))
-    return spread.withColumn("__r", own).join(F.broadcast(before.select("__p", "__before")), "__p").select(key, (F.col("__r") + F.col("__before")).cast("long").alias(name))
+    """1, 2, ... over the distinct keys in order."""
+    return running_numbers(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], name)
 
 
 def next_event(df: DataFrame, by: str, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:

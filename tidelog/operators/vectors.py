@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +44,44 @@ class Store:
         return self.loaded[key]
 
 
-def search(queries: DataFrame, docs: DataFrame, *, entity: str, query_id: str, doc_id: str, k: int, visible: Column | None = None, prefetch: int | None = None) -> DataFrame:
-    """Each query's k best documents of its entity by inner product (columns qv and dv).
+def search(queries: DataFrame, docs: DataFrame, *, entity: str, query_id: str, doc_id: str, k: int, visible: Column | None = None, prefetch: int | None = None, other: bool = False, block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
+    """Each query's k best documents of its entity by inner product (columns qv and dv), ties to the smaller id: the columns of both sides, score and rank.
 
-    With ``prefetch`` the visibility filter is applied to the best ``prefetch`` alone, so that fewer than k may be
-    left; without, before ranking. The join is on the entity, so a query only meets its own entity's documents.
+    Visibility is applied to the best ``prefetch`` (k without it), so that fewer than k may be left. With ``other`` a
+    query doesn't meet the document of its own id. Queries and documents meet in blocks of their entity, so that a large
+    entity is many tasks; a block gives out its best few for each query, and only those are joined to their rows.
     """
-    met = queries.join(docs, entity).withColumn("score", scores.dot(F.col("qv"), F.col("dv")))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    if prefetch is not None:
-        met = met.withColumn("__p", F.row_number().over(order)).where(F.col("__p") <= prefetch).drop("__p")
+    take = max(k, prefetch or 0)
+    asked = queries.select(F.col(entity).alias("e"), F.col(query_id).alias("q"), F.transform("qv", lambda x: x.cast("double")).alias("v")).where("e IS NOT NULL AND q IS NOT NULL AND v IS NOT NULL")
+    held = docs.select(F.col(entity).alias("e"), F.col(doc_id).alias("d"), F.transform("dv", lambda x: x.cast("double")).alias("v")).where("e IS NOT NULL AND d IS NOT NULL AND v IS NOT NULL")
+    # One row for each entity.
+    sizes = held.groupBy("e").agg(F.ceil(F.count("*") / block_rows).alias("nb")).join(asked.groupBy("e").agg(F.ceil(F.count("*") / query_rows).alias("nq")), "e")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, "e").select("e", "q", "v", F.pmod(F.xxhash64("q"), "nq").alias("qb"), every("nb").alias("b"))
+    right = held.join(sizes, "e").select("e", "d", "v", F.pmod(F.xxhash64("d"), "nb").alias("b"), every("nq").alias("qb"))
+
+    def best(asks: pa.Table, holds: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asks.num_rows and holds.num_rows:
+            ids = holds.column("d").to_numpy()
+            x = holds.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            for q, v in zip(asks.column("q").to_pylist(), asks.column("v").to_pylist(), strict=True):
+                score = (x * np.array(v)).sum(1)
+                if other:
+                    score[ids == q] = -np.inf
+                some = np.flatnonzero(score >= np.partition(score, max(0, len(score) - take))[max(0, len(score) - take)])
+                some = some[score[some] > -np.inf]
+                order = some[np.lexsort((ids[some], -score[some]))[:take]]
+                out.append((np.full(len(order), q), ids[order], score[order]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"q": pa.array(cols[0], pa.int64()), "d": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    found = left.groupBy("e", "qb", "b").cogroup(right.groupBy("e", "qb", "b")).applyInArrow(best, "q bigint, d bigint, score double")
+    first = found.withColumn("__p", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("__p") <= take).drop("__p")
+    met = queries.join(first.withColumnsRenamed({"q": query_id}), query_id).join(docs.withColumnRenamed(doc_id, "d"), [entity, "d"]).withColumnRenamed("d", doc_id)
     if visible is not None:
         met = met.where(visible)
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

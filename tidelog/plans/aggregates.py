@@ -70,11 +70,5 @@ q("LIM5_batches", "SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY
 
 
 def _numbered(df, order):
-    """A total order shown as a number: a sort by range and ordinals that continue over its partitions."""
-    from pyspark.sql import Window
-
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counted = spread.groupBy("__p").agg(F.count("*").alias("n"))
-    before = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy("__m"))
-    return spread.withColumn("__r", own).join(before, "__p").withColumn("pos", (c("__r") + c("before")).cast("long"))
+    """A total order shown as a number."""
+    return ev.running_numbers(df, order, "pos")

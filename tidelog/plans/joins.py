@@ -47,7 +47,7 @@ q("JOI15_terminal_window", "SELECT e.event_id FROM events e JOIN (SELECT user_id
 q("JOI16_point_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42", lambda t: t.orders.where("o_orderkey = 42").select("o_orderkey", "o_totalprice"))
 q("JOI17_cutoff_coordinates", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error') WHERE r = 1", lambda t: t.events.where("event_type = 'error'").groupBy("user_id").agg(F.min_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.ts"))
 q("JOI18_option_lookup", "SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", lambda t: t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality"), "doc_id", "left"))
-q("JOI21_vector_join", "SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3", lambda t: vectors.search(t.embeddings.select("label", c("vec_id").alias("query_id"), c("embedding").alias("qv")), t.embeddings.select("label", "vec_id", c("embedding").alias("dv")), entity="label", query_id="query_id", doc_id="vec_id", k=3, visible=c("vec_id") != c("query_id")).select("query_id", "vec_id", "rank"))
+q("JOI21_vector_join", "SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) DESC, b.vec_id) AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 3", lambda t: vectors.search(t.embeddings.select("label", c("vec_id").alias("query_id"), c("embedding").alias("qv")), t.embeddings.select("label", "vec_id", c("embedding").alias("dv")), entity="label", query_id="query_id", doc_id="vec_id", k=3, other=True).select("query_id", "vec_id", "rank"))
 
 # ---- sets and restructuring --------------------------------------------------------------------------------------
 q("SET1_union_by_name", "SELECT n_nationkey, n_name, NULL AS r_name FROM nation UNION ALL SELECT NULL, NULL, r_name FROM region", lambda t: t.nation.select("n_nationkey", "n_name").unionByName(t.region.select("r_name"), allowMissingColumns=True))

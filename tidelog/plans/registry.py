@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import fresh_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,11 +23,7 @@ class Tables:
 
     def scratch(self) -> str:
         """A fresh folder that driver and executors share."""
-        own = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = own.rstrip("/") if own else "file://" + tempfile.gettempdir()
-        import uuid
-
-        return f"{base}/tidelog-{uuid.uuid4().hex}"
+        return fresh_folder(self.spark)
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -72,7 +72,13 @@ def glob_dir_file(t: Tables):
     return out
 
 
-@query("SRC14_preview", "SELECT 0 AS line, 'c_custkey' AS a, 'c_name' AS b UNION ALL SELECT row_number() OVER (ORDER BY c_custkey), CAST(c_custkey AS VARCHAR), c_name FROM (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5)")
+@query(
+    "SRC14_preview",
+    """
+    SELECT 0 AS line, 'c_custkey' AS a, 'c_name' AS b UNION ALL SELECT row_number() OVER (ORDER BY c_custkey), CAST(c_custkey
+    AS VARCHAR), c_name FROM (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5)
+    """,
+)
 def preview(t: Tables):
     """The header and the first rows of a file, as text."""
     writers.write_csv(t.customer.select("c_custkey", "c_name").orderBy("c_custkey").coalesce(1), at := t.scratch())
@@ -104,7 +110,13 @@ def settings(t: Tables):
     return t.spark.createDataFrame(list(config.flat(own).items()), "k string, v string")
 
 
-@query("SNK11_chart_frames", "SELECT 'bin ' || CAST(floor(value / 10) AS BIGINT) AS label, count(*) AS n, round(200.0 * count(*) / max(count(*)) OVER (), 2) AS height FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query(
+    "SNK11_chart_frames",
+    """
+    SELECT 'bin ' || CAST(floor(value / 10) AS BIGINT) AS label, count(*) AS n, round(200.0 * count(*) / max(count(*))
+    OVER (), 2) AS height FROM events WHERE value IS NOT NULL GROUP BY 1
+    """,
+)
 def chart_frames(t: Tables):
     """A bar chart is drawn into a file; label, number and height are read from the drawing."""
     bars = t.events.where("value IS NOT NULL").groupBy(F.concat(F.lit("bin "), F.floor(c("value") / 10).cast("string")).alias("label")).agg(F.count("*").alias("n"))
@@ -114,7 +126,13 @@ def chart_frames(t: Tables):
     return drawn.select(part("data-label").alias("label"), part("data-value").cast("double").cast("long").alias("n"), part("height").cast("double").alias("height"))
 
 
-@query("JOI19_completeness", "SELECT doc_id, source, have, bool_and(have) OVER (PARTITION BY source) AS complete FROM (SELECT d.doc_id, d.source, l.doc_id IS NOT NULL AS have FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)")
+@query(
+    "JOI19_completeness",
+    """
+    SELECT doc_id, source, have, bool_and(have) OVER (PARTITION BY source) AS complete FROM (SELECT d.doc_id, d.source,
+    l.doc_id IS NOT NULL AS have FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)
+    """,
+)
 def completeness(t: Tables):
     """Which documents are done, and of which sources all are."""
     done = t.labels.select("doc_id", F.lit(True).alias("have")).distinct()
@@ -123,7 +141,14 @@ def completeness(t: Tables):
     return each.join(sources, c("source").eqNullSafe(c("s"))).drop("s")
 
 
-@query("JOI20_task_grid", "SELECT task, model, n_nationkey, o_orderkey FROM (VALUES ('sort'), ('cloze')) a(task), (VALUES ('m1'), ('m2'), ('m3')) b(model), nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey AND o_orderkey < 100")
+@query(
+    "JOI20_task_grid",
+    """
+    SELECT task, model, n_nationkey, o_orderkey FROM (VALUES ('sort'), ('cloze')) a(task), (VALUES ('m1'), ('m2'), ('m3'))
+    b(model), nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey AND o_orderkey
+    < 100
+    """,
+)
 def task_grid(t: Tables):
     """Tasks and models are given lists: every entity's row is repeated for them, and meets its items by key."""
     grid = t.nation.select("n_nationkey", F.explode(F.array(F.lit("sort"), F.lit("cloze"))).alias("task")).withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"), F.lit("m3"))))
@@ -131,7 +156,14 @@ def task_grid(t: Tables):
     return grid.join(items, "n_nationkey").select("task", "model", "n_nationkey", "o_orderkey")
 
 
-@query("AGG10_two_level_nesting", "SELECT l_orderkey, string_agg(g, ';' ORDER BY g) AS nested FROM (SELECT l_orderkey, l_returnflag || ':' || string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS g FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY 1")
+@query(
+    "AGG10_two_level_nesting",
+    """
+    SELECT l_orderkey, string_agg(g, ';' ORDER BY g) AS nested FROM (SELECT l_orderkey, l_returnflag || ':' || string_agg(CAST(l_partkey
+    AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS g FROM lineitem GROUP BY l_orderkey, l_returnflag) GROUP BY
+    1
+    """,
+)
 def two_level_nesting(t: Tables):
     inner = ev.nested(t.lineitem, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey"], ["l_partkey"])
     outer = ev.nested(inner, ["l_orderkey"], ["l_returnflag"], ["l_returnflag", "items"], "groups")
@@ -169,7 +201,13 @@ def prompts(t: Tables):
     return t.nation.select("n_nationkey", texts.prompt("Nation {name} of {region}", name=c("n_name")).alias("prompt"), texts.prompt("Say {it}.").alias("plain"))
 
 
-@query("AUX26_validators", "SELECT user_id, bool_or(event_type = 'signup') AS has_terminal, count(*) FILTER (event_type = 'error') AS flagged FROM events GROUP BY 1")
+@query(
+    "AUX26_validators",
+    """
+    SELECT user_id, bool_or(event_type = 'signup') AS has_terminal, count(*) FILTER (event_type = 'error') AS flagged
+    FROM events GROUP BY 1
+    """,
+)
 def validators(t: Tables):
     """Whether each entity has its terminal event, and how many of its rows a scan flags."""
     return ru.audit(t.events, "user_id", terminal=c("event_type") == "signup", flag=c("event_type").rlike("^err"))

@@ -27,7 +27,14 @@ def tumbling(t):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("STREAM2_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CAST(coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR, true) AS INTEGER) AS new FROM events)) GROUP BY user_id, s")
+@query(
+    "STREAM2_sessions",
+    """
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts)
+    AS s FROM (SELECT *, CAST(coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR, true)
+    AS INTEGER) AS new FROM events)) GROUP BY user_id, s
+    """,
+)
 def sessions(t):
     return drained(t, streams.sessions(source(t), "ts", "user_id", "2 hours"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 

@@ -26,13 +26,25 @@ def global_summaries(t: Tables):
     return t.spark.read.schema("mean double, event_type string").json(at).select(c("event_type").alias("task"), "mean")
 
 
-@query("AUX4_first_entities", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 50) GROUP BY 1")
+@query(
+    "AUX4_first_entities",
+    """
+    SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id
+    LIMIT 50) GROUP BY 1
+    """,
+)
 def first_entities(t: Tables):
     first = t.events.select("user_id").distinct().orderBy("user_id").limit(50)
     return t.events.join(first, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("AUX5_nested_summary", "SELECT event_type, list(n ORDER BY user_id) AS counts FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")
+@query(
+    "AUX5_nested_summary",
+    """
+    SELECT event_type, list(n ORDER BY user_id) AS counts FROM (SELECT event_type, user_id, count(*) AS n FROM events
+    GROUP BY ALL) GROUP BY 1
+    """,
+)
 def nested_summary(t: Tables):
     each = t.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
     return ev.nested(each, ["event_type"], ["user_id"], ["n"]).select("event_type", F.transform("items", lambda x: x.n).alias("counts"))
@@ -51,7 +63,13 @@ def paged_delete(t: Tables):
     return store.items.select("event_id")
 
 
-@query("AUX18_default_reason", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'not_available' END AS reason FROM nation")
+@query(
+    "AUX18_default_reason",
+    """
+    SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'not_available' END AS
+    reason FROM nation
+    """,
+)
 def default_reason(t: Tables):
     from .sequences import Failing
 
@@ -73,7 +91,13 @@ def keywords(t: Tables):
     return t.events.select("event_id", F.array_compact(F.array(F.when(c("event_id") % 2 == 0, c("event_type")), F.lit(None).cast("string"))).alias("keywords"))
 
 
-@query("AUX31_sort_by_parsed_time", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS pos FROM orders")
+@query(
+    "AUX31_sort_by_parsed_time",
+    """
+    SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS
+    INTEGER) AS pos FROM orders
+    """,
+)
 def parsed_time(t: Tables):
     return ev.with_ordinal(t.orders, ["o_custkey"], [times.parse_time(F.date_format("o_orderdate", "yyyy-MM-dd")), c("o_orderkey")], "pos").select("o_custkey", "o_orderkey", "pos")
 

@@ -65,7 +65,13 @@ def terminal_horizon(t: Tables):
     return sy.discharge_points(t.events, ends, entity="user_id", event_id="event_id", ts="ts", end="end", hours=24, gap=1.0)
 
 
-@query("QST3_horizon_label", "SELECT event_id, CASE WHEN (epoch_us(m) - epoch_us(ts)) / 3.6e9 <= 72 THEN 'Yes' ELSE 'No' END AS label FROM events JOIN (SELECT user_id, max(ts) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (user_id)")
+@query(
+    "QST3_horizon_label",
+    """
+    SELECT event_id, CASE WHEN (epoch_us(m) - epoch_us(ts)) / 3.6e9 <= 72 THEN 'Yes' ELSE 'No' END AS label FROM events
+    JOIN (SELECT user_id, max(ts) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) USING (user_id)
+    """,
+)
 def horizon_label(t: Tables):
     return sy.horizon_question(t.events, entity="user_id", event_id="event_id", ts="ts", terminal=c("event_type") == "purchase", hours=72)
 
@@ -155,7 +161,13 @@ def cloze_questions(t: Tables):
     return sy.cloze_questions(t.events.withColumn("day", F.to_date("ts")), ["user_id", "day"], ["ts", "event_id"], "event_id", c("event_type").isin("purchase", "signup"), 2)
 
 
-@query("SMP3_ratio_sample", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('7::' || event_id), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= floor(n * 0.1)")
+@query(
+    "SMP3_ratio_sample",
+    """
+    SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('7::' || event_id), event_id)
+    AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= floor(n * 0.1)
+    """,
+)
 def ratio_sample(t: Tables):
     return ev.ratio_sample(t.events, "event_type", ["event_id"], 0.1).select("event_id")
 

@@ -67,7 +67,13 @@ def scope_match(t: Tables):
     return t.events.where(memory.in_scope({"user_id": 7, "event_type": "view", "props": None})).select("event_id")
 
 
-@query("JOI12_history_prefix", "SELECT event_id, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS history FROM events")
+@query(
+    "JOI12_history_prefix",
+    """
+    SELECT event_id, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS history
+    FROM events
+    """,
+)
 def history_prefix(t: Tables):
     return ev.history(t.events, "user_id", [c("ts"), c("event_id")], c("event_id")).select("event_id", "history")
 

@@ -1,15 +1,18 @@
 """Byte-level BPE by corpus-level merge replay, and its inverse.
 
-A block of texts is split by the pattern into pieces; the distinct pieces that the worker doesn't know yet are laid
-out as one sequence of byte symbols. An inverted index leads from each mergeable pair (named by the rank of what it
-makes) to the places where it stands. Ranks are taken in rising order; every place of a rank is merged, left to right,
-and only the pairs with its two neighbours are looked up again and entered in the index. That gives each piece the
-merges of the reference procedure (lowest rank first, leftmost first): should a merge ever make a pair of a lower rank,
-the rest of the current rank waits for it.
+Texts are split by the pattern into pieces, in runs of about ``RUN_CHARS`` characters; a run's texts become sequences of
+numbers that name its distinct pieces. The pieces of all runs are dealt to shards by their hash, so that each distinct
+piece of the corpus is in one shard and is replayed once: a shard's pieces are laid out as one sequence of byte symbols,
+and an inverted index leads from each mergeable pair (named by the rank of what it makes) to the places where it stands.
+Ranks are taken in rising order; every place of a rank is merged, left to right, and only the pairs with its two
+neighbours are looked up again and entered in the index. That gives each piece the merges of the reference procedure
+(lowest rank first, leftmost first): should a merge ever make a pair of a lower rank, the rest of the current rank waits
+for it. The answers go back to the runs, and numbers are replaced by ids.
 
-Scale: a map without a shuffle. The corpus is replayed block by block (a few MB of text), since joining every text to
-a table of all pieces would move all texts; each worker keeps the pieces that it has seen, at most ``KEEP``, so that
-frequent pieces are replayed once. The rank file (under 1 MB, of fixed size) is read by the driver and broadcast.
+Scale: texts are read once and never shuffled; their numbers, about a third of the text, are written and shuffled once. A
+run tells a shard its pieces in one row, compressed, however many they are, so that no row is made for each word. Shards
+follow the corpus' size; a piece that every run has costs its shard one entry a run. The rank file (under 1 MB, of
+fixed size) is read by the driver and broadcast.
 
 Edge cases: null text counts as empty and gives no ids; texts and pieces of any length are encoded whole (time grows
 with length x log of it); repeated rows each get a result; an empty table gives none; extra columns are ignored.
@@ -20,23 +23,30 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEEP = 200_000
+from .shared import bounded_batches, materialize, total_chars
+
+#: Characters of a run, characters of the corpus for a shard, pieces that are laid out as one sequence, pieces that one row of numbers holds.
+RUN_CHARS = 12_000_000
+SHARD_CHARS = 4_000_000
 CHUNK = 30_000
-BLOCK_CHARS = 2_000_000
+ROW_PIECES = 200_000
 
 
 class Vocabulary:
-    """Ranks of byte strings, the pairs that merge, and the pieces encoded so far."""
+    """Ranks of byte strings and the pairs that merge."""
 
     def __init__(self, rank_file: bytes, pattern: str) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
@@ -55,19 +65,6 @@ class Vocabulary:
             for b in range(256):
                 first[a, b] = self.pairs.get(int(self.of_byte[a]) << 20 | int(self.of_byte[b]), -1)
         self.first = first
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the pieces of texts that are not known yet."""
-        own = set().union(*texts) if texts else set()
-        new = own - self.known.keys()
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-            new = own
-        todo = sorted(new)
-        for i in range(0, len(todo), CHUNK):
-            part = todo[i : i + CHUNK]
-            self.known.update(zip(part, self.replay([p.encode() for p in part]), strict=True))
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
@@ -130,12 +127,6 @@ class Vocabulary:
         bounds = (4 * upto[np.concatenate([[0], ends])]).tolist()
         return [packed[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) for t in texts]
-        self.learn(pieces)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
     def decode(self, ids: bytes) -> bytes:
         own = array("I")
         own.frombytes(ids)
@@ -154,35 +145,132 @@ def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
     return _loaded[key]
 
 
-def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    """Runs of texts of about BLOCK_CHARS characters; a longer text is a block of its own."""
-    own, size = [], 0
-    for t in texts:
-        own.append(t or "")
-        size += len(own[-1])
-        if size >= BLOCK_CHARS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+class Numbers(dict):
+    """piece to number, in the order of meeting."""
 
+    def __missing__(self, piece: str) -> int:
+        self[piece] = got = len(self)
+        return got
 
-def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids: the text's token ids as packed little-endian unsigned 32-bit integers."""
-    ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of each, compressed."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
+    """A run's texts (docs, sizes: pieces of each, numbers) and its pieces by shard (sizes: bytes of each, numbers, pieces); named by run."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(ranks.value, pattern)
+        split = regex.compile(pattern).findall
+        name, own, ids, codes, chars = TaskContext.get().partitionId() << 32, Numbers(), [], [], 0
+        schema = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate([np.zeros(0, np.int64), *codes])
+            order = np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
+            number = np.empty(len(own), np.int64)
+            number[order] = np.arange(len(own))
+            each = np.array([len(x) for x in codes])
+            # Rows of texts, of about ROW_PIECES pieces.
+            part = (np.cumsum(each) - each) // ROW_PIECES
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
+            ends = np.concatenate([[0], np.cumsum(each)])
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield batch_of({"run": [name], "shard": [None], "docs": [ids[a:b]], "sizes": [squeezed(each[a:b])], "numbers": [squeezed(number[flat[ends[a] : ends[b]]])], "pieces": [None]}, schema)
+            names = list(own)
+            pieces = [names[i].encode() for i in order]
+            shard = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)) % shards
+            by = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[by], prepend=-1)).tolist()
+            out = {f.name: [] for f in schema}
+            for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
+                some = [pieces[i] for i in by[a:b].tolist()]
+                row = (name, int(shard[by[a]]), None, squeezed(np.array([len(p) for p in some])), squeezed(by[a:b]), zstandard.compress(b"".join(some), 3))
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+                if len(out["run"]) == 1000:
+                    yield batch_of(out, schema)
+                    out = {f.name: [] for f in schema}
+            if out["run"]:
+                yield batch_of(out, schema)
+
         for batch in batches:
-            at = 0
-            for texts in blocks(x.as_py() for x in batch.column(1)):
-                ids = v.encode(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-                at += len(texts)
+            schema = schema or pa.schema([("run", pa.int64()), ("shard", pa.int32()), ("docs", pa.list_(batch.column(0).type)), ("sizes", pa.binary()), ("numbers", pa.binary()), ("pieces", pa.binary())])
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = x.as_py() or ""
+                found = split(text)
+                ids.append(doc)
+                codes.append(np.fromiter(map(own.__getitem__, found), np.int64, len(found)))
+                chars += len(text)
+                if chars >= RUN_CHARS:
+                    yield from told()
+                    name, own, ids, codes, chars = name + 1, Numbers(), [], [], 0
+        if ids:
+            yield from told()
+
+    return docs.mapInArrow(run, f"run bigint, shard int, docs array<{kind}>, sizes binary, numbers binary, pieces binary")
+
+
+def answers(told: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
+    """(run, numbers, sizes, ids): the ids of a run's pieces by shard; every distinct piece of a shard is replayed once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        v, own = vocabulary(ranks.value, pattern), Numbers()
+        asked = []
+        for sizes, packed in zip(rows.column("sizes"), rows.column("pieces"), strict=True):
+            text, ends = zstandard.decompress(packed.as_py()), np.cumsum(unsqueezed(sizes.as_py())).tolist()
+            pieces = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            asked.append(np.fromiter(map(own.__getitem__, pieces), np.int64, len(pieces)))
+        names, done = list(own), []
+        for i in range(0, len(names), CHUNK):
+            done += v.replay(names[i : i + CHUNK])
+        n = np.array([len(x) // 4 for x in done], dtype=np.int64)
+        out = pa.table({"run": rows.column("run"), "numbers": rows.column("numbers")})
+        each = [zstandard.compress(b"".join([done[i] for i in which.tolist()]), 1) for which in asked]
+        return out.append_column("sizes", pa.array([squeezed(n[which]) for which in asked], pa.binary())).append_column("ids", pa.array(each, pa.binary()))
+
+    return told.select("shard", "run", "sizes", "numbers", "pieces").groupBy("shard").applyInArrow(run, "run bigint, numbers binary, sizes binary, ids binary")
 
+
+def filled(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """doc_id, n_tokens and ids of one run's texts: its numbers are replaced by the ids of the pieces that they name."""
+    parts = [(unsqueezed(k.as_py()), unsqueezed(s.as_py()), np.frombuffer(zstandard.decompress(x.as_py()), "<u4")) for k, s, x in zip(known.column("numbers"), known.column("sizes"), known.column("ids"), strict=True)]
+    numbers, size, flat = (np.concatenate([np.zeros(0, "<u4"), *(p[i] for p in parts)]) for i in range(3))
+    length, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    length[numbers], start[numbers] = size, np.cumsum(size, dtype=np.int64) - size
+    docs, n_tokens, ids = [], [], []
+    for own, sizes, codes in zip(rows.column("docs"), rows.column("sizes"), rows.column("numbers"), strict=True):
+        code, pieces = unsqueezed(codes.as_py()), unsqueezed(sizes.as_py()).astype(np.int64)
+        each = length[code]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(start[code] - upto[:-1], each) + np.arange(upto[-1])].astype("<u4").tobytes()
+        ends = upto[np.concatenate([[0], np.cumsum(pieces)])]
+        docs += own.as_py()
+        n_tokens += np.diff(ends).tolist()
+        ids += [out[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+    return pa.table({"doc_id": pa.array(docs, rows.schema.field("docs").type.value_type), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+
+def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids: the text's token ids as packed little-endian unsigned 32-bit integers."""
+    bounded_batches(docs.sparkSession)
+    ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    told = materialize(runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS))), "bpe-runs")
+    known = materialize(answers(told.where("shard IS NOT NULL"), ranks, pattern), "bpe-pieces")
+    texts = told.where("shard IS NULL").select("run", "docs", "sizes", "numbers")
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
+    return texts.groupBy("run").cogroup(known.groupBy("run")).applyInArrow(filled, f"doc_id {kind}, n_tokens bigint, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:

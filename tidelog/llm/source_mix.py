@@ -97,10 +97,14 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), shar
 
 
 def mixed(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.0, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns; only the plan is joined to the texts."""
-    own = docs.withColumn("__h", hash30(id_col, text_col)).withColumn("__n", n_words(F.col(text_col)))
-    sized = materialize(own.select(F.col(source_col).alias("source"), F.col("__n").alias("size"), F.col("__h").alias("h")), "mix-sized")
-    plan = mix_plan(sized, weights=weights, share=share, most=most).select(F.col("s").alias("__s"), "cuts")
-    met = own.join(plan, own[source_col].eqNullSafe(plan["__s"])).withColumn("__c", copies_of("__h", "__n"))
-    again = F.explode(F.sequence(F.lit(1), F.col("__c")))
-    return met.where("__c > 0").withColumn("__i", again).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, with all their columns; only the plan is joined to the texts.
+
+    A row travels as one struct, so that its columns may have any names. Rows without words are not taken; null sources
+    are one source; an empty table gives an empty one; rows that agree in id and text are taken together.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), hash30(id_col, text_col).alias("h"), row.alias("row"))
+    sized = materialize(own.drop("row"), "mix-sized")
+    plan = mix_plan(sized, weights=weights, share=share, most=most).select("s", "cuts")
+    met = own.join(plan, own.source.eqNullSafe(plan.s)).withColumn("copies", copies_of("h", "size")).where("copies > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import materialize
+from .shared import bounded_batches, materialize
 
 END = "\n"
 #: Words that one task places at a time.
@@ -56,9 +56,10 @@ class Units(dict):
         got = self.head.get(word)
         if got is None:
             got = len(self.head) + tail_of(word, self.tails)
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = got
+        if len(word) <= 64:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = got
         return got
 
     def of(self, text: str) -> np.ndarray:
@@ -313,6 +314,7 @@ def class_pairs(coded: DataFrame, classes: int) -> np.ndarray:
 
 def brown_scores(docs: DataFrame, held_out, *, classes: int = 48, head: int = 1500, tails: int = 256, sweeps: int = 6, mu: float = 50.0, delta: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; learned from rows for which ``held_out`` is false."""
+    bounded_batches(docs.sparkSession)
     held = F.coalesce(held_out, F.lit(False)).alias("held_out")
     own = blocks.blocked(docs, F.col(id_col).alias("doc_id"), held, text_col=text_col)
     ends = docs.where(~held).count()

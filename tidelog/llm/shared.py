@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
+#: The most bytes of an Arrow batch that goes to a Python worker (one row at least): ten thousand long texts would fill its memory.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; a smaller setting of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or (where it is unset, as in tests) one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own serves a local master, as in tests; a cluster must name one."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not own:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = getattr(spark.sparkContext, "_tidelog_dir", None) or f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.sparkContext._tidelog_dir = own
     return own

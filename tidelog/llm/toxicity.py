@@ -11,7 +11,8 @@ a shuffle; the weights (2^18 doubles, fixed) are broadcast.
 
 Edge cases: null and empty texts have no sentence and get the score of a single empty one; documents with null, unknown
 or contradicting labels are not learned from; if one class is missing, no row of it fits, or there are no labels, every
-sentence's score is the labelled proportion (0 without labels); repeated rows each get a result; only id, text and the labels are read, so
+sentence's score is the labelled proportion (0 without labels); ids may be of any type that sorts; repeated rows each
+get a result (of texts with one id the smallest is learned from); only id, text and the labels are read, so
 extra columns, languages and sources don't matter.
 """
 
@@ -24,9 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 BUCKETS = 1 << 18
 STOPS = re.compile(r"[.!?\n。！？]+")
 EDGES = string.punctuation + "«»“”‘’¿¡"
@@ -41,11 +45,12 @@ class Buckets(dict):
     """word to the buckets of itself and of its first four letters, packed (0: none); inflected forms share the second. Words that were met are kept, up to KEEP."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= KEEP:
-            self.clear()
         core = word.strip(EDGES)
         got = (_bucket(core) << 18 | (_bucket(core[:4] + "^") if len(core) > 4 else 0)) if core else 0
-        self[word] = got
+        if len(word) <= 64:
+            if len(self) >= KEEP:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -63,8 +68,45 @@ def instances(text: str) -> tuple[np.ndarray, np.ndarray]:
     return pair & (BUCKETS - 1), pair >> 18
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 0.13, l2: float = 0.3, min_docs: int = 3, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the noisy-or's log loss over documents; bags holds the instances of each.
+class Bags:
+    """The instances of some documents, end to end: a feature's bucket for each word of a sentence, how many each sentence has, how many sentences each document has."""
+
+    def __init__(self, feat: np.ndarray, per_sentence: np.ndarray, per_doc: np.ndarray) -> None:
+        self.feat, self.per_sentence, self.per_doc = feat, per_sentence, per_doc
+
+    def parts(self, most: int = 500_000) -> Iterator[tuple[slice, slice, slice]]:
+        """Documents, sentences and instances in runs of about ``most`` instances, so that little is held beside them."""
+        upto_s = np.concatenate([[0], np.cumsum(self.per_doc)])
+        upto_f = np.concatenate([[0], np.cumsum(self.per_sentence)])
+        ends, at = upto_f[upto_s], 0
+        while at < len(self.per_doc):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield slice(at, end), slice(upto_s[at], upto_s[end]), slice(ends[at], ends[end])
+            at = end
+
+    def documents_with(self, which: np.ndarray) -> np.ndarray:
+        """For each bucket, in how many of the marked documents it occurs."""
+        out = np.zeros(BUCKETS, dtype=np.int64)
+        for docs, sentences, own in self.parts():
+            doc = np.repeat(np.repeat(np.arange(docs.stop - docs.start), self.per_doc[docs]), self.per_sentence[sentences])
+            some = which[docs][doc]
+            out += np.bincount(np.unique(doc[some] * BUCKETS + self.feat[own][some]) % BUCKETS, minlength=BUCKETS)
+        return out
+
+    def only(self, place: np.ndarray) -> Bags:
+        """The instances whose bucket has a place (0 or more), named by it."""
+        feat, counts = [], []
+        for _, sentences, own in self.parts():
+            now = place[self.feat[own]]
+            sentence = np.repeat(np.arange(sentences.stop - sentences.start), self.per_sentence[sentences])
+            counts.append(np.bincount(sentence[now >= 0], minlength=sentences.stop - sentences.start).astype(np.int32))
+            feat.append(now[now >= 0].astype(np.int32))
+        none = np.zeros(0, np.int32)
+        return Bags(np.concatenate([none, *feat]), np.concatenate([none, *counts]), self.per_doc)
+
+
+def fit(bags: Bags, y: np.ndarray, weight: np.ndarray, *, rounds: int = 150, l1: float = 0.13, l2: float = 0.3, min_docs: int = 3, most_docs: float = 0.2) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise the noisy-or's log loss over documents.
 
     Penalties are in documents: a word that pulls by less than l1 times the root of the positive documents keeps weight 0. Words in more than most_docs of the negative documents say nothing about a
     sentence and are left out.
@@ -72,31 +114,32 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.nda
     w, base = np.zeros(BUCKETS), float(np.clip((weight * y).sum() / max(weight.sum(), 1e-9), 0, 1)) if len(y) else 0.0
     if not len(y) or base in (0.0, 1.0):
         return w, -50.0 if base == 0 else float(np.log(1e6))
-    seen = np.bincount(np.concatenate([np.unique(f) for f, _ in bags]), minlength=BUCKETS)
-    clean = np.bincount(np.concatenate([np.unique(f) for (f, _), t in zip(bags, y, strict=True) if not t]), minlength=BUCKETS)
+    seen, clean = bags.documents_with(np.ones(len(y), dtype=bool)), bags.documents_with(y == 0)
     names = np.flatnonzero((seen >= min_docs) & (clean <= most_docs * (y == 0).sum()))
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
-    n_sent = np.array([int(s.max()) + 1 if len(s) else 1 for _, s in bags])
-    start = np.concatenate([[0], np.cumsum(n_sent)]).astype(np.int32)
-    feat = np.concatenate([place[f] for f, _ in bags])
-    sent = np.concatenate([s + a for (_, s), a in zip(bags, start, strict=False)])
-    feat, sent = feat[feat >= 0], sent[feat >= 0]
-    doc = np.repeat(np.arange(len(bags)), n_sent)
-    v, b = np.zeros(len(names)), float(np.log(base / n_sent.mean()))
+    bags = bags.only(place)
+    parts = list(bags.parts())
+    v, b = np.zeros(len(names)), float(np.log(base / bags.per_doc.mean()))
     m, s2, mb, sb = np.zeros_like(v), np.zeros_like(v), 0.0, 0.0
     scale = weight / weight.sum()
     l1 = min(3.0, l1 * max(1.0, float(y.sum())) ** 0.5)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(sent, weights=v[feat], minlength=len(doc))
-        p = 1 / (1 + np.exp(-z))
-        log_q = -np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(bags))
-        q = np.exp(log_q)
-        pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0) * scale
-        g = pull[doc] * p
-        grad, gb = np.bincount(feat, weights=g[sent], minlength=len(v)) + l2 / len(bags) * v, g.sum()
+        grad, gb = l2 / len(y) * v, 0.0
+        for docs, sentences, own in parts:
+            feat, each, n = bags.feat[own], bags.per_sentence[sentences], bags.per_doc[docs]
+            sums = np.concatenate([[0.0], np.cumsum(v[feat])])
+            ends = np.cumsum(each)
+            z = b + sums[ends] - sums[ends - each]
+            last = np.cumsum(n)
+            log_q = -np.add.reduceat(np.logaddexp(0, z), last - n)
+            q = np.exp(log_q)
+            pull = np.where(y[docs] > 0, -q / np.maximum(1 - q, 1e-9), 1.0) * scale[docs]
+            g = np.repeat(pull, n) / (1 + np.exp(-z))
+            grad += np.bincount(feat, weights=np.repeat(g, each), minlength=len(v))
+            gb += g.sum()
         side = np.where(v != 0, np.sign(v), -np.sign(grad))
-        grad = np.where((v == 0) & (np.abs(grad) <= l1 / len(bags)), 0.0, grad + l1 / len(bags) * side)
+        grad = np.where((v == 0) & (np.abs(grad) <= l1 / len(y)), 0.0, grad + l1 / len(y) * side)
         m, s2, mb, sb = 0.9 * m + 0.1 * grad, 0.99 * s2 + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb**2
         rate = 0.15 / (1 + 3 * t / rounds)
         step = v - rate * (m / (1 - 0.9**t)) / (np.sqrt(s2 / (1 - 0.99**t)) + 1e-6)
@@ -118,13 +161,15 @@ def held_out(id_col: Column, mod: int, fold: int = 2) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int, fit_words: int, usable: Column | None = None) -> tuple[np.ndarray, float]:
     """Fit on the labelled rows for which ``usable`` (over doc_id) holds."""
+    bounded_batches(docs.sparkSession)
     known = learnable(labels, "toxic")
     if usable is not None:
         known = known.where(usable)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("y = 0").orderBy(*order).limit(fit_rows).unionByName(known.where("y = 1").orderBy(*order).limit(fit_rows))
-    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    # Of rows with one id and different texts the smallest text is learned from, so that reruns agree.
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     # At most fit_rows rows of each class, without their texts.
     sized = own.select("doc_id", "y", F.coalesce(F.greatest(F.regexp_count("text", F.lit("\\s+")), F.ceil(F.length("text") / 8)), F.lit(0)).alias("n")).orderBy(*order).collect()
     need = {c: sum(r["n"] for r in sized if r["y"] == c) for c in (0, 1)}
@@ -142,13 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int, fit_words: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [instances(x.as_py() or "") for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array([f.astype("<u4").tobytes() for f, _ in rows], pa.binary()), pa.array([s.astype("<u4").tobytes() for _, s in rows], pa.binary())], names=["doc_id", "y", "f", "s"])
-
-    bagged = own.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id bigint, y int, f binary, s binary")
-    rows = sorted(bagged.collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["y"] for r in rows], dtype=np.float64)
+            each = [np.bincount(s) if len(s) else np.zeros(1, np.int64) for _, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array([f.astype("<u4").tobytes() for f, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for n in each], pa.binary())], names=["doc_id", "y", "f", "n"])
+
+    bagged = own.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, y int, f binary, n binary")
+    rows = bagged.toArrow().sort_by("doc_id")
+    y = rows.column("y").to_numpy().astype(np.float64)
+    joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), "<i4") for x in rows.column(c))])
+    bags = Bags(joined("f"), joined("n"), pc.binary_length(rows.column("n")).to_numpy().astype(np.int64) // 4)
+    del rows
     share = {c: counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
-    return fit([(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["s"], "<i4")) for r in rows], y, np.array([share[int(c)] for c in y]))
+    return fit(bags, y, np.array([share[int(c)] for c in y]))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3) -> DataFrame:

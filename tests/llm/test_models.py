@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -39,6 +40,45 @@ def test_brown_base_score(docs, corpus, no_docs):
     assert brown_lm.brown_scores(no_docs, F.lit(False)).collect() == []
 
 
+def test_brown_score_by_definition(spark):
+    rng = random.Random(23)
+    kinds = [["cat", "dog", "hen"], ["eats", "sees"], ["the", "a"], ["big", "red", "old"]]
+    say = lambda: " ".join(w for _ in range(rng.randrange(1, 4)) for w in (rng.choice(kinds[2]), rng.choice(kinds[3]), rng.choice(kinds[0]), rng.choice(kinds[1])))
+    rows = [(i, say() if i % 9 else "", False) for i in range(60)] + [(100 + i, f"{say()} new{i} the", True) for i in range(5)] + [(200, None, True)]
+    classes, tails, mu, delta = 5, 3, 50.0, 0.5
+    got = {r.doc_id: r for r in brown_lm.brown_scores(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), F.col("held"), classes=classes, head=50, tails=tails, mu=mu, delta=delta).collect()}
+    train = [BLANK.findall(lower(t)) for _, t, held in rows if not held]
+    seen = Counter(w for t in train for w in t)
+    names = sorted(seen, key=lambda w: (-seen[w], w))
+    end = len(names) + tails
+    unit = lambda w: names.index(w) if w in seen else len(names) + brown_lm.tail_of(w.encode(), tails)
+    pairs = np.zeros((end + 1, end + 1))
+    for t in train:
+        u = [end, *map(unit, t), end]
+        for a, b in zip(u, u[1:]):
+            pairs[a, b] += 1
+    of = brown_lm.exchange(pairs, classes, 6)
+    move = Counter((of[a], of[b]) for a in range(end + 1) for b in range(end + 1) for _ in range(int(pairs[a, b])))
+    total, into, out = sum(move.values()), Counter(), Counter()
+    for (a, b), n in move.items():
+        into[b] += n
+        out[a] += n
+    step = lambda a, b: (move[a, b] + mu * (into[b] + 1) / (total + classes)) / (out[a] + mu)
+    members = Counter(of[unit(w)] for w in seen)
+    members[of[end]] += 1
+    emit = lambda n, k: (n + delta) / (into[k] + delta * (members[k] + 1))
+    for k in range(classes):
+        own = [seen[w] for w in seen if of[unit(w)] == k] + ([len(train)] if of[end] == k else [])
+        assert abs(sum(emit(n, k) for n in [*own, 0]) - 1) < 1e-9 and abs(sum(step(k, b) for b in range(classes)) - 1) < 1e-9
+    for i, t, _ in rows:
+        w, before, want = BLANK.findall(lower(t)), of[end], 0.0
+        for x in [*w, None]:
+            k, n = (of[end], len(train)) if x is None else (of[unit(x)], seen[x])
+            want += math.log10(step(before, k)) + math.log10(emit(n, k))
+            before = k
+        assert abs(got[i].score - want) < 1e-6, i
+
+
 def test_brown_places_words_outside_the_head(spark):
     # Rare words of two kinds that end alike: their own neighbours, not their ending, must tell them apart.
     train = [f"{f} {n}{i}xyz" for i in range(40) for f, n in (("the", "n"), ("we", "v"), ("the", "n"), ("we", "v"))] + ["the cat", "we eat"] * 20
@@ -100,17 +140,63 @@ def test_toxicity_leaves_out_only_what_does_not_fit(spark):
     assert not w.any() and abs(1 / (1 + math.exp(-bias)) - 0.2) < 1e-9
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = ["abab abba", "bab", "aab b"]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = kn_quality.count_grams(d).cache()
-    letters = sorted({c for t in texts for c in t})
-    histories = sorted({r.g[:3] for r in counts.collect()})
-    wanted = spark.createDataFrame([(h + c,) for h in [*histories, "zzz"] for c in letters], "g string")
-    p = {r.g: 10**r.logp for r in kn_quality.log_probabilities(wanted, counts).collect()}
-    for h in [*histories, "zzz"]:
-        # One unseen character holds the rest of the uniform share.
-        assert 0 < sum(p[h + c] for c in letters) <= 1 + 1e-9
+def test_toxicity_takes_any_id_and_chooses_by_content(spark):
+    d, l = planted(spark)
+    name = F.concat(F.lit("k"), F.col("doc_id").cast("string"))
+    named, marks = d.withColumn("doc_id", name), l.withColumn("doc_id", name)
+    rows = toxicity.toxicity(named, marks).collect()
+    assert all(r.predicted == int(int(r.doc_id[1:]) % 5 == 0) for r in rows)
+    # A second text under every third id: whichever row comes first, the same model comes out.
+    twice = d.unionByName(d.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("other words. "), "text")))
+    models = [toxicity.train(x, l, fit_rows=4000, fit_words=100_000) for x in (twice.coalesce(1), twice.orderBy(F.desc("text")).repartition(5))]
+    assert models[0][1] == models[1][1] and (models[0][0] == models[1][0]).all()
+    long = spark.createDataFrame([(1, "calm words " * 200_000 + "grumblefoot"), (2, "calm " * 200_000)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_sentences for r in toxicity.score_toxicity(long, toxicity.train(d, l, fit_rows=4000, fit_words=100_000)).collect()} == {1: 1, 2: 1}
+
+
+def kneser_ney(texts, order):
+    """The interpolated modified model by definition: a function of (history, character)."""
+    levels = [Counter()]
+    for t in texts:
+        x = kn_quality.PAD * (order - 1) + t
+        levels[0].update(x[i : i + order] for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    cuts = []
+    for level in levels:
+        n = Counter(level.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 0.75, 3 - 4 * y * n[4] / n[3] if n[3] else 1.0]
+        cuts.append([max(0.0, min(k, x)) for k, x in zip((1, 2, 3), raw)])
+
+    def p(history, char, at=0):
+        if at == order:
+            return 1 / (len(levels[-1]) + 1)
+        level, cut = levels[at], lambda c: cuts[at][min(c, 3) - 1] if c else 0.0
+        beside = [c for g, c in level.items() if g[:-1] == history]
+        lower = p(history[1:], char, at + 1)
+        if not beside:
+            return lower
+        c = level[history + char]
+        return (max(c - cut(c), 0.0) + sum(map(cut, beside)) * lower) / sum(beside)
+
+    return p
+
+
+def test_kneser_ney_by_definition(spark):
+    rng = random.Random(17)
+    texts = ["abab abba", "bab", "aab b"] + ["".join(rng.choice("aaabbcd ") for _ in range(40)).strip().replace("  ", " ") for _ in range(6)]
+    texts = [" ".join(t.split()) for t in texts]
+    counts = kn_quality.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    letters = [*sorted({c for t in texts for c in t}), "Z"]
+    histories = [*sorted({r.g[:3] for r in counts.collect()}), "zzz", "zza"]
+    wanted = spark.createDataFrame([(h + c,) for h in histories for c in letters], "g string")
+    got = {r.g: 10**r.logp for r in kn_quality.log_probabilities(wanted, counts).collect()}
+    p = kneser_ney(texts, kn_quality.ORDER)
+    for h in histories:
+        assert all(abs(got[h + c] - p(h, c)) < 1e-9 for c in letters)
+        # With one character that the model doesn't know, the probabilities are whole.
+        assert abs(sum(got[h + c] for c in letters) - 1) < 1e-9
 
 
 def test_gram_keys_are_exact():
@@ -162,6 +248,25 @@ def brute(corpus, k, num, den):
     return Counter((i, len(s), low.get(find(a)) if s else i) for a, (i, s) in enumerate(sets))
 
 
+def test_overlap_is_exact():
+    rng = random.Random(12)
+    for k in (1, 2, 4, 5):
+        for _ in range(200):
+            x, y = ([rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.randrange(9))] for _ in range(2))
+            a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()) for w in (x, y))
+            assert jaccard_join.overlap(x, y, k) == (len(a), len(b), len(a & b))
+
+
+def test_sets_that_would_share_a_name_stay_apart(spark, docs, corpus, monkeypatch):
+    own = jaccard_join.set_id
+    # A name that a third of all sets have: the other half of the digest must tell them apart.
+    docs = docs.persist()
+    want = brute(corpus, 4, 85, 100)
+    monkeypatch.setattr(jaccard_join, "set_id", lambda h: (own(h)[0] and (7 if own(h)[0] % 3 == 0 else own(h)[0]), own(h)[1]))
+    got = jaccard_join.jaccard_join(docs, k=4, num=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
 def test_jaccard_join(docs, corpus, no_docs):
     for k, num in ((4, 85), (2, 50)):
         got = jaccard_join.jaccard_join(docs, k=k, num=num)
@@ -170,6 +275,9 @@ def test_jaccard_join(docs, corpus, no_docs):
     left = Counter(r.doc_id for r in one.collect())
     assert one.columns == docs.columns and left[40] == 1 and not any(left[i] for i in range(41, 52)) and left[52] == left[53] == 1
     assert jaccard_join.jaccard_join(no_docs).collect() == []
+    clash = docs.withColumns({"key": F.lit("k"), "row": F.lit("r"), "n": F.lit(1), "__key": F.lit(2)})
+    kept = jaccard_join.one_of_each(clash, jaccard_join.jaccard_join(clash))
+    assert kept.columns == clash.columns and Counter(r.doc_id for r in kept.collect()) == left and {(r.key, r.row, r.n, r["__key"]) for r in kept.collect()} == {("k", "r", 1, 2)}
 
 
 def test_jaccard_chain_and_hot_group(spark):
@@ -191,8 +299,18 @@ def test_jaccard_chain_and_hot_group(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    rng = random.Random(2)
+    edges += [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(160)]
+    want = {}
+    for a, b in edges:
+        x, y = want.setdefault(a, a), want.setdefault(b, b)
+        want = {n: min(x, y) if r in (x, y) else r for n, r in want.items()}
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    for one_task in (10**6, 0):
+        got = {r.node: r.root for r in components(frame, one_task).collect()}
+        assert got == {n: r for n, r in want.items() if n not in alone}
+    assert components(frame.where("false")).collect() == [] and components(frame.where("false"), -1).collect() == []
 
 
 def test_bpe_equals_reference(docs, corpus, no_docs, spark):
@@ -207,9 +325,44 @@ def test_bpe_equals_reference(docs, corpus, no_docs, spark):
         want = Counter((r[0], tuple(known.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows)
         assert Counter((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist()), bytes(r.decoded)) for r in out) == want
         assert all(r.n_tokens * 4 == len(r.ids) for r in out)
+    # Texts of several runs, pieces of several shards.
+    runs = [(i, " ".join(f"word{rng.randrange(3000)}" for _ in range(300))) for i in range(200)]
+    told = spark.createDataFrame(runs, "doc_id bigint, text string").coalesce(1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "RUN_CHARS", 40_000)
+        patch.setattr(bpe, "SHARD_CHARS", 60_000)
+        patch.setattr(bpe, "ROW_PIECES", 2_000)
+        got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe.bpe_encode(told, path, public_tokenizers.PATTERN).collect()}
+    assert got == {i: known.encode_ordinary(t) for i, t in runs}
     assert bpe.bpe_encode(no_docs, path, public_tokenizers.PATTERN).collect() == []
 
 
+def recall(found, ids, x, queries, top):
+    place = {int(i): n for n, i in enumerate(ids)}
+    hit = 0
+    for i in queries:
+        s = x @ x[place[i]]
+        s[place[i]] = -np.inf
+        hit += len(found[i] & {int(v) for v in ids[np.lexsort((ids, -s))[:top]]})
+    return hit / (top * len(queries))
+
+
+def test_recall_where_few_rows_are_reranked(spark):
+    """On 24,000 rows under one in a hundred is scored exactly: the scan must find the others out. On the given table the query's own parameters hold."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(200, 32))
+    x = (centers[rng.integers(0, 200, 24_000)] + 0.6 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    real = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for df, step, given in ((made.coalesce(1), 600, {"rerank": 220, "block_rows": 24_000}), (real, 20, {})):
+        found = {}
+        for r in anisotropic_ann.nearest(df, F.col("id") % step == 0, **given).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        rows = df.toArrow()
+        ids, own = rows.column("vec_id").to_numpy(), np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
+        assert recall(found, ids, own, sorted(found), 20) >= 0.9
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(900, 16)).astype(np.float32)
@@ -231,6 +384,9 @@ def test_nearest(spark):
         assert [r for r, *_ in found] == list(range(1, 21)) and all(abs(t - s[v]) < 1e-9 for _, v, t in found)
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
     assert hit >= 0.9 * 20 * len(got)
+    turns = anisotropic_ann.nearest(df.repartition(7), F.col("id") % 20 == 0, top=20, rerank=900, block_rows=50, query_rows=10).collect()
+    want = {(i, n + 1, int(v)) for i in got for n, v in enumerate(np.lexsort((np.arange(900), -np.where(np.arange(900) == i, -np.inf, exact @ exact[i])))[:20])}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in turns} == want
     few = anisotropic_ann.nearest(df.where("vec_id <= 5"), F.col("id") % 20 == 0).collect()
     assert len(few) == 5
     assert anisotropic_ann.nearest(df.where("false"), F.lit(True)).collect() == []

@@ -18,6 +18,15 @@ def test_stages_keep_columns(spark, docs, labels, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == n
 
 
+def test_pipeline_of_nothing(spark, docs, labels, tmp_path):
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, d, l in (("empty", own.where("false"), labels), ("unlabelled", own, labels.where("false"))):
+        l.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids"] and (out.count() > 0) == (name == "unlabelled")
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names

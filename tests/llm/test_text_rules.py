@@ -187,6 +187,8 @@ def test_mix_targets_and_bounds(docs, corpus):
     assert Counter(source_mix.mix_sources(docs.repartition(5)).collect()) == Counter(rows)
     again = source_mix.mixed(docs, share=1.5)
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in rows)
+    clash = docs.withColumns({"h": F.lit("own"), "size": F.lit(-1), "row": F.lit("r"), "copies": F.lit(5), "__h": F.lit(3)})
+    assert Counter(source_mix.mixed(clash, share=1.5).select("doc_id", "h", "size", "row", "copies", "__h").collect()) == Counter((r.doc_id, "own", -1, "r", 5, 3) for r in again.collect())
 
 
 def test_mix_empty(no_docs):
@@ -194,7 +196,7 @@ def test_mix_empty(no_docs):
 
 
 def test_url_rules(spark):
-    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
+    rules = [("COM", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block")]
     urls = ["http://a.com/x", "https://EXAMPLE.com/en/1?q#f", "http://m.www.example.com/en/", "http://x.net/es/a", "http://net/es", None, "no scheme", "http://com", "x://y?z", "http://notexample.com/en/", "http://a.com/x", "ftp://b.example.com/en/://u"]
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id bigint, url string, key string")
     got = {r.page_id: r for r in url_filter.url_filter(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
@@ -202,11 +204,14 @@ def test_url_rules(spark):
     for i, u in enumerate(urls):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (lower(m[1]), m[2]) if m else ("", "")
-        fits = [(len(h + p), h + p, v) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), h + p, v) for h, p, v in ((lower(h), p, v) for h, p, v in rules) if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
         _, rule, verdict = max(fits, default=(0, None, "allow"))
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
     # A filter that is far too small passes more keys to the join, which removes them.
     small = url_filter.url_filter(df, spark.createDataFrame(rules, "host string, path string, verdict string"), blocks=1, broadcast_rows=0)
     assert {r.page_id: r for r in small.collect()} == got
+    many = spark.createDataFrame(rules + [(f"h{i}.org", f"/{i % 7}/", "block") for i in range(9000)], "host string, path string, verdict string")
+    assert {r.page_id: r for r in url_filter.url_filter(df, many, broadcast_rows=100).collect()} == got
+    assert [url_filter.blocks_for(n) for n in (0, 4096, 4097, 10**9)] == [1024, 1024, 2048, 1 << 20]
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_filter.url_filter(df, none).collect()} == {"allow"}

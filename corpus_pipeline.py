@@ -19,25 +19,30 @@ ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score as toxic. Null and empty texts score as one empty sentence; without labels nothing goes; repeated rows share a fate."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fit_rows=4000, fit_words=5_000_000)
     return toxicity.keep_clean(docs, model)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that surprise the model of trusted text beyond their language's limit. Texts without characters stay; a null text comes out empty; without labels nothing goes."""
     own = docs.columns
     scored = kn_quality.kn_quality(docs, table(spark, sf_dir, "labels"), carry=tuple(own)).where("kept")
     return scored.select(*[F.col("text" if c == "text" else f"own_{c}").alias(c) for c in own])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest id. Documents without words all stay; of rows that repeat id and text one stays."""
     return jaccard_join.one_of_each(docs, jaccard_join.jaccard_join(docs, k=5, num=80))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their weights: documents leave or repeat. Documents without words leave; a null source is one source."""
     return source_mix.mixed(docs, weights=(3, 1, 2), share=1.0, most=2.0)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every row; a null text has none."""
     return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

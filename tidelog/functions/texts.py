@@ -135,3 +135,8 @@ def prompt(text: str, **places: Column) -> Column:
     for name, value in places.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def safe_length(x: Column, array: bool = False) -> Column:
+    """Characters of a text, or items of a list; 0 for null."""
+    return F.coalesce(F.size(F.coalesce(x, F.array())) if array else F.length(x), F.lit(0))

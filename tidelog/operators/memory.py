@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
@@ -49,3 +49,35 @@ class FrameStore:
         if not any(v is not None for v in (*scope.values(), *filters.values())):
             raise ValueError("a delete needs a scope or a filter")
         self.items = self.items.where(~(in_scope(scope) & in_scope(filters)))
+
+
+class FileStore:
+    """Facts as rows in a folder: they are normalised, kept back, and appended when they are flushed, again if a write fails."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, *, attempts: int = 3, write: Callable[[DataFrame, str], None] | None = None) -> None:
+        self.spark, self.path, self.schema, self.attempts = spark, path, schema, attempts
+        self.write = write or (lambda df, at: df.write.mode("append").parquet(at))
+        self.waiting: list[DataFrame] = []
+
+    def store(self, facts: DataFrame, text: str = "text") -> None:
+        """Texts lose blanks at their ends and runs of blanks; facts without text are left out."""
+        clean = facts.withColumn(text, F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\s+", " ")))
+        self.waiting.append(clean.where(F.col(text) != ""))
+
+    def flush(self) -> int:
+        """Writes what was kept back, one table after the other; returns how many tables."""
+        done = 0
+        while self.waiting:
+            for turn in range(self.attempts):
+                try:
+                    self.write(self.waiting[0], self.path)
+                    break
+                except OSError:
+                    if turn + 1 == self.attempts:
+                        raise
+            self.waiting.pop(0)
+            done += 1
+        return done
+
+    def items(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

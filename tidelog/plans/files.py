@@ -211,3 +211,18 @@ def prompts(t: Tables):
 def validators(t: Tables):
     """Whether each entity has its terminal event, and how many of its rows a scan flags."""
     return ru.audit(t.events, "user_id", terminal=c("event_type") == "signup", flag=c("event_type").rlike("^err"))
+
+
+@query("AUX30_file_iteration", "SELECT n_regionkey, count(*) * 2 AS bytes FROM nation GROUP BY 1")
+def file_iteration(t: Tables):
+    """Text files below a folder, with their sizes."""
+    t.nation.select("n_regionkey", F.lit("x").alias("value")).repartition(1, "n_regionkey").write.partitionBy("n_regionkey").text(at := t.scratch())
+    found = readers.files_below(t.spark, at, "*.txt")
+    return found.groupBy(F.regexp_extract("file", "n_regionkey=([0-9]+)", 1).cast("int").alias("n_regionkey")).agg(F.sum("bytes").alias("bytes"))
+
+
+@query("AUX37_safe_length", "SELECT doc_id, coalesce(length(CASE WHEN doc_id % 2 = 0 THEN text END), 0) AS n, coalesce(len(CASE WHEN doc_id % 3 = 0 THEN string_split(text, ' ') END), 0) AS parts FROM documents")
+def safe_length(t: Tables):
+    """The length of a text or a list, 0 where there is none."""
+    text, parts = F.when(c("doc_id") % 2 == 0, c("text")), F.when(c("doc_id") % 3 == 0, F.split("text", " "))
+    return t.documents.select("doc_id", texts.safe_length(text).cast("long").alias("n"), texts.safe_length(parts, array=True).cast("long").alias("parts"))

@@ -249,3 +249,27 @@ def context_lookup(t: Tables):
     """Contexts by (entity, visit), for a table of keys."""
     keys = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("turn"))
     return t.conversations.join(keys, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role", "text")
+
+
+@query(
+    "AUX11_store_facts",
+    """
+SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE role <> 'system' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''
+""",
+)
+def store_facts(t: Tables):
+    """Two tables of facts are stored and flushed; the first write fails once and is made again."""
+    failures = iter([OSError("busy")])
+
+    def write(df, at):
+        for failure in failures:
+            raise failure
+        df.write.mode("append").parquet(at)
+
+    store = memory.FileStore(t.spark, t.scratch(), "conv_id bigint, turn bigint, text string", write=write)
+    for role in ("user", "assistant"):
+        store.store(t.conversations.where(c("role") == role).select(c("conv_id").cast("long").alias("conv_id"), c("turn").cast("long").alias("turn"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("text")))
+    store.store(t.conversations.where("role NOT IN ('user', 'assistant', 'system')").select(c("conv_id").cast("long").alias("conv_id"), c("turn").cast("long").alias("turn"), "text"))
+    if store.flush() != 3:
+        raise AssertionError("every table is written")
+    return store.items()

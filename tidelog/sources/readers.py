@@ -91,3 +91,9 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [name for name in required if name not in df.columns]
+
+
+def files_below(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file, bytes) of the files below a folder whose names match, hidden ones left out; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return found.select(F.col("path").alias("file"), F.col("length").alias("bytes")).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))

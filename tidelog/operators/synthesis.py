@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, times
+from ..functions import scores, texts, times
 from . import events as ev
 from . import rollups as ru
 
@@ -169,6 +169,35 @@ def weighted_options(joined: DataFrame, point: str, option: str, *, merge: str =
     return each.groupBy(point).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(option, "weight")))).alias("answer"))
 
 
+#: How a parameter question of each kind calls an option that had to be made up, and whether its answers weigh alike.
+PARAMETER_KINDS = {"labs": ("Unrelated lab order", True), "imaging": ("Unrelated study", False), "micro": ("Unrelated culture", False), "medication": ("Unrelated drug", False), "procedure": ("Unrelated procedure", False)}
+
+
+def parameter_questions(joined: DataFrame, *, point: str, kind: str, ts: str, option: str, pool: Sequence[str], k: int, seed: str = "7") -> DataFrame:
+    """point, kind, options, answer: which of k options come next, from the events that follow a point (``joined``, with their decaying ``weight``).
+
+    True options are those of the first following time (labs, which weigh alike) or of all times (the others, by their
+    weight relative to the first event's); the k heaviest are asked for. The rest are names of the pool that are not
+    similar to a true one, in a fixed shuffle, and where the pool runs out, made up by the kind's pattern.
+    """
+    group = Window.partitionBy(point)
+    alike = F.col(kind) == "labs"
+    dated = joined.withColumns({"__t0": F.min(ts).over(group), "__w0": F.max("weight").over(group)}).where(~alike | (F.col(ts) == F.col("__t0")))
+    each = dated.groupBy(point, kind, option).agg(F.max(F.col("weight") / F.col("__w0")).alias("w"))
+    asked = each.groupBy(point, kind).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("m"), F.col(option).alias("o")))), 1, k).alias("g"))
+    truth = F.transform("g", lambda x: x.o)
+    own = asked.select(point, kind, truth.alias("__true"), F.transform("g", lambda x: F.when(alike, F.lit(1.0) / F.size("g")).otherwise(-x.m)).alias("__w"))
+    order = lambda x: F.md5(F.concat_ws("::", F.lit(seed), F.col(point).cast("string"), x))
+    free = F.filter(F.array(*map(F.lit, pool)), lambda x: ~F.exists("__true", lambda t: texts.similar_names(t, x)))
+    others = F.slice(F.transform(F.sort_array(F.transform(free, lambda x: F.struct(order(x).alias("h"), x.alias("x")))), lambda s: s.x), F.lit(1), F.lit(k) - F.size("__true"))
+    named = F.create_map(*[F.lit(x) for name, (text, _) in PARAMETER_KINDS.items() for x in (name, text)])
+    short = own.withColumn("__others", others).withColumn("__short", F.lit(k) - F.size("__true") - F.size("__others"))
+    made = F.when(F.col("__short") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("__short"), F.lit(1))), lambda i: F.concat(named[F.col(kind)], F.lit(" "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    every = short.withColumn("__all", F.concat("__true", "__others", made))
+    options = F.transform(F.sort_array(F.transform("__all", lambda x: F.struct(F.md5(F.concat(F.lit("o::"), order(x))).alias("h"), x.alias("x")))), lambda s: s.x)
+    return every.select(point, kind, options.alias("options"), F.map_from_arrays("__true", "__w").alias("answer"))
+
+
 def horizon_question(events: DataFrame, *, entity: str, event_id: str, ts: str, terminal: Column, hours: float) -> DataFrame:
     """Yes if the entity's terminal event is at most ``hours`` away (also once it has passed)."""
     last = events.where(terminal).groupBy(entity).agg(F.max(ts).alias("__end"))

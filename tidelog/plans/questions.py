@@ -43,6 +43,56 @@ def next_action(t: Tables):
     return sy.next_action_questions(t.events, entity="user_id", event_id="event_id", ts="ts", kind="event_type", kinds=KINDS, k=3)
 
 
+POOL = ("click 0", "error 1", "purchase 2", "sign", "view 9", "scan 9")
+
+
+@query(
+    "QST2_parameter_questions",
+    """
+WITH j AS (
+  SELECT p.event_id AS point_id, ['labs', 'imaging', 'micro', 'medication', 'procedure'][p.event_id % 5 + 1] AS kind, e.event_type || ' ' || (e.event_id % 4) AS option,
+    e.ts, exp(-ln(100) / 24 * (epoch_us(e.ts) - epoch_us(p.ts)) / 3.6e9) AS w
+  FROM events p JOIN events e ON p.user_id = e.user_id AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL 24 HOUR WHERE p.event_type = 'signup'
+), f AS (
+  SELECT *, min(ts) OVER (PARTITION BY point_id) AS t0, max(w) OVER (PARTITION BY point_id) AS w0 FROM j
+), g AS (
+  SELECT point_id, kind, option, max(w / w0) AS weight FROM f WHERE kind <> 'labs' OR ts = t0 GROUP BY ALL
+), h AS (
+  SELECT *, least(count(*) OVER (PARTITION BY point_id), 4) AS m, row_number() OVER (PARTITION BY point_id ORDER BY weight DESC, option) AS r FROM g
+), gt AS (
+  SELECT point_id, kind, option, CASE WHEN kind = 'labs' THEN 1.0::DOUBLE / m ELSE weight END AS weight, m FROM h WHERE r <= 4
+), q AS (
+  SELECT DISTINCT point_id, kind, m FROM gt
+), d AS (
+  SELECT point_id, kind, m, x, row_number() OVER (PARTITION BY point_id ORDER BY md5('7::' || point_id || '::' || x)) AS r
+  FROM q, (SELECT unnest(['click 0', 'error 1', 'purchase 2', 'sign', 'view 9', 'scan 9']) AS x)
+  WHERE NOT EXISTS (
+    SELECT 1 FROM gt WHERE gt.point_id = q.point_id
+      AND (contains(replace(gt.option, ' ', ''), replace(x, ' ', '')) OR contains(replace(x, ' ', ''), replace(gt.option, ' ', '')))
+  )
+), o AS (
+  SELECT point_id, kind, option, weight FROM gt UNION ALL SELECT point_id, kind, x, NULL FROM d WHERE r <= 4 - m
+), b AS (
+  SELECT point_id, kind, 4 - count(*) AS lack FROM o GROUP BY ALL
+), every AS (
+  SELECT * FROM o UNION ALL
+  SELECT point_id, kind, CASE kind WHEN 'labs' THEN 'Unrelated lab order ' WHEN 'imaging' THEN 'Unrelated study ' WHEN 'micro' THEN 'Unrelated culture '
+    WHEN 'medication' THEN 'Unrelated drug ' ELSE 'Unrelated procedure ' END || i, NULL FROM b, range(1, 5) r(i) WHERE i <= lack
+)
+SELECT point_id, kind, CAST(row_number() OVER (PARTITION BY point_id ORDER BY md5('o::' || md5('7::' || point_id || '::' || option))) - 1 AS INTEGER) AS pos, option, weight FROM every
+""",
+)
+def parameter_questions(t: Tables):
+    """Five kinds of questions: true options with their weights, unlike names of a pool, and names made up."""
+    kinds = F.array(*map(F.lit, sy.PARAMETER_KINDS))
+    points = t.events.where("event_type = 'signup'").select("user_id", c("event_id").alias("point_id"), c("ts").alias("at"), F.element_at(kinds, (c("event_id") % 5 + 1).cast("int")).alias("kind"))
+    held = t.events.withColumn("option", F.concat("event_type", F.lit(" "), (c("event_id") % 4).cast("string")))
+    joined = ev.decayed(ev.horizon_join(points, held, entity="user_id", at="at", ts="ts", hours=24), at="at", ts="ts")
+    asked = sy.parameter_questions(joined, point="point_id", kind="kind", ts="ts", option="option", pool=POOL, k=4)
+    shown = asked.select("point_id", "kind", "answer", F.posexplode("options").alias("pos", "option"))
+    return shown.select("point_id", "kind", "pos", "option", F.try_element_at("answer", c("option")).alias("weight"))
+
+
 @query(
     "QST3_terminal_horizon",
     """

@@ -6,15 +6,16 @@ document picks its own m: a longer prefix is scanned, but more of it must be sha
 frequent shingles (passages, near copies) take a larger one. Two documents are verified if their prefixes share the
 smaller of their two m; that loses no link. Verification compares the shingles of the texts themselves.
 
-Frequencies come from one counter sketch of fixed size over all documents. Sets are named by 64 bits of a digest; equal
-sets are one node, so exact copies are never paired. First each prefix token's sets are verified against one of them (a
+Frequencies come from one counter sketch of fixed size over all documents. Sets are named by 64 bits of a digest, and
+those that would share a name by the other 64; equal sets are one node, so exact copies are never paired. First each prefix token's sets are verified against one of them (a
 star, linear in the group), again with other pivots while large groups are not in one component; only sets that are
 then in different components are paired, so a group of near copies doesn't cost the square of its size. Sets that share a
-token are paired only if enough of both comes after it.
+token are paired only if enough of both comes after it and their signatures (parities of shingles by hash bucket, which
+bound from below how much two sets differ) allow the threshold: that drops documents which share a passage alone, and no link.
 
-Scale: four maps over the texts; prefixes (about 1 - t of the shingles) are shuffled once by token. Texts are moved for
-sets with a shared prefix token only, found again by a bitmap of bounded size whose false positives a join removes, and
-compressed. Nothing that grows with the corpus is collected.
+Scale: two maps over the texts; prefixes (about 1 - t of the shingles) are shuffled once by token. Texts are moved for the
+pairs that are verified only, compressed: each round picks them by a broadcast of their counted keys, or beyond ``PICKED``
+by a bitmap of bounded size whose false positives a join removes. Nothing that grows with the corpus is collected.
 
 Edge cases: null and empty texts have no shingles, link with nothing and are their own component; a text with fewer
 words than a shingle is one shingle; a null doc_id takes part, and is the component's id only if no other is in it;
@@ -35,23 +36,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, total_chars
+from .shared import bounded_batches, materialize, total_chars
 
 #: The least and most counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
 SKETCH = (1 << 16, 1 << 24)
 SLICES = 16
 MOST_BITS = 1 << 26
 MOST_MATCHES = 4
-#: Rounds of stars at most, before what is left is paired.
-STARS = 5
+#: Bits of a set's signature, the columns that hold them, and the two that it is folded into where rows are many.
+BITS = 512
+SIGNATURE = [f"p{i}" for i in range(BITS // 64)]
+FOLDED = ["q0", "q1"]
+#: Rounds of stars at most, before what is left is paired, and the share of the undecided sets that a round must link to be worth another.
+STARS, WORTH = 5, 0.01
+#: Keys (16 bytes each), counted beforehand, that may be broadcast to pick texts.
+PICKED = 500_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
+    """word to hash; words of usual length that were met are kept, up to a bound."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        self[word] = got = xxhash.xxh64_intdigest(word)
+        got = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -72,13 +83,35 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
-    words = text.encode().lower().split()
-    return set(zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
+def overlap(x: list[bytes], y: list[bytes], k: int) -> tuple[int, int, int]:
+    """Sizes of two word sequences' shingle sets and of their intersection, from the words themselves.
+
+    Words are numbered, then windows of 2, 3, ... k words: numbers of a few bytes, however long the texts are.
+    """
+    if min(len(x), len(y)) < k:
+        one = [max(min(len(w), 1), len(set(zip(*(w[j:] for j in range(k)), strict=False)))) for w in (x, y)]
+        return one[0], one[1], int(bool(x) and x == y)
+    numbers: dict[bytes, int] = {}
+    seq = np.fromiter((numbers.setdefault(w, len(numbers)) for w in (*x, *y)), np.int64, len(x) + len(y))
+    window = seq
+    for j in range(1, k):
+        window = np.unique(window[:-1] * len(numbers) + seq[j:], return_inverse=True)[1]
+    a, b = np.unique(window[: len(x) - k + 1]), np.unique(window[len(x) :])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
 
+def set_id(h: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """128 bits of a digest: a set's name, and what stands in for it where two sets would share a name."""
+    if not len(h):
+        return None, None
+    digest = hashlib.md5(h.tobytes()).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
-def set_id(h: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True) if len(h) else None
+
+def signature(h: np.ndarray) -> list[int]:
+    """A bit for each of BITS buckets: whether the set has an odd number of shingles there. Two sets differ in at least as many shingles as their signatures in bits."""
+    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
 
 def sketch_size(chars: int) -> int:
@@ -114,27 +147,35 @@ def prefix(h: np.ndarray, ranks: np.ndarray, usual: float, num: int, den: int) -
 
 
 def digests(docs: DataFrame, k: int, size: int) -> DataFrame:
-    """doc_id, key, n, s for each document; and for each task its sketch in slices, n their number (other columns null)."""
+    """doc_id, key, n, s and d (see set_id) and the signature for each document; and for each task its sketch in slices, n their number (other columns null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.uint32)
-        names = ["doc_id", "key", "n", "s", "sketch"]
+        names = ["doc_id", "key", "n", "s", "d", *SIGNATURE, "sketch"]
+        none = [0] * len(SIGNATURE)
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for x in batch.column(2):
                 h = shingle_hashes(x.as_py(), k)
                 sizes.append(len(h))
                 ids.append(set_id(h))
+                bits.append(signature(h) if len(h) else none)
                 np.add.at(counts, slot(h, size), np.uint32(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), *(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), *(pa.array([x[i] for x in bits], pa.int64()) for i in range(len(SIGNATURE))), pa.nulls(len(ids), pa.binary())], names=names)
         if kind is not None and counts.any():
             parts = [zstandard.compress(x.astype("<u4").tobytes(), 1) for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.nulls(SLICES, pa.int64()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), *[pa.nulls(SLICES, pa.int64())] * (2 + len(SIGNATURE)), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, s bigint, sketch binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, s bigint, d bigint, {', '.join(f'{c} bigint' for c in SIGNATURE)}, sketch binary")
+
+
+def shared_names(told: DataFrame) -> list[int]:
+    """The names that unequal sets share; among 10^10 sets a few are expected, so that they may come to the driver."""
+    pairs = told.where("s IS NOT NULL").groupBy("s").agg((F.min("d") < F.max("d")).alias("odd")).where("odd")
+    return [r["s"] for r in pairs.select("s").toLocalIterator()]
 
 
 def merged(sketches: DataFrame, size: int) -> np.ndarray:
@@ -152,8 +193,9 @@ def merged(sketches: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def tokens(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int, den: int) -> DataFrame:
     """(token, s, n, m, i): a row for each token of each set's prefix, i its place; within a task a set is given out once."""
+    odd = frozenset(odd)
     middle = 2.0 ** (float(np.median(ranks)) / 8) - 1
     usual = middle + 3 * middle**0.5 + 1
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -164,7 +206,8 @@ def tokens(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int) -> Da
             parts, ids, sizes, matches = [], [], [], []
             for x in batch.column(0):
                 h = shingle_hashes(x.as_py(), k)
-                s = set_id(h)
+                s, d = set_id(h)
+                s = d if s in odd else s
                 if s is None or s in seen:
                     continue
                 if len(seen) < 500_000:
@@ -181,96 +224,135 @@ def tokens(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int) -> Da
     return docs.select("text").mapInArrow(run, "token bigint, s bigint, n int, m int, i int")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, z): the compressed text of one document for each wanted (key, s)."""
-    spark = docs.sparkSession
+    wanted = materialize(wanted, "join-wanted")
+    few = wanted.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress((x.as_py() or "").encode(), 3) for x in batch.column(1)], pa.binary())], names=["key", "z"])
+
+    some = docs.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if few <= PICKED else possible(docs, wanted, few)
+    # Rows that agree in id and text have one key: no second shuffle takes one of them.
+    return some.select("key", "text").mapInArrow(run, "key bigint, z binary").join(wanted, "key").dropDuplicates(["key", "s"]).select("s", "z")
+
+
+def possible(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The documents whose key may be wanted, by a bitmap of bounded size."""
     bits = 1 << 16
-    while bits < MOST_BITS and bits < 32 * wanted.count():
+    while bits < MOST_BITS and bits < 32 * n:
         bits <<= 1
     place = F.pmod(F.xxhash64("key"), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
     words = wanted.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(one).alias("w")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[words.column("i").to_numpy()] = words.column("w").to_numpy()
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("place").to_numpy()
-            hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1)
-            for i in range(0, len(hit), 1000):
-                part = batch.take(pa.array(hit[i : i + 1000]))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([zstandard.compress((x.as_py() or "").encode(), 3) for x in part.column("text")], pa.binary())], names=["key", "z"])
+            yield batch.select(["key", "text"]).filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
 
-    found = docs.select("key", "text", place.alias("place")).mapInArrow(run, "key bigint, z binary")
-    return found.join(wanted, "key").select("s", "z").dropDuplicates(["s"])
+    return docs.select("key", "text", place.alias("place")).mapInArrow(run, "key bigint, text string")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts' shingles reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
         for batch in batches:
             good = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("za"), batch.column("zb"), strict=True):
-                if a != last:
-                    last, own = a, shingles(zstandard.decompress(x.as_py()).decode(), k)
-                other = shingles(zstandard.decompress(y.as_py()).decode(), k)
-                both = len(own & other)
-                good.append(den * both >= num * (len(own) + len(other) - both))
+            for x, y in zip(batch.column("za"), batch.column("zb"), strict=True):
+                n, o, both = overlap(*(zstandard.decompress(z.as_py()).lower().split() for z in (x, y)), k)
+                good.append(den * both >= num * (n + o - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     za, zb = (texts.select(F.col("s").alias(c), F.col("z").alias(f"z{c}")) for c in "ab")
     return pairs.select("a", "b").join(zb, "b").join(za, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
+def needed(n: Column, o: Column, num: int, den: int) -> Column:
+    """How many shingles sets of these sizes must share."""
+    return F.ceil((n + o) * num / F.lit(num + den) - 1e-9)
+
+
+def differing(columns: list[str], x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in columns), F.lit(0))
+
+
 def near(x: str, y: str, num: int, den: int) -> Column:
-    """Sets of these sizes can reach the threshold, and this token can be one of the first m that they share: enough of both sets comes after it. x and y are suffixes of n, m and i."""
+    """Sets of these sizes can reach the threshold, their folded signatures allow it, and this token can be one of the first m that they share: enough of both sets comes after it. x and y are suffixes of the columns."""
     n, o, m = F.col(f"n{x}").cast("long"), F.col(f"n{y}").cast("long"), F.least(f"m{x}", f"m{y}")
-    need = F.ceil((n + o) * num / F.lit(num + den) - 1e-9) - m + 1
-    return (F.least(n, o) * den >= F.greatest(n, o) * num) & (n - F.col(f"i{x}") >= need) & (o - F.col(f"i{y}") >= need)
+    both = needed(n, o, num, den)
+    sized = (F.least(n, o) * den >= F.greatest(n, o) * num) & (n - F.col(f"i{x}") >= both - m + 1) & (o - F.col(f"i{y}") >= both - m + 1)
+    return sized & (differing(FOLDED, x, y) <= n + o - 2 * both)
 
 
 def stars(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each token's sets with its pivot, where they are not in one component; every turn has other pivots."""
-    pivot = F.min(F.struct(F.xxhash64("token", "s", F.lit(turn)).alias("h"), "s", "n", "m", "i", "root")).over(Window.partitionBy("token"))
-    met = shared.withColumn("p", pivot).select("s", "n", "m", "i", "root", *[F.col(f"p.{c}").alias(f"{c}p") for c in ("s", "n", "m", "i", "root")])
-    met = met.where((F.col("root") != F.col("rootp")) & near("", "p", num, den))
+    """Pairs (a, b) of each token's sets with its pivot, where they are not in one component; every turn has other pivots.
+
+    The pivots are a table of their own, so that AQE can split the join where a token is in many sets.
+    """
+    own = ("s", "n", "m", "i", "root", *FOLDED)
+    pivot = F.min(F.struct(F.xxhash64("token", "s", F.lit(turn)).alias("h"), *own)).alias("p")
+    pivots = materialize(shared.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"{c}p") for c in own]), "join-pivots")
+    met = shared.join(pivots, "token").where((F.col("root") != F.col("rootp")) & near("", "p", num, den))
     return met.select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b")).distinct()
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole signatures allow the threshold."""
+    x, y = (sets.select(F.col("s").alias(c), *[F.col(p).alias(p + c) for p in ("n", *SIGNATURE)]) for c in "ab")
+    n, o = F.col("na").cast("long"), F.col("nb").cast("long")
+    return pairs.join(x, "a").join(y, "b").where(differing(SIGNATURE, "a", "b") <= n + o - 2 * needed(n, o, num, den)).select("a", "b")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    return materialize(fetched(docs, ids.join(sets, "s").select("key", "s")), "join-texts")
+
+
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of id and text), n_shingles and component_id of each document, where documents link at den * intersection >= num * union."""
+    bounded_batches(docs.sparkSession)
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
     size = sketch_size(total_chars(docs, text_col))
     told = materialize(digests(own, k, size), "join-digests")
-    sets = told.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"))
+    if odd := shared_names(told):
+        told = told.withColumn("s", F.when(F.col("s").isin(odd), F.col("d")).otherwise(F.col("s")))
+        if left := shared_names(told):
+            raise ValueError(f"{len(left)} sets share both halves of a digest with others")
+    sets = told.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNATURE])
+    sets = materialize(sets, "join-sets")
     ranks = merged(told.where("sketch IS NOT NULL"), size)
     by_token = Window.partitionBy("token")
-    prefixes = tokens(own, ranks, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
+    prefixes = tokens(own, ranks, odd, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
     shared = prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets").withColumn("root", F.col("s"))
-    apart = shared = materialize(shared, "join-shared")
-    texts = materialize(fetched(own, shared.select("s").distinct().join(sets, "s").select("key", "s"), k), "join-texts")
+    folded = [functools.reduce(Column.bitwiseXOR, [F.col(c) for c in SIGNATURE[i :: len(FOLDED)]]).alias(q) for i, q in enumerate(FOLDED)]
+    apart = materialize(shared.join(sets.select("s", *folded), "s"), "join-shared")
     links, tried = [], None
     for turn in range(STARS):
-        star = stars(apart, turn, num, den)
-        star = materialize(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "join-star")
+        star = materialize(plausible(stars(apart, turn, num, den), sets, num, den), "join-star")
         tried = star if tried is None else tried.unionByName(star)
-        links.append(materialize(linked(star, texts, k, num, den), "join-linked"))
+        links.append(materialize(linked(star, texts_of(own, star, sets), k, num, den), "join-linked"))
         root = components(functools.reduce(DataFrame.unionByName, links))
-        named = shared.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        apart = named.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi")
-        apart = materialize(apart, "join-apart")
-        # Another round of stars is worth its price while groups are large.
-        sizes = apart.groupBy("token").agg(F.count("*").alias("g")).agg(F.sum("g").alias("rows"), F.sum(F.col("g") * (F.col("g") - 1) / 2).alias("pairs")).first()
-        if (sizes["pairs"] or 0) <= 4 * (sizes["rows"] or 0):
+        # What is in one component stays so: only tokens that were undecided are looked at again.
+        named = materialize(apart.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "join-named")
+        split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("token", "g")
+        split = materialize(split, "join-split")
+        apart = materialize(named.join(split.select("token"), "token", "left_semi"), "join-apart")
+        # Another round of stars is worth its price while groups are large and rounds link what is in them.
+        sizes = split.agg(F.sum("g").alias("rows"), F.sum(F.col("g") * (F.col("g") - 1) / 2).alias("pairs")).first()
+        if (sizes["pairs"] or 0) <= 4 * (sizes["rows"] or 0) or links[-1].count() < WORTH * apart.agg(F.countDistinct("s")).first()[0]:
             break
-    x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root")]) for end in "xy")
+    x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root", *FOLDED)]) for end in "xy")
     met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
     pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    links.append(linked(pairs.join(tried, ["a", "b"], "left_anti"), texts, k, num, den))
+    pairs = materialize(plausible(pairs.join(tried, ["a", "b"], "left_anti"), sets, num, den), "join-pairs")
+    links.append(linked(pairs, texts_of(own, pairs, sets), k, num, den))
     edges = materialize(functools.reduce(DataFrame.unionByName, links), "join-edges")
     roots = components(edges)
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")
@@ -280,15 +362,17 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest id (documents without words all stay, as do components without an id)."""
+    """docs without all but one document of each component: the one with the smallest id.
+
+    Documents without words all stay, as do components without an id; of rows that repeat both id and text one stays. A
+    row travels as one struct, so that its columns may have any names; an empty table gives an empty one.
+    """
     grouped = joined.where("n_shingles > 0 AND component_id IS NOT NULL")
     stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("key"))
     gone = materialize(grouped.select("key").distinct().join(stay, "key", "left_anti"), "join-gone")
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    left = docs.withColumn("__key", key).join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti")
-    again = materialize(joined.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__key")), "join-again")
-    if again.isEmpty():
-        return left.drop("__key")
-    # Rows that repeat both id and text: one of each stays.
-    alone = left.join(again, "__key", "left_anti")
-    return alone.unionByName(left.join(again, "__key").dropDuplicates(["__key"])).drop("__key")
+    again = materialize(joined.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "join-again")
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone, "key", "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, "key", "left_anti").unionByName(left.join(again, "key").dropDuplicates(["key"]))
+    return left.select("row.*")

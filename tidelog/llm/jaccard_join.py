@@ -224,18 +224,23 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
     return docs.select("text").mapInArrow(run, "token bigint, s bigint, n int, m int, i int")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, z): the compressed text of one document for each wanted (key, s)."""
+def fetched(docs: DataFrame, wanted: DataFrame, odd: list[int], k: int) -> DataFrame:
+    """(s, z): the compressed text of one document for each wanted (key, s); a text's set is worked out again, so that a key which two documents share brings no wrong text."""
     wanted = materialize(wanted, "join-wanted")
-    few = wanted.count()
+    few, odd = wanted.count(), frozenset(odd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress((x.as_py() or "").encode(), 3) for x in batch.column(1)], pa.binary())], names=["key", "z"])
+            names, texts = [], []
+            for x in batch.column(0):
+                text = x.as_py() or ""
+                s, d = set_id(shingle_hashes(text, k))
+                names.append(d if s in odd else s)
+                texts.append(zstandard.compress(text.encode(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary())], names=["s", "z"])
 
     some = docs.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if few <= PICKED else possible(docs, wanted, few)
-    # Rows that agree in id and text have one key: no second shuffle takes one of them.
-    return some.select("key", "text").mapInArrow(run, "key bigint, z binary").join(wanted, "key").dropDuplicates(["key", "s"]).select("s", "z")
+    return some.select("text").mapInArrow(run, "s bigint, z binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def possible(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -309,9 +314,10 @@ def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(x, "a").join(y, "b").where(differing(SIGNATURE, "a", "b") <= n + o - 2 * needed(n, o, num, den)).select("a", "b")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, pairs: DataFrame, sets: DataFrame, odd: list[int], k: int) -> DataFrame:
+    """The texts of the sets in pairs."""
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    return materialize(fetched(docs, ids.join(sets, "s").select("key", "s")), "join-texts")
+    return materialize(fetched(docs, ids.join(sets, "s").select("key", "s"), odd, k), "join-texts")
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +343,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     for turn in range(STARS):
         star = materialize(plausible(stars(apart, turn, num, den), sets, num, den), "join-star")
         tried = star if tried is None else tried.unionByName(star)
-        links.append(materialize(linked(star, texts_of(own, star, sets), k, num, den), "join-linked"))
+        links.append(materialize(linked(star, texts_of(own, star, sets, odd, k), k, num, den), "join-linked"))
         root = components(functools.reduce(DataFrame.unionByName, links))
         # What is in one component stays so: only tokens that were undecided are looked at again.
         named = materialize(apart.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "join-named")
@@ -352,7 +358,7 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
     pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
     pairs = materialize(plausible(pairs.join(tried, ["a", "b"], "left_anti"), sets, num, den), "join-pairs")
-    links.append(linked(pairs, texts_of(own, pairs, sets), k, num, den))
+    links.append(linked(pairs, texts_of(own, pairs, sets, odd, k), k, num, den))
     edges = materialize(functools.reduce(DataFrame.unionByName, links), "join-edges")
     roots = components(edges)
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")

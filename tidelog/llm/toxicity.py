@@ -247,7 +247,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_wo
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold; a map without a shuffle."""
+    """The rows of docs, with all their columns, that score below the threshold; a map without a shuffle.
+
+    Null and empty texts score as one empty sentence; repeated rows share a fate; columns may have any names and types that Arrow knows.
+    """
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(np.append(weights, 0.0))
     at = docs.columns.index(text_col)

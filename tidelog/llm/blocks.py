@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import total_chars
+from .shared import give_back, total_chars
 
 
 def blocked(docs: DataFrame, *keep: Column, text_col: str = "text", chars: int = 16_000_000) -> DataFrame:
@@ -31,12 +31,24 @@ def blocked(docs: DataFrame, *keep: Column, text_col: str = "text", chars: int =
 
 def per_block(docs: DataFrame, run: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
     """run(block, its rows) for every block."""
-    return docs.groupBy("block").applyInArrow(lambda key, rows: run(key[0].as_py(), rows), schema)
+
+    def done(key: tuple, rows: pa.Table) -> pa.Table:
+        out = run(key[0].as_py(), rows)
+        give_back()
+        return out
+
+    return docs.groupBy("block").applyInArrow(done, schema)
 
 
 def met(docs: DataFrame, answers: DataFrame, run: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """run(block, its rows, its answers) for every block that has rows."""
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda key, rows, own: run(key[0].as_py(), rows, own), schema)
+
+    def done(key: tuple, rows: pa.Table, own: pa.Table) -> pa.Table:
+        out = run(key[0].as_py(), rows, own)
+        give_back()
+        return out
+
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(done, schema)
 
 
 def texts(rows: pa.Table, name: str = "text", most: int = 1_000_000) -> Iterator[tuple[pa.Table, list[str]]]:

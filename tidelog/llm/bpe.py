@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, total_chars
+from .shared import bounded_batches, eased, materialize, total_chars
 
 #: Characters of a run, characters of the corpus for a shard, pieces that are laid out as one sequence, pieces that one row of numbers holds.
 RUN_CHARS = 12_000_000
@@ -218,7 +218,7 @@ def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
         if ids:
             yield from told()
 
-    return docs.mapInArrow(run, f"run bigint, shard int, docs array<{kind}>, sizes binary, numbers binary, pieces binary")
+    return docs.mapInArrow(eased(run), f"run bigint, shard int, docs array<{kind}>, sizes binary, numbers binary, pieces binary")
 
 
 def answers(told: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:

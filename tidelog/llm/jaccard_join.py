@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, materialize, total_chars
+from .shared import KEPT, bounded_batches, eased, materialize, total_chars
 
 #: The least and most counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
 SKETCH = (1 << 16, 1 << 24)
@@ -60,13 +60,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 150_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = got
         return got
 
 
 _hashes = WordHashes()
+KEPT.append(_hashes)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -169,7 +170,7 @@ def digests(docs: DataFrame, k: int, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), *[pa.nulls(SLICES, pa.int64())] * (2 + len(SIGNATURE)), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, s bigint, d bigint, {', '.join(f'{c} bigint' for c in SIGNATURE)}, sketch binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(eased(run), f"doc_id {kind}, key bigint, n int, s bigint, d bigint, {', '.join(f'{c} bigint' for c in SIGNATURE)}, sketch binary")
 
 
 def shared_names(told: DataFrame) -> list[int]:
@@ -210,7 +211,7 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
                 s = d if s in odd else s
                 if s is None or s in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(s)
                 own, m = prefix(h, shared.value, usual, num, den)
                 parts.append(own.view(np.int64))
@@ -221,7 +222,7 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
                 each = [len(p) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts), pa.int64()), *(pa.array(np.repeat(np.array(x), each), t) for x, t in ((ids, pa.int64()), (sizes, pa.int32()), (matches, pa.int32()))), pa.array(np.concatenate([np.arange(x) for x in each]), pa.int32())], names=["token", "s", "n", "m", "i"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, s bigint, n int, m int, i int")
+    return docs.select("text").mapInArrow(eased(run), "token bigint, s bigint, n int, m int, i int")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, odd: list[int], k: int) -> DataFrame:
@@ -240,7 +241,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, odd: list[int], k: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary())], names=["s", "z"])
 
     some = docs.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if few <= PICKED else possible(docs, wanted, few)
-    return some.select("text").mapInArrow(run, "s bigint, z binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
+    return some.select("text").mapInArrow(eased(run), "s bigint, z binary").join(wanted.select("s"), "s", "left_semi").dropDuplicates(["s"])
 
 
 def possible(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -260,7 +261,7 @@ def possible(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             at = batch.column("place").to_numpy()
             yield batch.select(["key", "text"]).filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
 
-    return docs.select("key", "text", place.alias("place")).mapInArrow(run, "key bigint, text string")
+    return docs.select("key", "text", place.alias("place")).mapInArrow(eased(run), "key bigint, text string")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -275,7 +276,7 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     za, zb = (texts.select(F.col("s").alias(c), F.col("z").alias(f"z{c}")) for c in "ab")
-    return pairs.select("a", "b").join(zb, "b").join(za, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(zb, "b").join(za, "a").select("a", "b", "za", "zb").mapInArrow(eased(run), "a bigint, b bigint")
 
 
 def needed(n: Column, o: Column, num: int, den: int) -> Column:

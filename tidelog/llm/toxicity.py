@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import KEPT, bounded_batches, eased
 
 BUCKETS = 1 << 18
 STOPS = re.compile(r"[.!?\n。！？]+")
@@ -55,6 +55,7 @@ class Buckets(dict):
 
 
 _buckets = Buckets()
+KEPT.append(_buckets)
 
 
 def instances(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int, fit_words: int,
             each = [np.bincount(s) if len(s) else np.zeros(1, np.int64) for _, s in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array([f.astype("<u4").tobytes() for f, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for n in each], pa.binary())], names=["doc_id", "y", "f", "n"])
 
-    bagged = own.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, y int, f binary, n binary")
+    bagged = own.join(F.broadcast(kept), "doc_id").select("doc_id", "text", "y").mapInArrow(eased(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, y int, f binary, n binary")
     rows = bagged.toArrow().sort_by("doc_id")
     y = rows.column("y").to_numpy().astype(np.float64)
     joined = lambda c: np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), "<i4") for x in rows.column(c))])
@@ -222,7 +223,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *, threshol
 
     own = docs.select("doc_id", "text")
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, score double, n_sentences bigint, offending array<struct<start:bigint,end:bigint,score:double>>")
+    return own.mapInArrow(eased(run), f"doc_id {kind}, score double, n_sentences bigint, offending array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def offending(text: str, z: np.ndarray, threshold: float) -> list[dict]:
@@ -264,4 +265,4 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: f
                 good.append(bool(-np.expm1(-np.logaddexp(0, z).sum()) < threshold))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(eased(run), docs.schema)

@@ -21,6 +21,7 @@ result; empty clusters keep their centroid; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -136,12 +137,18 @@ def _round(centroids: np.ndarray, before: np.ndarray | None, last: bool):
     return eased(run)
 
 
-def _changes(state: DataFrame, k: int, dim: int) -> tuple[np.ndarray, int]:
+def _changes(state: DataFrame, buckets: int, k: int, dim: int) -> tuple[np.ndarray, int]:
     """(what a round adds to the clusters' sums and sizes (k, dim + 1), as Python integers; its full scans)."""
-    parts = state.where("moved IS NOT NULL").select(F.posexplode("moved").alias("at", "n")).groupBy("at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
-    out = np.zeros(k * (dim + 1) + 1, object)
-    for r in parts.collect():  # clusters x (components + 1) numbers and one
-        out[r["at"]] = int(r["n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k * (dim + 1) + 1, np.int64)
+        for batch in batches:
+            out += batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.int64()))], names=["moved"])
+
+    # As many groups as a group has tasks: the square root of the tasks' rows comes to the driver.
+    parts = state.where("moved IS NOT NULL").select("moved").repartition(math.isqrt(buckets) + 1).mapInArrow(added, "moved array<bigint>")
+    out = sum(np.array(r["moved"], object) for r in parts.collect())
     return out[:-1].reshape(k, dim + 1), out[-1]
 
 
@@ -174,7 +181,7 @@ def centroid_clusters(vectors: DataFrame, *, k: int = 40, rounds: int = 5, dim:
         state, folder = _bucketed(met.mapInArrow(_round(centroids, before, turn == rounds), STATE), "cluster_bounds", buckets)
         if old:
             discard(spark, old)
-        changed, n = _changes(state, k, dim)
+        changed, n = _changes(state, buckets, k, dim)
         sums, before = sums + changed, centroids
         scans.append(n)
         if turn < rounds:

@@ -214,3 +214,31 @@ def test_times(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("2024-01-02T03:04:05",), ("2024-01-02",), ("soon",), (None,)], "s string")
     got = [r[0] for r in df.select(times.parse_time(F.col("s"))).collect()]
     assert got[0] == got[1] == dt.datetime(2024, 1, 2, 3, 4, 5) and got[2] == dt.datetime(2024, 1, 2) and got[3:] == [None, None]
+
+
+def test_percentiles_by_selection(spark):
+    """Every size of bucket gives what sorting gives: signs, wide exponents, many ties, nulls, a null group."""
+    from tidelog.operators import rollups
+
+    rng = random.Random(2)
+    groups = {"wide": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(500)], "ties": [float(rng.randint(0, 3)) for _ in range(400)], "one": [7.5], "none": [None, None]}
+    groups[None] = [rng.gauss(0, 1) for _ in range(301)] + [None, -0.0, 0.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(g, v, 1) for g, vs in groups.items() for v in vs], "g string, v double, x int").repartition(4)
+    points = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
+    for options in ({}, {"direct": 50}, {"direct": 1, "step": 8}):
+        got = {r.g: r for r in rollups.percentiles(df, "v", ["g"], points, **options).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            own = sorted(v for v in vs if v is not None)
+            for name, p in points.items():
+                at = p * (len(own) - 1)
+                want = None
+                if own:
+                    a, b = own[int(at)], own[-int(-at // 1)]
+                    want = a if a == b else (-int(-at // 1) - at) * a + (at - int(at)) * b
+                assert got[g][name] == pytest.approx(want, rel=1e-12) if own else got[g][name] is None, (g, name)
+    whole = rollups.percentiles(df.where("g = 'ties'"), "v", [], {"m": 0.5}).collect()
+    assert [r.m for r in whole] == [sorted(groups["ties"])[199] / 2 + sorted(groups["ties"])[200] / 2]
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert rollups.percentiles(nan, "v", [], {"m": 0.5}).first().m == 2.0
+    assert rollups.percentiles(df.where("false"), "v", ["g"], points).collect() == []

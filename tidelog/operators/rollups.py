@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
+
+from ..sources.shared import written
 
 
 def votes(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -37,9 +42,69 @@ def at_least(df: DataFrame, size: str, limits: Sequence[int]) -> DataFrame:
     return counted.select("k", "n", F.when(F.col("total") > 0, F.bround(100 * F.col("n") / F.col("total"), 4)).otherwise(0.0).alias("percent"))
 
 
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    """Doubles as integers of the same order; NaN, which is any of many bit patterns, is above all."""
+    bits = (v.where(v.notna(), float("nan")) + 0.0).to_numpy("float64").view("int64")
+    return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
+
+
+def _from_bits(v: pd.Series) -> pd.Series:
+    bits = v.to_numpy("int64")
+    return pd.Series((bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)).view("float64"))
+
+
+def _descended(rows: DataFrame, state: DataFrame, above: int, bits: int) -> DataFrame:
+    """The state's buckets (g, r, top, before, n), each of the values that agree with ``top`` down to bit ``above``, cut at bit ``bits``: the part that holds rank r."""
+    top = lambda at: F.lit(0).cast("long") if at == 64 else F.shiftright("x", at)
+    inside = rows.withColumn("top", top(above)).join(state.select("g", "top").distinct(), ["g", "top"])
+    parts = inside.groupBy("g", "top", top(bits).alias("next")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "top").orderBy("next"))
+    met = parts.withColumn("upto", upto).join(state.select("g", "top", "r", "before"), ["g", "top"])
+    holds = (F.col("before") + F.col("upto") > F.col("r")) & (F.col("before") + F.col("upto") - F.col("n") <= F.col("r"))
+    return met.where(holds).select("g", "r", F.col("next").alias("top"), (F.col("before") + F.col("upto") - F.col("n")).alias("before"), "n")
+
+
+def percentiles(df: DataFrame, value: str, by: Sequence[str], points: Mapping[str, float], *, direct: int = 100_000, step: int = 16) -> DataFrame:
+    """Exact percentiles of each group by linear interpolation, a column for each of ``points`` (name to share).
+
+    Values become integers of the same order. A rank is looked for in the histogram of their leading bits, then only
+    among the values of the bucket that holds it, until no bucket holds more than ``direct`` values (or all bits are
+    known). Histograms are partial sums, so that no task holds the values of a group: at most 2 ** ``step`` counts, or
+    ``direct`` values. Nulls don't count; a group without values has nulls; a null is a group of its own; NaN is the
+    largest value.
+    """
+    own = df.select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).cast("double").alias("v"))
+    rows = written(own.where(F.col("v").isNotNull()).select("g", F.pandas_udf(_ordered_bits, LongType())("v").alias("x")))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("total"))
+    place = {name: F.lit(float(p)) * (F.col("total") - 1) for name, p in points.items()}
+    ranks = F.array_distinct(F.array(*[f(at).cast("long") for at in place.values() for f in (F.floor, F.ceil)]))
+    state = sizes.select("g", F.explode(ranks).alias("r"), F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("before"), F.col("total").alias("n"))
+    above = 64
+    while above > step and not (state := written(state)).where(F.col("n") > direct).isEmpty():
+        state, above = _descended(rows, state, above, above - step), above - step
+    found = _descended(rows, state, above, 0).select("g", F.struct("r", F.pandas_udf(_from_bits, DoubleType())("top").alias("v")).alias("at"))
+    found = found.groupBy("g").agg(F.map_from_entries(F.collect_list("at")).alias("at"))  # two entries a point at most
+
+    def between(at: Column) -> Column:
+        low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
+        a, b = F.element_at("at", low), F.element_at("at", high)
+        return F.when(a == b, a).otherwise((high - at) * a + (at - low) * b)
+
+    told = sizes.join(found, "g").select("g", *[between(at).alias(name) for name, at in place.items()])
+    return own.select("g").distinct().join(told, "g", "left").select(*[F.col(f"g.{c}").alias(c) for c in by], *points)
+
+
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    own = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return beside(own, percentiles(df, value, by, {"median": 0.5}), by).select(*by, "n", "mean", "median", "std", "low", "high")
+
+
+def beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of two tables that have one for each group; null groups meet."""
+    other = b.withColumnsRenamed({c: f"__{c}" for c in by})
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.lit(True))
+    return a.join(other, same).drop(*[f"__{c}" for c in by])
 
 
 def histogram(df: DataFrame, value: Column, width: float, low: float = 0.0, high: float | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ q(
     SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95)
     AS p95 FROM events GROUP BY 1
     """,
-    lambda t: t.events.groupBy("event_type").agg(*[F.percentile("value", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95)]),
+    lambda t: ru.percentiles(t.events, "value", ["event_type"], {"p50": 0.5, "p90": 0.9, "p95": 0.95}),
 )
 q(
     "AGG21_distribution",

@@ -418,7 +418,7 @@ q(
 q(
     "AUX32_note_lengths",
     "SELECT role, count(*) AS n, quantile_cont(length(text), 0.9) AS p90 FROM conversations GROUP BY 1",
-    lambda t: t.conversations.groupBy("role").agg(F.count("*").alias("n"), F.percentile(F.length("text"), 0.9).alias("p90")),
+    lambda t: ru.beside(t.conversations.groupBy("role").agg(F.count("*").alias("n")), ru.percentiles(t.conversations.withColumn("chars", F.length("text")), "chars", ["role"], {"p90": 0.9}), ["role"]),
 )
 q(
     "AUX35_message_blocks",

@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import read_or_empty
 from . import vectors
 
 SCOPES = ("user_id", "agent_id", "app_id", "run_id")
@@ -80,4 +81,5 @@ class FileStore:
         return done
 
     def items(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        """What was flushed so far."""
+        return read_or_empty(self.spark, self.path, self.schema)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
 from .registry import Tables, query
 
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -95,12 +98,20 @@ def nested_documents(t: Tables):
     return back.select("o_custkey", F.inline("orders")).groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
-@query("SNK5_versioned_update", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+@query(
+    "SNK5_versioned_update",
+    """
+    SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal, v AS version
+    FROM customer, (VALUES (2)) AS t(v) UNION ALL SELECT c_custkey, c_acctbal, 1 FROM customer
+    """,
+)
 def versioned(t: Tables):
-    base = t.scratch()
-    t.customer.select("c_custkey", "c_acctbal").write.parquet(f"{base}/v1")
-    writers.upsert_files(t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal")), f"{base}/v1", "c_custkey", f"{base}/v2")
-    return t.spark.read.parquet(f"{base}/v2")
+    """Both versions, read through their manifests; the same update again makes no third one."""
+    own = versions.VersionedTable(t.spark, t.scratch(), "c_custkey bigint, c_acctbal double", ["c_custkey"])
+    own.upsert(t.customer.select("c_custkey", "c_acctbal"))
+    for _ in range(2):
+        own.upsert(t.customer.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", 0.0).otherwise(F.col("c_acctbal")).alias("c_acctbal")))
+    return functools.reduce(DataFrame.unionByName, [own.read(v).withColumn("version", F.lit(v)) for v in range(1, own.version() + 1)])
 
 
 @query("SNK6_append", "SELECT n_name, CAST(2 AS BIGINT) AS n FROM nation")
@@ -120,22 +131,36 @@ def replace_partitions(t: Tables):
     return t.spark.read.schema("n_name string, n_regionkey int").parquet(at)
 
 
-@query("SNK8_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation")
+@query(
+    "SNK8_upsert",
+    """
+    SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS status,
+      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders
+    """,
+)
 def upsert(t: Tables):
-    from ..operators.events import upsert as put
-
-    return put(t.nation.select("n_nationkey", "n_name"), t.nation.where("n_regionkey = 2").select("n_nationkey", F.lower("n_name").alias("n_name")), "n_nationkey")
-
-
-@query("SNK9_vector_table", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+    """Rows by entity, in order of their ids after some are replaced: place is a row's place among its entity's as they lie in the file."""
+    own = versions.VersionedTable(t.spark, t.scratch(), "o_custkey bigint, o_orderkey bigint, status string", ["o_orderkey"], by=["o_custkey"], buckets=8)
+    own.upsert(t.orders.select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status")))
+    own.upsert(t.orders.where("o_orderkey % 3 = 0").select("o_custkey", "o_orderkey", F.lit("late").alias("status")))
+    lies = own.read().select("*", F.col("_metadata.row_index").alias("at"))
+    return lies.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("at")).cast("long")).drop("at")
+
+
+@query(
+    "SNK9_vector_table",
+    "SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, embedding[i] AS x FROM embeddings, range(1, 65) r(i)",
+)
 def vector_table(t: Tables):
+    """All components, read back."""
     t.embeddings.select("vec_id", "embedding").write.parquet(at := t.scratch())
-    return t.spark.read.parquet(at).select("vec_id", F.size("embedding").alias("dim"))
+    return t.spark.read.parquet(at).select("vec_id", F.posexplode("embedding").alias("i", "x"))
 
 
-@query("SNK10_resume", "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+@query("SNK10_resume", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM customer")
 def resume(t: Tables):
+    """The first run begins with nothing, the second adds the rest, the third finds all done."""
     at = t.scratch()
-    t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.lit("before").alias("run")).write.parquet(at)
-    writers.resume(t.customer.select("c_custkey", F.lit("now").alias("run")), at, ["c_custkey"])
-    return t.spark.read.parquet(at).where("run = 'now'").select("c_custkey")
+    for run, rows in (("first", t.customer.where("c_custkey % 3 = 0")), ("second", t.customer), ("third", t.customer)):
+        writers.resume(rows.select("c_custkey", F.lit(run).alias("run")), at, ["c_custkey"])
+    return t.spark.read.parquet(at)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.events import pending, upsert
+from .shared import read_or_empty, written
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -34,13 +35,13 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def upsert_files(df: DataFrame, path: str, key: str, into: str) -> None:
-    """The rows at path with those of df put in by key, written to another folder (plain files aren't changed in place)."""
-    upsert(df.sparkSession.read.parquet(path), df, key).write.mode("overwrite").parquet(into)
+    """The rows at path (none, if nothing is there yet) with those of df put in by key, written to another folder (plain files aren't changed in place: see versions.VersionedTable)."""
+    upsert(read_or_empty(df.sparkSession, path, df.schema), df, key).write.mode("overwrite").parquet(into)
 
 
 def resume(df: DataFrame, path: str, on: Sequence[str]) -> int:
-    """Append the rows whose key is not at path yet; returns how many."""
-    todo = pending(df, df.sparkSession.read.parquet(path), on)
+    """Append the rows whose key is not at path yet, all of them where nothing is; returns how many."""
+    todo = written(pending(df, read_or_empty(df.sparkSession, path, df.schema).select(*on), on))
     n = todo.count()
     todo.write.mode("append").parquet(path)
     return n

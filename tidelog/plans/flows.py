@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import versions
 from ..streaming import streams
 from .registry import query
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def drained(t, stream, mode="append"):
-    """The stream's rows, through a table in the shared folder."""
+def drained(t, stream, mode="append", key=()):
+    """The stream's rows, through a sink that fits the mode, in the shared folder."""
     at = t.scratch()
-    streams.into(stream, lambda batch, i: batch.write.mode("append").parquet(f"{at}/rows"), f"{at}/checkpoint", mode)
+    put = {"append": streams.batches, "complete": streams.whole}[mode](f"{at}/rows") if mode != "update" else streams.latest(f"{at}/rows", stream.schema, key)
+    streams.into(stream, put, f"{at}/checkpoint", mode)
+    if mode == "update":
+        return versions.VersionedTable(t.spark, f"{at}/rows", stream.schema, key).read()
     return t.spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -23,7 +27,7 @@ def source(t):
 
 @query("STREAM1_tumbling_counts", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def tumbling(t):
-    out = drained(t, streams.windowed(source(t), "ts", ["event_type"], "1 hour"), "complete")
+    out = drained(t, streams.windowed(source(t), "ts", ["event_type"], "1 hour", late="60 days"), "update", ["event_type", "start"])
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 

@@ -6,6 +6,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.versions import VersionedTable
 
 
 def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,6 +42,21 @@ def first_seen(items: DataFrame, ts: str, keys: Sequence[str], late: str = "1 da
     return items.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for append mode: a folder for each batch, so that a batch that runs again replaces itself."""
+    return lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+
+def whole(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for complete mode: every batch is the whole result so far and takes the last one's place."""
+    return lambda batch, i: batch.write.mode("overwrite").parquet(path)
+
+
+def latest(path: str, schema: StructType, key: Sequence[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink for update mode: rows that changed are put into a versioned table by key; a batch that runs again changes nothing."""
+    return lambda batch, i: VersionedTable(batch.sparkSession, path, schema, key, buckets=buckets).upsert(batch) and None
+
+
 def into(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run all that is there through put(batch, id); with the checkpoint folder a rerun goes on where it stopped."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()

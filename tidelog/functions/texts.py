@@ -115,8 +115,12 @@ def template(pattern: str, *values: Column) -> Column:
     return F.format_string(pattern, *values)
 
 
-def is_question(text: Column, cues: Sequence[str] = ("what", "when", "which", "who", "how", "why", "where")) -> Column:
-    """Ends or holds a question mark, or holds a cue word."""
+#: Words and characters that make a message a question.
+QUESTION_CUES = "what why how when where which who 什么 为啥 为什么 怎么 如何 是否 吗 几 多少 哪 哪种 哪位 多大 多久 何时 请问".split()
+
+
+def is_question(text: Column, cues: Sequence[str] = QUESTION_CUES) -> Column:
+    """Holds a question mark, or a cue, whatever its case."""
     return F.coalesce(text.rlike("[?？]") | F.lower(text).rlike("(" + "|".join(cues) + ")"), F.lit(False))
 
 

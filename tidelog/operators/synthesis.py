@@ -106,22 +106,6 @@ def ask_model(df: DataFrame, key: str | Sequence[str], prompt: str, client: Call
     return df.select(*keys, prompt).mapInPandas(run, f"{kinds}, reply string, error string")
 
 
-def chat_turns(asked: DataFrame, facts: DataFrame, *, entity: str, turn: str, text: str, gate: str, client: Callable[[], Client] = Offline) -> DataFrame:
-    """entity, turn, kind, text: the facts, and for each asked turn the reply, written back as a dialog row.
-
-    Where the gate is open, the entity's last fact before the turn goes before the question (one running window over
-    both, no join of turns with facts).
-    """
-    rows = asked.select(entity, turn, text, gate, F.lit(None).cast("string").alias("__fact"), F.lit(True).alias("__asks"))
-    rows = rows.unionByName(facts.select(entity, turn, F.lit(None).cast("string").alias(text), F.lit(False).alias(gate), F.col(text).alias("__fact"), F.lit(False).alias("__asks")))
-    before = Window.partitionBy(entity).orderBy(turn, "__asks").rowsBetween(Window.unboundedPreceding, -1)
-    known = rows.withColumn("__known", F.last("__fact", ignorenulls=True).over(before)).where("__asks")
-    memory = F.when(F.col(gate) & F.col("__known").isNotNull(), F.concat(F.lit("Memory: "), "__known", F.lit("\n"))).otherwise("")
-    replies = ask_model(known.select(entity, turn, F.concat(memory, F.lit("User: "), F.col(text)).alias("__prompt")), [entity, turn], "__prompt", client)
-    dialog = replies.select(entity, turn, F.lit("dialog").alias("kind"), F.col("reply").alias("text"))
-    return dialog.unionByName(facts.select(entity, turn, F.lit("fact").alias("kind"), F.col(text).alias("text")))
-
-
 def panel_mapping(df: DataFrame, key: str, client: Callable[[], Client], *, batch_sizes: Sequence[int], canonical: Mapping[str, str]) -> DataFrame:
     """panel, keys, n_events: keys sorted into panels by a model that is asked for batches, once for each batch size.
 

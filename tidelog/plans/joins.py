@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, times
+from ..operators import chat
 from ..operators import events as ev
 from ..operators import vectors
 from .registry import query
@@ -280,8 +281,15 @@ q(
 )
 q(
     "VEC6_retrieval_gate",
-    "SELECT conv_id, turn, role = 'user' AND regexp_matches(text, '[?？]') AS retrieve FROM conversations",
-    lambda t: t.conversations.select("conv_id", "turn", ((c("role") == "user") & c("text").rlike("[?？]")).alias("retrieve")),
+    """
+    SELECT conv_id, turn, coalesce(stated, true) AS always, coalesce(stated, false) AS never, coalesce(stated, asks) AS question_only FROM (SELECT conv_id, turn,
+    CASE turn % 5 WHEN 0 THEN true WHEN 1 THEN false END AS stated, regexp_matches(text, '[?？]') OR regexp_matches(lower(text), '(what|why|how|when|where|which|who)') AS asks FROM conversations)
+    """,
+    lambda t: (
+        t.conversations
+        .withColumn("stated", F.when(c("turn") % 5 == 0, " Question ").when(c("turn") % 5 == 1, "statement").when(c("turn") % 5 == 2, " "))
+        .select("conv_id", "turn", *[chat.should_retrieve(c("text"), c("stated"), p).alias(p) for p in ("always", "never", "question_only")])
+    ),
 )
 q(
     "FLT16_whitelist",

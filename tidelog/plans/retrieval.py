@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..operators import chat
 from ..operators import events as ev
 from ..operators import memory, synthesis, vectors
 from .registry import Tables, query
@@ -205,25 +206,32 @@ def provider(t: Tables):
 @query(
     "AUX12_memory_turns",
     """
-WITH asked AS (
-  SELECT conv_id, turn, text, regexp_matches(text, '[?？]') OR turn % 4 = 0 AS gated FROM conversations WHERE role = 'user'
-), facts AS (
-  SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'
-), hit AS (
-  SELECT a.conv_id, a.turn, f.text AS fact FROM asked a JOIN facts f ON f.conv_id = a.conv_id AND f.turn < a.turn AND a.gated
-  QUALIFY row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY f.turn DESC) = 1
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, role = 'user' AS asks, text, lower(split_part(text, ' ', 1)) AS needle, regexp_matches(text, '[?？]') OR turn % 4 <> 2 AS gate,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role <> 'assistant', text) AS i
+  FROM conversations WHERE role <> 'system'
+), f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS items, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS reply, 0 AS n_read FROM own
+  UNION ALL
+  SELECT conv_id, i, list_filter(CASE WHEN asks THEN list_concat(items, [text, reply]) ELSE list_append(items, text) END, lambda x: x <> ''), turn, reply, len(found)
+  FROM (
+    SELECT *, CASE WHEN asks THEN '{"answer": "' || substr(md5(
+      CASE WHEN len(found) > 0 THEN 'Memory:' || chr(10) || array_to_string(list_transform(found, lambda x: '- ' || x || chr(10)), '') ELSE '' END || 'User: ' || trim(text)), 1, 8) || '"}' END AS reply
+    FROM (
+      SELECT f.conv_id, own.i, items, own.turn, asks, text, CASE WHEN asks AND gate AND trim(text) <> ''
+        THEN list_concat(list_filter(items, lambda x: contains(lower(x), needle)), list_filter(items, lambda x: NOT contains(lower(x), needle)))[1:4] ELSE [] END AS found
+      FROM f JOIN own ON own.conv_id = f.conv_id AND own.i = f.i + 1
+    )
+  )
 )
-SELECT a.conv_id, a.turn, 'dialog' AS kind,
-  '{"answer": "' || substr(md5(CASE WHEN h.fact IS NULL THEN '' ELSE 'Memory: ' || h.fact || chr(10) END || 'User: ' || a.text), 1, 8) || '"}' AS text
-FROM asked a LEFT JOIN hit h ON h.conv_id = a.conv_id AND h.turn = a.turn
-UNION ALL SELECT conv_id, turn, 'fact', text FROM facts
+SELECT conv_id, turn, reply, CAST(n_read AS INTEGER) AS n_read FROM f WHERE reply IS NOT NULL
 """,
 )
 def memory_turns(t: Tables):
-    """A chat turn: retrieve if the gate opens, compose, reply, write the reply back beside the facts."""
-    facts = t.conversations.where("role = 'assistant'").select("conv_id", "turn", "text")
-    asked = t.conversations.where("role = 'user'").select("conv_id", "turn", "text", (c("text").rlike("[?？]") | (c("turn") % 4 == 0)).alias("gated"))
-    return synthesis.chat_turns(asked, facts, entity="conv_id", turn="turn", text="text", gate="gated")
+    """Chat turns that read what earlier ones have written back, beside the facts that the assistant's rows stand for."""
+    gate = chat.should_retrieve(c("text"), F.when((c("turn") % 4 == 2) & ~c("text").rlike("[?？]"), "statement"), "always")
+    rows = t.conversations.where("role <> 'system'").withColumns({"kind": F.when(c("role") == "user", chat.USER).otherwise(chat.FACT), "needle": F.split("text", " ")[0], "gate": gate})
+    return chat.chat(rows, entity="conv_id", turn="turn", k=4)
 
 
 @query(

@@ -1,6 +1,8 @@
 """Cases that the tables don't hold, and folds that SQL can't state."""
 
 import datetime as dt
+import json
+import math
 import random
 from collections import defaultdict
 
@@ -242,3 +244,104 @@ def test_percentiles_by_selection(spark):
     nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
     assert rollups.percentiles(nan, "v", [], {"m": 0.5}).first().m == 2.0
     assert rollups.percentiles(df.where("false"), "v", ["g"], points).collect() == []
+
+
+def test_tau_of_a_long_list(spark):
+    """50,000 values with ties: counted pairs from a table of counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, 50_000), rng.integers(0, 30, 50_000)
+    table = np.zeros((40, 30), np.int64)
+    np.add.at(table, (x, y), 1)
+    above = np.cumsum(np.cumsum(table[::-1, ::-1], 0), 1)[::-1, ::-1]
+    below = np.cumsum(np.cumsum(table[::-1], 0), 1)[::-1]
+    con = sum(int(table[i, j]) * int(above[i + 1, j + 1]) for i in range(39) for j in range(29))
+    dis = sum(int(table[i, j]) * int(below[i + 1, j - 1]) for i in range(39) for j in range(1, 30))
+    ties = lambda k: sum(int(v) * (int(v) - 1) // 2 for v in k)
+    pairs = 50_000 * 49_999 // 2
+    want = (con - dis) / math.sqrt((pairs - ties(table.sum(1))) * (pairs - ties(table.sum(0))))
+    df = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<int>, b array<int>")
+    assert abs(df.select(scores.kendall_tau(F.col("a"), F.col("b"))).first()[0] - want) < 1e-12
+
+
+def test_tau_against_pairs(spark):
+    rng = random.Random(7)
+    rows = [([rng.choice([1.0, 2.0, 3.0, 4.5]) for _ in range(n)], [rng.randint(0, 3) * 1.0 for _ in range(n)]) for n in range(12) for _ in range(5)]
+    odd = [(None, [1.0]), ([1.0, 2.0], [1.0]), ([1.0, None], [1.0, 2.0]), ([], [])]
+    got = [r[0] for r in spark.createDataFrame(rows + odd, "a array<double>, b array<double>").select(scores.kendall_tau(F.col("a"), F.col("b"))).collect()]
+    sign = lambda v: (v > 0) - (v < 0)
+    for (a, b), tau in zip(rows, got, strict=False):
+        s = [(sign(a[i] - a[j]), sign(b[i] - b[j])) for i in range(len(a)) for j in range(i)]
+        n = sum(p != 0 for p, _ in s) * sum(q != 0 for _, q in s)
+        assert (tau is None) == (n == 0) and (tau is None or abs(tau - sum(p * q for p, q in s) / n**0.5) < 1e-12)
+    assert got[len(rows) :] == [None] * 4
+
+
+def test_histories_by_reference(spark):
+    rng = random.Random(8)
+    rows = [(e, rng.randint(0, 20), i) for i, e in enumerate(["hot"] * 300 + ["a"] * 5 + ["one", None, None])]
+    df = spark.createDataFrame(rows, "e string, t int, i int").repartition(6)
+    for size in (1, 7, 1024):
+        own = ev.history_by_reference(df, "e", ["t", "i"], "i", size)
+        assert max(len(r["items"]) for r in own.chunks.collect()) <= size and own.rows.count() == len(rows)
+        got = {r.i: r.history for r in own.expand(own.rows, "i").collect()}
+        for e, t, i in rows:
+            assert got[i] == [j for _, j in sorted((u, j) for f, u, j in rows if f == e and (u, j) <= (t, i))]
+        assert [r.i for r in own.expand(own.rows.where("i = 304"), "i").collect()] == [304]
+
+
+def test_packing_an_entity_larger_than_a_batch(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [("e", v, p, "x" * (1 + (v * p) % 40)) for v in range(40) for p in range(25)] + [(None, 1, 1, None)]
+        df = spark.createDataFrame(rows, "e string, v bigint, p bigint, t string")
+        got = ev.pack(df, "e", "v", "p", "t", 3000).orderBy("place").collect()
+        used, want = 0, []
+        for v in range(39, -1, -1):
+            for p in range(25):
+                size = 3 + 1 + (v * p) % 40
+                if used + size > 3000:
+                    break
+                used += size
+                want.append((v, p))
+        assert [(r.v, r.p) for r in got if r.e] == want and len(want) > 50
+        assert [(r.place, r.line) for r in got if r.e is None] == [(0, "- ")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_placeholders_at_any_depth(spark):
+    from pyspark.sql import types as T
+
+    doc = {"a": "___", "b": [" _ ", "x_", ["", {"c": "\t", "k___": "_ _"}]], "m": {"___": "y", "n": None}, "i": 7, "f": 1.5, "t": True, "u": "é_"}
+    want = {"a": None, "b": [None, "x_", [None, {"c": None, "k___": "_ _"}]], "m": {"___": "y", "n": None}, "i": 7, "f": 1.5, "t": True, "u": "é_"}
+    df = spark.createDataFrame([(json.dumps(doc),), (None,), ('"__"',), ("[]",)], "s string").select(F.parse_json("s").alias("v"))
+    got = [r[0] for r in df.select(F.to_json(nulls.without_placeholders(F.col("v"), T.VariantType()))).collect()]
+    assert json.loads(got[0]) == want and got[1:] == [None, "null", "[]"]
+    kind = "struct<a: string, b: array<struct<c: string>>, m: map<string, array<string>>, n: int>"
+    typed = spark.createDataFrame([((" __", [("_",), None, ("ok",)], {"__": ["", None, "z"]}, 3),), (None,)], f"d {kind}")
+    rows = [r[0] for r in typed.select(nulls.without_placeholders(F.col("d"), typed.schema["d"].dataType)).collect()]
+    assert rows[1] is None and (rows[0].a, [x and x.c for x in rows[0].b], rows[0].m, rows[0].n) == (None, [None, None, "ok"], {"__": [None, None, "z"]}, 3)
+
+
+def test_lexical_search_by_index(spark):
+    """The index against the loop: short, rare, absent, odd and empty needles; one entity of many documents, one small."""
+    from tidelog.operators import vectors
+
+    rng = random.Random(12)
+    words = ["Blue", "green.", "réd", "blu", "99%", "a_b", "中文字", ""]
+    docs = [("hot" if i % 9 else "few", i, None if i % 31 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))) for i in range(400)] + [(None, 500, "blue")]
+    needles = ["BLUE", "b", "", None, "zzz", "n. r", "%", "_b", "文", "RÉD", "blue green. blue"]
+    queries = [(e, f"{e}{i}", n) for e in ("hot", "few", "none", None) for i, n in enumerate(needles)]
+    left, right = spark.createDataFrame(queries, "e string, q string, needle string"), spark.createDataFrame(docs, "e string, p int, body string").repartition(4)
+    for direct in (10_000, 100):
+        got = defaultdict(list)
+        for r in vectors.lexical(left, right, entity="e", query_id="q", needle="needle", text="body", position="p", k=7, direct=direct).orderBy("q", "rank").collect():
+            got[r.q].append((r.score, r.p, r.e, r.body))
+        each = vectors.lexical(spark.createDataFrame([("hot", "N. R"), ("few", "b")], "e string, needle string"), right, entity="e", query_id="e", needle="needle", text="body", position="p", k=3, direct=direct)
+        assert sorted((r.e, r["rank"]) for r in each.collect()) == [(e, i) for e in ("few", "hot") for i in (1, 2, 3)]
+        for e, q, n in queries:
+            own = [(1.0 if t is not None and (n or "").lower() in t.lower() else 0.1, p, f, t) for f, p, t in docs if e is not None and f == e]
+            assert got[q] == sorted(own, key=lambda x: (-x[0], x[1]))[:7], (direct, q, n)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,37 @@ def history(df: DataFrame, by: str, order: Sequence[Column], what: Column, name:
     return df.withColumn(name, F.collect_list(what).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding if most is None else 1 - most, 0)))
 
 
+class Prefixes:
+    """Histories by reference: an entity's items once, in chunks, and for each row how many of them it has behind it.
+
+    ``chunks``: by, chunk, items (at most ``size``, in order); ``rows``: the given rows with ``n``, the length of their
+    history. Bytes are linear in the rows, whatever the length of a history; ``expand`` makes the arrays of the rows that
+    are asked for.
+    """
+
+    def __init__(self, rows: DataFrame, chunks: DataFrame, by: str, size: int) -> None:
+        self.rows, self.chunks, self.by, self.size = rows, chunks, by, size
+
+    def expand(self, asked: DataFrame, key: str, name: str = "history") -> DataFrame:
+        """key and its history for the rows of ``asked`` (rows of ``rows``, with by, key and n); a row's chunks meet by an equi-join."""
+        last = F.floor((F.col("n") - 1) / self.size)
+        own = asked.select(F.col(key).alias("__key"), F.col(self.by).alias("__by"), "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__chunk"))
+        met = own.join(self.chunks, F.col("__by").eqNullSafe(F.col(self.by)) & (F.col("__chunk") == F.col("chunk")))
+        part = F.slice("items", F.lit(1), F.least(F.lit(self.size), F.col("n") - F.col("chunk") * self.size).cast("int"))
+        parts = met.groupBy(F.col("__key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("chunk", part.alias("items")))).alias("__p"))
+        return parts.select(key, F.flatten(F.transform("__p", lambda x: x["items"])).alias(name))
+
+
+def history_by_reference(df: DataFrame, by: str, order: Sequence[str], what: str, size: int = 1024) -> Prefixes:
+    """Everything up to and with each row, as (chunks, length): rows are numbered by ranges of (by, order), so that an entity may be many tasks; a null entity is one."""
+    numbered = running_numbers(df, [by, *order], "__n")
+    first = numbered.groupBy(F.col(by).alias("__by")).agg(F.min("__n").alias("__first"))
+    placed = written(numbered.join(first, F.col(by).eqNullSafe(F.col("__by"))).withColumn("n", F.col("__n") - F.col("__first") + 1).drop("__n", "__first", "__by"))
+    chunk = F.floor((F.col("n") - 1) / size).alias("chunk")
+    items = F.transform(F.sort_array(F.collect_list(F.struct("n", F.col(what).alias("x")))), lambda s: s.x)
+    return Prefixes(placed, placed.groupBy(by, chunk).agg(items.alias("items")), by, size)
+
+
 def sliding(df: DataFrame, by: str, order: Sequence[Column], what: Column, size: int, stride: int = 1) -> DataFrame:
     """Complete windows of ``size`` rows, each ``stride`` after the last: by, window (from 0), items."""
     w = Window.partitionBy(by).orderBy(*order)
@@ -159,31 +191,36 @@ def pack(df: DataFrame, by: str, group: str, order: str, text: str, budget: int,
     """by, place, group, order, line: what fits into ``budget`` characters, newest group first, notes before other rows, then in order.
 
     A longer text is cut to ``item_chars`` and marked. A line that doesn't fit ends its group, not the older ones; after
-    ``most_groups`` groups with a line no other is opened. A fold over one entity's rows (its memory), which a running
-    sum can't express: what is skipped depends on what was taken.
+    ``most_groups`` groups with a line no other is opened. What is skipped depends on what was taken, so this is a fold: an
+    entity's rows stream past it in order, and it holds a few numbers, whatever the entity's size.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     line = F.concat(F.lit(bullet), F.when(F.length(whole) > item_chars, F.concat(F.substring(whole, 1, item_chars), F.lit(cut_mark))).otherwise(whole))
     late = F.lit(0) if note is None else F.coalesce((~note).cast("int"), F.lit(1))
-    items = F.sort_array(F.collect_list(F.struct((-F.col(group)).cast("bigint").alias("g"), late.alias("late"), F.col(order).cast("bigint").alias("o"), line.alias("line"))))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("groups"), *[F.lit(None).cast("bigint").alias(x) for x in ("shut", "last")], F.array().cast("array<struct<g:bigint,o:bigint,line:string>>").alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        size = F.length(x.line) + 1
-        again = s.last.eqNullSafe(x.g)
-        opens = F.lit(True) if most_groups is None else again | (s.groups < most_groups)
-        fits = ~s.shut.eqNullSafe(x.g) & opens & (s.used + size <= budget)
-        taken = F.concat(s.taken, F.array(F.struct(x.g.alias("g"), x.o.alias("o"), x.line.alias("line"))))
-        return F.struct(
-            F.when(fits, s.used + size).otherwise(s.used).alias("used"),
-            F.when(fits & ~again, s.groups + 1).otherwise(s.groups).alias("groups"),
-            F.when(fits, s.shut).otherwise(x.g).alias("shut"),
-            F.when(fits, x.g).otherwise(s.last).alias("last"),
-            F.when(fits, taken).otherwise(s.taken).alias("taken"),
-        )
-
-    folded = df.groupBy(by).agg(F.aggregate(items, zero, step, lambda s: s.taken).alias("t"))
-    return folded.select(by, F.posexplode("t").alias("place", "x")).select(by, "place", (-F.col("x.g")).alias(group), F.col("x.o").alias(order), "x.line")
+    rows = df.select(F.col(by).alias("e"), F.col(group).cast("bigint").alias("g"), late.alias("late"), F.col(order).cast("bigint").alias("o"), F.length(line).alias("size"), line.alias("line"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun = None, False
+        for batch in batches:
+            keep, places = [], []
+            entities, groups, sizes = (batch.column(i).to_pylist() for i in (0, 1, 4))
+            for i, (e, g, size) in enumerate(zip(entities, groups, sizes, strict=True)):
+                if not begun or e != now:
+                    # Characters and groups taken, the group that is shut, the last one with a line, lines taken.
+                    now, begun, used, opened, shut, last, place = e, True, 0, 0, (), (), 0
+                if shut == (g,) or used + size + 1 > budget or (most_groups is not None and last != (g,) and opened >= most_groups):
+                    shut = (g,)
+                    continue
+                used, opened, last = used + size + 1, opened + (last != (g,)), (g,)
+                keep.append(i)
+                places.append(place)
+                place += 1
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(places, pa.int32()), some.column(1), some.column(3), some.column(5)], names=["e", "place", "g", "o", "line"])
+
+    streamed = rows.repartition("e").sortWithinPartitions("e", F.desc_nulls_first("g"), "late", "o", "line").mapInArrow(run, f"e {kind}, place int, g bigint, o bigint, line string")
+    return streamed.toDF(by, "place", group, order, "line")
 
 
 def ratio_sample(df: DataFrame, by: str, keys: Sequence[str], ratio: float, seed: str = "7") -> DataFrame:

@@ -312,8 +312,54 @@ def _visits(met, asked: DataFrame, dealt: DataFrame, cells: dict[str, Cells], ta
     return functools.reduce(DataFrame.unionByName, (one, two))
 
 
-def lexical(queries: DataFrame, docs: DataFrame, *, entity: str, query_id: str, needle: str, text: str, position: str, k: int) -> DataFrame:
-    """1.0 for documents that hold the query, whatever its case, else 0.1; ties in order of insertion."""
-    score = F.when(F.contains(F.lower(text), F.lower(needle)), 1.0).otherwise(0.1)
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), position))
-    return queries.join(docs, entity).withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k)
+#: Characters of the pieces of a text that the lexical index knows.
+GRAM = 3
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of ``size`` characters, and all shorter ones, which short needles need."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[at(n) for n in range(1, size + 1)]))
+
+
+def lexical(queries: DataFrame, docs: DataFrame, *, entity: str, query_id: str, needle: str, text: str, position: str, k: int, direct: int = 1000) -> DataFrame:
+    """The first k documents of a query's entity: 1.0 for those that hold the needle, whatever its case, else 0.1; ties in order of insertion.
+
+    An entity of more than ``direct`` documents is searched through an index of its texts' pieces of three characters: a
+    needle's candidates are the documents with its rarest piece, and only they are compared. What fills up a result behind
+    the documents that hold the needle can only be among the entity's first k, so no query meets all documents of a large
+    entity; smaller entities are joined whole.
+
+    Edge cases: a null or empty needle is held by every text that isn't null; a null text holds nothing; documents
+    without an entity are found by nobody; repeated positions are taken in any order.
+    """
+    own = queries.select(F.col(entity).alias("__e"), F.lower(F.coalesce(F.col(needle), F.lit(""))).alias("__n")).distinct()
+    large = docs.groupBy(F.col(entity).alias("__e")).agg(F.count("*").alias("__size")).where(F.col("__size") > direct).join(own.select("__e").distinct(), "__e").select("__e")
+    asked = queries.withColumn("__n", F.lower(F.coalesce(F.col(needle), F.lit("")))).withColumnRenamed(entity, "__e")
+    rows = docs.withColumnRenamed(entity, "__e").withColumn("__low", F.lower(text))
+    score = F.when(F.contains("__low", "__n"), 1.0).otherwise(0.1)
+    rank = F.row_number().over(Window.partitionBy("__e", *([] if query_id == entity else [query_id])).orderBy(F.desc("score"), position))
+    tidy = lambda df: df.drop("__n", "__low").withColumnRenamed("__e", entity)
+    if large.isEmpty():
+        return tidy(asked.join(rows, "__e").withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k))
+    small = asked.join(large, "__e", "left_anti").join(rows, "__e")
+
+    # One row for each document and piece; the document itself stays where it is until it is a candidate.
+    held = written(rows.join(large, "__e").withColumn("__d", F.monotonically_increasing_id()))
+    post = held.select("__e", "__d", F.explode(grams(F.col("__low"))).alias("__g"))
+    needles = own.join(large, "__e")
+    pieces = needles.select("__e", "__n", F.explode(F.filter(grams(F.col("__n")), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length("__n")))).alias("__g"))
+    wanted = written(post.join(pieces.select("__e", "__g").distinct(), ["__e", "__g"]))
+    counts = wanted.groupBy("__e", "__g").agg(F.count("*").alias("__c"))
+    # Without a document that has one of its pieces a needle is held by none: its count is 0 and it has no candidates.
+    rarest = pieces.join(counts, ["__e", "__g"], "left").groupBy("__e", "__n").agg(F.min(F.struct(F.coalesce("__c", F.lit(0)).alias("c"), F.col("__g").alias("g"))).alias("__r"))
+    candidates = rarest.select("__e", "__n", F.col("__r.g").alias("__g")).join(wanted, ["__e", "__g"]).select("__e", "__n", "__d")
+    hits = candidates.join(held.select("__d", "__low", F.col(position).alias("__at")), "__d").where(F.contains("__low", "__n")).select("__e", "__n", "__d", "__at")
+    first = Window.partitionBy("__e").orderBy(position)
+    early = held.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k).select("__e", "__d", F.col(position).alias("__at"))
+    fill = needles.join(early, "__e").select("__e", "__n", "__d", "__at")
+    best = F.row_number().over(Window.partitionBy("__e", "__n").orderBy("__at", "__d"))
+    some = hits.withColumn("__r", best).where(F.col("__r") <= k).drop("__r").unionByName(fill).select("__e", "__n", "__d").distinct()
+    found = asked.join(some, ["__e", "__n"]).join(held, ["__e", "__d"]).drop("__d")
+    both = small.unionByName(found.select(*small.columns)).withColumn("score", score).withColumn("rank", rank)
+    return tidy(both.where(F.col("rank") <= k))

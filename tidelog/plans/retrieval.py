@@ -76,7 +76,9 @@ def scope_match(t: Tables):
     """,
 )
 def history_prefix(t: Tables):
-    return ev.history(t.events, "user_id", [c("ts"), c("event_id")], c("event_id")).select("event_id", "history")
+    """Every event's history, expanded from chunks of its user's events and a length."""
+    own = ev.history_by_reference(t.events.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_id", size=64)
+    return own.expand(own.rows, "event_id")
 
 
 VISITS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders)"

@@ -150,14 +150,27 @@ q(
 )
 q(
     "PRJ15_placeholder_nested",
-    "SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS kept FROM orders GROUP BY 1",
-    lambda t: (
-        t.orders
-        .groupBy("o_custkey")
-        .agg(F.collect_list(F.when(c("o_orderstatus") == "P", "___").otherwise(c("o_orderstatus"))).alias("a"))
-        .select("o_custkey", F.size(F.filter(F.transform("a", nulls.placeholder_to_null), lambda x: x.isNotNull())).cast("long").alias("kept"))
-    ),
+    """
+    SELECT o_custkey, kind, CASE kind WHEN 'variant' THEN '{"a":{"m":{"x":null,"y":[null,"ok",[null,1,{"z":null}]]},"n":null},"key":' || o_custkey || ',"orders":[' || orders || ']}'
+      ELSE '{"key":' || o_custkey || ',"orders":[' || orders || ']}' END AS doc
+    FROM (SELECT o_custkey, string_agg('{"key":' || o_orderkey || ',"note":{"by":' || CASE WHEN o_orderkey % 2 = 0 THEN '"clerk"' ELSE 'null' END || '},"status":' ||
+    CASE o_orderstatus WHEN 'P' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}', ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1), (VALUES ('variant'), ('typed')) AS k(kind)
+    """,
+    lambda t: cleaned_documents(t),
 )
+
+
+def cleaned_documents(t):
+    """Whole documents of three and more levels, cleaned as a variant by its values and as a column by its schema."""
+    note = F.struct(F.when(c("o_orderkey") % 2 == 0, "clerk").otherwise(" __ ").alias("by"))
+    order = F.struct(c("o_orderkey").alias("key"), note.alias("note"), F.when(c("o_orderstatus") == "P", "___").otherwise(c("o_orderstatus")).alias("status"))
+    docs = t.orders.groupBy("o_custkey").agg(F.struct(F.first("o_custkey").alias("key"), F.sort_array(F.collect_list(order)).alias("orders")).alias("typed"))
+    dirty = F.concat(F.lit('{"a": {"m": {"x": "__", "y": [" ", "ok", ["_", 1, {"z": ""}]]}, "n": null}, '), F.substring(F.to_json("typed"), F.lit(2), F.lit(10_000_000)))
+    both = docs.withColumn("variant", F.parse_json(dirty))
+    shown = lambda kind: F.to_json(nulls.without_placeholders(c(kind), both.schema[kind].dataType), {"ignoreNullFields": "false"} if kind == "typed" else None)
+    return both.select("o_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), shown(k).alias("doc")) for k in ("variant", "typed")])).alias("x")).select("o_custkey", "x.*")
+
+
 q(
     "PRJ16_force_schema",
     "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, NULL AS absent FROM events",

@@ -42,12 +42,20 @@ def prefer_extract(t: Tables):
     return readers.scan_csv(t.spark, readers.prefer(t.spark, at, "nation"), ["n_nationkey"])
 
 
-@query("SRC6_json_documents", "SELECT user_id, count(*) AS n_events FROM events GROUP BY user_id")
+@query(
+    "SRC6_json_documents",
+    """
+    SELECT user_id, event_id, event_type, false AS demo FROM events
+    UNION ALL SELECT user_id, event_id, event_type, true FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY CAST(user_id AS VARCHAR) LIMIT 20)
+    """,
+)
 def json_documents(t: Tables):
+    """A document for each user: all of them, and the first twenty files as a demo reads them."""
     docs = t.events.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "event_type")).alias("events"))
     writers.write_documents(docs, at := t.scratch(), "user_id")
-    back = t.spark.read.schema("user_id bigint, events array<struct<event_id:bigint,event_type:string>>, _key bigint").json(at)
-    return back.select("user_id", F.size("events").cast("long").alias("n_events"))
+    schema = "user_id bigint, events array<struct<event_id:bigint,event_type:string>>"
+    read = lambda first: readers.scan_documents(t.spark, at, schema, recursive=True, first=first).select("user_id", F.inline("events"))
+    return read(None).withColumn("demo", F.lit(False)).unionByName(read(20).withColumn("demo", F.lit(True)))
 
 
 @query("SRC7_recursive_scan", "SELECT r_regionkey, r_name FROM region")
@@ -79,6 +87,22 @@ def jsonl_wrap(t: Tables):
     return readers.scan_jsonl(t.spark, _dirty(t), "r_regionkey bigint, r_name string", "mark").select("r_name", F.col("_value").alias("value"))
 
 
+@query(
+    "SRC10_bad_line_numbers",
+    """
+    SELECT c_custkey % 3 AS part, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS line, '{broken ' || c_name AS value
+    FROM customer QUALIFY c_custkey % 7 = 0
+    """,
+)
+def bad_line_numbers(t: Tables):
+    """Three files of lines, one customer a line; every seventh is no JSON, every eleventh blank."""
+    line = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("{broken "), "c_name")).when(F.col("c_custkey") % 11 == 0, " ").otherwise(F.to_json(F.struct("c_custkey", "c_name")))
+    lines = t.customer.select((F.col("c_custkey") % 3).alias("part"), "c_custkey", line.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(at := t.scratch())
+    found = readers.bad_lines(t.spark, at)
+    return found.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint").alias("part"), "line", "value")
+
+
 @query("SNK1_filtered_csv", "SELECT CAST(event_id AS VARCHAR) AS event_id FROM events WHERE event_type = 'error'")
 def filtered_csv(t: Tables):
     writers.write_csv(t.events.where("event_type = 'error'").select("event_id", "event_type"), at := t.scratch())

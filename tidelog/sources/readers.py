@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """The header alone: one line of one file is read."""
@@ -40,14 +42,49 @@ def prefer(spark: SparkSession, folder: str, stem: str) -> str:
     return f"{folder}/{stem}{'_extract' if there else ''}.csv"
 
 
-def scan_documents(spark: SparkSession, path: str, schema: str, recursive: bool = False) -> DataFrame:
-    """One JSON document a file; with ``recursive`` from all folders below, hidden files left out."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "[!.]*.json")
+def scan_documents(spark: SparkSession, path: str, schema: str, recursive: bool = False, first: int | None = None) -> DataFrame:
+    """One JSON document a file; with ``recursive`` from all folders below, hidden files left out; with ``first`` only so many files, in order of their paths."""
+    reader = spark.read.schema(schema).option("multiLine", True)
+    if first is not None:
+        named = files_below(spark, path, "*.json") if recursive else files_below(spark, path, "*.json", recursive=False)
+        # A number that the caller names, as a sample to look at.
+        own = [r["file"] for r in named.orderBy("file").limit(first).collect()]
+        return reader.json(own) if own else spark.createDataFrame([], schema)
+    reader = reader.option("pathGlobFilter", "[!.]*.json")
     return (reader.option("recursiveFileLookup", True) if recursive else reader).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1, empty lines counted; ``only``, over ``value``, says which come back.
+
+    A file may be cut into blocks that different tasks read: a line's number is its place in its block and the lines of
+    the file's blocks before it. The texts are read once; of the lines that don't come back only their places are written.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    kept = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    # A task reads a block from its start to its end, so that ids in it are consecutive.
+    placed = written(lines.select("file", "block", F.monotonically_increasing_id().alias("at"), kept.alias("kept"), F.when(kept, F.col("value")).alias("value")))
+    blocks = placed.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    # A row for each block.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.where("kept").join(blocks.withColumn("before", before), ["file", "block"])
+    return numbered.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that are neither blank nor JSON."""
+    return numbered_lines(spark, path, (F.trim("value") != "") & F.expr("try_parse_json(value)").isNull())
+
+
+def check_lines(spark: SparkSession, path: str) -> None:
+    """An error that names the first bad line's file and number, if there is one."""
+    first = bad_lines(spark, path).orderBy("file", "line").first()
+    if first is not None:
+        raise ValueError(f"{first['file']} line {first['line']} is not JSON: {first['value'][:200]}")
+
+
 def scan_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
-    """strict: a bad line fails; skip: bad lines and lines that hold no object go; mark: they stay, as text in ``_value``."""
+    """strict: a bad line fails (``check_lines`` names it); skip: bad lines and lines that hold no object go; mark: they stay, as text in ``_value``."""
     if mode == "strict":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     parsed = spark.read.text(path).where(F.trim("value") != "").select("value", F.from_json("value", schema).alias("row"), F.get_json_object("value", "$").startswith("{").alias("ok"))
@@ -93,7 +130,8 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [name for name in required if name not in df.columns]
 
 
-def files_below(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(file, bytes) of the files below a folder whose names match, hidden ones left out; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+def files_below(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """(file, bytes) of the files below a folder whose names match, hidden ones left out; contents are not read. Without ``recursive`` those of the folder and its partitions."""
+    reader = spark.read.format("binaryFile")
+    found = (reader.option("recursiveFileLookup", True) if recursive else reader).option("pathGlobFilter", pattern).load(path)
     return found.select(F.col("path").alias("file"), F.col("length").alias("bytes")).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, texts, times
+from ..sources.shared import written
+from ..sources.versions import VersionedTable
 from . import events as ev
 from . import rollups as ru
 
@@ -39,28 +44,48 @@ class RateLimited(Exception):
 REPAIR = "Reply with JSON only. "
 
 
+class Pace:
+    """Starts of calls at least a gap apart, for all threads of a task; a refused call holds up all that come after it."""
+
+    def __init__(self, per_second: float, *, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.gap, self.clock, self.sleep = 1.0 / per_second, clock, sleep
+        self.lock, self.next = threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        with self.lock:
+            at = max(self.clock(), self.next)
+            self.next = at + self.gap
+        pause = at - self.clock()
+        if pause > 0:
+            self.sleep(pause)
+
+    def hold(self, seconds: float) -> None:
+        with self.lock:
+            self.next = max(self.next, self.clock() + seconds)
+
+
 class Careful:
-    """A client around another: calls at most ``per_second`` times a second, tries again after a failure with a pause that doubles, and asks once to repair a reply that is no JSON."""
+    """A client around another: calls at the pace of ``per_second``, tries again after a failure with a pause that doubles, and asks once to repair a reply that is no JSON.
 
-    def __init__(self, inner: Callable[[], Client], *, attempts: int = 4, pause: float = 1.0, per_second: float = 5.0) -> None:
-        self.inner, self.attempts, self.pause, self.gap = inner(), attempts, pause, 1.0 / per_second
-        self.next = 0.0
+    With a shared ``pace`` it starts no call before that one lets it, and a refusal (RateLimited) holds up the others too.
+    """
 
-    def once(self, prompt: str) -> str:
-        now = time.monotonic()
-        if now < self.next:
-            time.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
-        return self.inner.ask(prompt)
+    def __init__(self, inner: Callable[[], Client], *, attempts: int = 4, pause: float = 1.0, per_second: float = 5.0, pace: Pace | None = None) -> None:
+        self.inner, self.attempts, self.pause = inner(), attempts, pause
+        self.pace = pace or Pace(per_second)
 
     def patiently(self, prompt: str) -> str:
         for turn in range(self.attempts):
+            self.pace.wait()
             try:
-                return self.once(prompt)
-            except Exception:
+                return self.inner.ask(prompt)
+            except Exception as error:
                 if turn + 1 == self.attempts:
                     raise
-                time.sleep(self.pause * 2**turn)
+                if isinstance(error, RateLimited):
+                    self.pace.hold(self.pause * 2**turn)
+                else:
+                    self.pace.sleep(self.pause * 2**turn)
         raise ValueError("at least one attempt is needed")
 
     def ask(self, prompt: str) -> str:
@@ -82,28 +107,75 @@ class Adapter:
         return self.call(json.loads(prompt))
 
 
-def ask_model(df: DataFrame, key: str | Sequence[str], prompt: str, client: Callable[[], Client] = Offline, attempts: int = 2) -> DataFrame:
-    """The key columns, reply, error: a failed call is a row with its error, after ``attempts`` tries."""
+def asked_in_order(prompts: Iterator[str], client: Callable[[], Client], attempts: int, workers: int) -> Iterator[tuple[str | None, str | None]]:
+    """(reply, error) of each prompt, in their order, with up to ``workers`` calls in flight: a client for each thread, and no more than twice as many prompts taken from the source as are in flight."""
+    own = threading.local()
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        if not hasattr(own, "client"):
+            own.client = client()
+        error = None
+        for _ in range(attempts):
+            try:
+                return own.client.ask(prompt or ""), None
+            except Exception as failed:  # noqa: BLE001  (a client may raise anything; the row carries it)
+                error = f"{type(failed).__name__}: {failed}"
+        return None, error
+
+    if workers == 1:
+        yield from map(one, prompts)
+        return
+    with ThreadPoolExecutor(workers) as pool:
+        flying: deque = deque()
+        for prompt in prompts:
+            flying.append(pool.submit(one, prompt))
+            if len(flying) >= 2 * workers:
+                yield flying.popleft().result()
+        while flying:
+            yield flying.popleft().result()
+
+
+def ask_model(df: DataFrame, key: str | Sequence[str], prompt: str, client: Callable[..., Client] = Offline, attempts: int = 2, *, workers: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
+    """The key columns, reply, error: a failed call is a row with its error, after ``attempts`` tries.
+
+    A task keeps ``workers`` calls in flight and gives the rows back in their order. ``per_second`` is a budget for the
+    whole job: rows are dealt to ``tasks`` partitions (as many as can run at once) and each keeps to its share; the client
+    is then built with the task's ``pace`` (see Careful), without it as it is.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    own = df.select(*keys, prompt)
+    if per_second is not None:
+        tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+        own = own.repartition(tasks)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = client()
+        build = client if per_second is None else functools.partial(client, pace=Pace(per_second / tasks))
         for part in parts:
-            replies, errors = [], []
-            for text in part[prompt]:
-                reply, error = None, None
-                for _ in range(attempts):
-                    try:
-                        reply, error = own.ask(text or ""), None
-                        break
-                    except Exception as failed:  # noqa: BLE001  (a client may raise anything; the row carries it)
-                        error = f"{type(failed).__name__}: {failed}"
-                replies.append(reply)
-                errors.append(error)
-            yield part[keys].assign(reply=replies, error=errors)
+            replies = list(asked_in_order(iter(part[prompt]), build, attempts, workers))
+            yield part[keys].assign(reply=[r for r, _ in replies], error=[e for _, e in replies])
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, prompt).mapInPandas(run, f"{kinds}, reply string, error string")
+    return own.mapInPandas(run, f"{kinds}, reply string, error string")
+
+
+def ask_the_rest(df: DataFrame, key: Sequence[str], prompt: str, path: str, client: Callable[..., Client] = Offline, *, rounds: int = 8, **options: object) -> DataFrame:
+    """Replies by key from a versioned table at ``path`` that is filled with what it lacks: keys, reply, error (of keys that failed again).
+
+    The keys that have no reply yet are asked in ``rounds`` parts, and each part's replies are put in before the next is
+    asked. A run that is cut short loses one part at most; another run asks only for what is missing or failed.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
+    table = VersionedTable(df.sparkSession, path, f"{kinds}, reply string", key)
+    done = table.read().select(*[F.col(k).alias(f"__{k}") for k in key])
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    todo = written(df.select(*key, prompt).join(done, same, "left_anti"))
+    failed = []
+    for part in range(rounds):
+        own = todo.where(F.pmod(F.xxhash64(*key), F.lit(rounds)) == part)
+        replies = written(ask_model(own, key, prompt, client, **options))
+        table.upsert(replies.where("error IS NULL").drop("error"))
+        failed.append(replies.where("error IS NOT NULL"))
+    return functools.reduce(DataFrame.unionByName, failed, table.read().withColumn("error", F.lit(None).cast("string")))
 
 
 def panel_mapping(df: DataFrame, key: str, client: Callable[[], Client], *, batch_sizes: Sequence[int], canonical: Mapping[str, str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -344,9 +346,32 @@ q(
     SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS VARCHAR) END AS reply, CASE WHEN n_nationkey
     % 2 = 1 THEN 'ValueError: odd' END AS error FROM nation
     """,
-    lambda t: sy.ask_model(t.nation.select("n_nationkey", c("n_nationkey").cast("string").alias("prompt")), "n_nationkey", "prompt", Failing),
+    lambda t: sy.ask_model(t.nation.select("n_nationkey", c("n_nationkey").cast("string").alias("prompt")), "n_nationkey", "prompt", Failing, workers=4),
 )
 
+
+class Shy:
+    """A client that refuses every third prompt, as long as it is in its bad mood."""
+
+    def __init__(self, bad: bool, pace: sy.Pace) -> None:
+        self.bad, self.pace = bad, pace
+
+    def ask(self, prompt: str) -> str:
+        self.pace.wait()
+        if self.bad and int(prompt) % 3 == 0:
+            raise sy.RateLimited("429")
+        return ("first " if self.bad else "second ") + prompt
+
+
+@query("UDF5_concurrent_resume", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'second ' ELSE 'first ' END || c_custkey AS reply, NULL AS error FROM customer")
+def concurrent_resume(t):
+    """Two runs over one table of replies: the first fails for a third of the keys, the second asks only for them."""
+    asked, at = t.customer.select("c_custkey", c("c_custkey").cast("string").alias("prompt")), t.scratch()
+    for bad in (True, False):
+        out = sy.ask_the_rest(asked, ["c_custkey"], "prompt", at, functools.partial(Shy, bad), rounds=2, workers=8, per_second=1e6, attempts=1)
+    return out
+
+
 # ---- remaining helpers -------------------------------------------------------------------------------------------
 q(
     "AUX6_missing_list",

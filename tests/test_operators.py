@@ -345,3 +345,44 @@ def test_lexical_search_by_index(spark):
         for e, q, n in queries:
             own = [(1.0 if t is not None and (n or "").lower() in t.lower() else 0.1, p, f, t) for f, p, t in docs if e is not None and f == e]
             assert got[q] == sorted(own, key=lambda x: (-x[0], x[1]))[:7], (direct, q, n)
+
+
+def test_stores_pages_and_deletes(spark, tmp_path):
+    from tidelog.operators import memory
+    from tidelog.sources import versions
+
+    items = spark.range(25).select(F.col("id").alias("k"), (F.col("id") % 3).alias("user_id"))
+    listed = memory.pages(items.where("user_id = 1"), ["k"], 3)
+    assert [(r.k, r.page) for r in listed.orderBy("k").collect()] == [(k, i // 3 + 1) for i, k in enumerate(range(1, 25, 3))]
+    calls = []
+
+    def refuses(table, rows):
+        calls.append(sorted(r.k for r in rows.collect()))
+        if len(calls) == 1:
+            raise OSError("too many")
+        return table.delete(rows)
+
+    table = versions.VersionedTable(spark, f"{tmp_path}/t", "k bigint, user_id bigint", ["k"])
+    table.upsert(items)
+    assert memory.delete_pages(table, listed, refuses) == 3 and [len(x) for x in calls] == [8, 3, 3, 2]
+    assert sorted(r.k for r in table.read().collect()) == [k for k in range(25) if k % 3 != 1]
+    store = memory.FrameStore(items, most=2)
+    for i in range(5):
+        store.delete({"user_id": None}, {"k": i})
+        store.add(spark.createDataFrame([(100 + i, 0)], "k bigint, user_id bigint"))
+    assert sorted(r.k for r in store.items.collect()) == [*range(5, 25), *range(100, 105)]
+    with pytest.raises(ValueError):
+        store.delete({"user_id": None}, {"k": None})
+    stores = memory.EntityStores(spark, f"{tmp_path}/s", items.schema, "user_id")
+    assert stores.read().count() == 0 and stores.build(items.where("user_id = 0")) == 1 and stores.build(items) == 2 and stores.build(items) == 0
+    assert sorted(r.k for r in stores.read().collect()) == list(range(25))
+
+
+def test_increments_and_contexts(spark):
+    rows = [("a", 0, "m"), ("a", 1, "x"), ("a", 2, "y"), ("a", 3, "m"), ("a", 4, "m"), ("a", 5, "z"), ("b", 0, "x"), ("c", 1, None), ("c", 2, "m"), (None, 1, "x"), (None, 2, "m")]
+    df = spark.createDataFrame(rows, "e string, t int, x string").repartition(3)
+    got = ev.increments(df, "e", ["t"], F.col("x") == "m", F.col("x")).collect()
+    assert sorted(((r.e, r.t, r["items"]) for r in got), key=str) == sorted([("a", 0, []), ("a", 3, ["x", "y"]), ("a", 4, []), ("c", 2, [None]), (None, 2, ["x"])], key=str)
+    asked = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("gone", 3)], "e string, q int")
+    told = {r.e: (r.qids, r.n_rows, r.context) for r in ev.contexts(asked, df, visit="e", qid="q", order=["t"], line=F.concat_ws("-", F.col("t").cast("string"), "x")).collect()}
+    assert told == {"a": ([1, 2], 6, "0-m\n1-x\n2-y\n3-m\n4-m\n5-z"), "gone": ([3], 0, None)}

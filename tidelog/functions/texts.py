@@ -65,6 +65,16 @@ def parse_qid(qid: Column) -> Column:
     return F.when(qid.rlike(form), F.struct(get(1).alias("entity"), get(2).cast("int").alias("visit"), get(3).cast("int").alias("t"), get(4).alias("kind"), get(5).cast("int").alias("i")))
 
 
+def entity_of(qid: Column) -> Column:
+    """What stands before ``-V``, or else before the first dash; the whole without one."""
+    return F.when(qid.contains("-V"), F.substring_index(qid, "-V", 1)).otherwise(F.substring_index(qid, "-", 1))
+
+
+def as_text(content: Column) -> Column:
+    """A variant as text: a text as it is, nothing as an empty text, everything else as JSON."""
+    return F.coalesce(F.try_variant_get(F.when(F.schema_of_variant(content) == "STRING", content), "$", "string"), F.to_json(content), F.lit(""))
+
+
 def event_ordinal(event: Column) -> Column:
     """-V0 and -adm come first (0), -E{n} by its number, -dis and all else last (1e9)."""
     n = F.regexp_extract(event, "-E(\\d+)$", 1)

@@ -136,6 +136,33 @@ def nested(df: DataFrame, by: Sequence[str], order: Sequence[str], fields: Seque
     return df.groupBy(*by).agg(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
 
 
+def ordered_unique(df: DataFrame, by: Sequence[str], order: str, fields: Sequence[str], name: str = "items") -> DataFrame:
+    """The distinct combinations of some fields of each group as an array, in the order in which they first occur; repeats are merged before anything is gathered."""
+    first = df.groupBy(*by, *fields).agg(F.min(order).alias("__first"))
+    return nested(first, by, ["__first", *fields], fields, name)
+
+
+def increments(df: DataFrame, by: str, order: Sequence[str], mark: Column, item: Column, name: str = "items") -> DataFrame:
+    """by, the marks' ``order`` and what the group's growing list of items has gained since the mark before (items of rows that are no mark)."""
+    window = Window.partitionBy(by).orderBy(*order)
+    is_mark = F.coalesce(mark, F.lit(False))
+    # Marks before a row: an item and the next mark have the same number.
+    before = F.coalesce(F.sum(is_mark.cast("int")).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = df.select(by, F.struct(*order).alias("__o"), is_mark.alias("__mark"), item.alias("__x"), before.alias("__n"))
+    gained = F.sort_array(F.collect_list(F.when(~F.col("__mark"), F.struct("__o", "__x"))))
+    grouped = rows.groupBy(by, "__n").agg(F.max(F.when(F.col("__mark"), F.col("__o"))).alias("__at"), gained.alias("__g")).where(F.col("__at").isNotNull())
+    return grouped.select(by, *[F.col(f"__at.{c}").alias(c) for c in order], F.transform("__g", lambda g: g["__x"]).alias(name))
+
+
+def contexts(questions: DataFrame, rows: DataFrame, *, visit: str, qid: str, order: Sequence[str], line: Column) -> DataFrame:
+    """For each visit that a question names: visit, qids (sorted), n_rows and context, its rows' lines in order; a visit without rows is reported with a null context."""
+    asked = questions.groupBy(visit).agg(F.sort_array(F.collect_set(qid)).alias("qids"))
+    # Only the rows of visits that are asked for are gathered.
+    own = rows.withColumn("__line", line).join(asked.select(visit), visit, "left_semi")
+    told = nested(own, [visit], list(order), ["__line"]).select(visit, F.size("items").alias("n_rows"), F.array_join(F.transform("items", lambda x: x["__line"]), "\n").alias("context"))
+    return asked.join(told, visit, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], what: str, *, nulls_win: bool = True) -> DataFrame:
     """The value of the latest row by group; a null time counts as later than all (or, with nulls_win off, earlier)."""
     key = F.struct(*[x for c in order for x in ((F.col(c).isNull() if nulls_win else F.col(c).isNotNull()).alias(f"{c}__n"), F.col(c))])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..sources.shared import read_or_empty
+from ..sources.shared import read_or_empty, written
+from ..sources.versions import VersionedTable
 from . import vectors
+from .events import pending, running_numbers
 
 SCOPES = ("user_id", "agent_id", "app_id", "run_id")
 
@@ -34,13 +37,17 @@ def in_scope(scope: Mapping[str, object]) -> Column:
 
 
 class FrameStore:
-    """Items (item_id, text, position and scope columns) as a DataFrame: an immutable plan that grows by unions."""
+    """Items (item_id, text, position and scope columns) as a DataFrame: a plan that grows with each change, and is written down after ``most`` of them."""
 
-    def __init__(self, items: DataFrame, entity: str = "user_id") -> None:
-        self.items, self.entity = items, entity
+    def __init__(self, items: DataFrame, entity: str = "user_id", most: int = 50) -> None:
+        self.items, self.entity, self.most, self.changes = items, entity, most, 0
+
+    def _changed(self, items: DataFrame) -> None:
+        self.changes = (self.changes + 1) % self.most
+        self.items = items if self.changes else written(items)
 
     def add(self, items: DataFrame) -> None:
-        self.items = self.items.unionByName(items, allowMissingColumns=True)
+        self._changed(self.items.unionByName(items, allowMissingColumns=True))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return vectors.lexical(queries, self.items, entity=self.entity, query_id="query_id", needle="needle", text="text", position="position", k=k)
@@ -49,7 +56,43 @@ class FrameStore:
         """What agrees with the scope and all filters goes; at least one condition is needed."""
         if not any(v is not None for v in (*scope.values(), *filters.values())):
             raise ValueError("a delete needs a scope or a filter")
-        self.items = self.items.where(~(in_scope(scope) & in_scope(filters)))
+        self._changed(self.items.where(~(in_scope(scope) & in_scope(filters))))
+
+
+def pages(items: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """The items with the page (from 1) that a listing in this order shows them on."""
+    return running_numbers(items, list(order), "__n").withColumn("page", F.ceil(F.col("__n") / size)).drop("__n")
+
+
+def delete_pages(table: VersionedTable, listed: DataFrame, delete: Callable[[VersionedTable, DataFrame], object] = VersionedTable.delete) -> int:
+    """Delete what a listing holds from a table, all its pages in one commit; where that is refused (an OSError), page by page. Returns the number of commits."""
+    try:
+        delete(table, listed)
+        return 1
+    except OSError:
+        own = written(listed)
+        numbers = [r["page"] for r in own.select("page").distinct().orderBy("page").collect()]
+        for n in numbers:
+            delete(table, own.where(F.col("page") == n))
+        return len(numbers)
+
+
+class EntityStores:
+    """Documents with texts and vectors, in folders by entity; an entity is built whole and once."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, entity: str) -> None:
+        self.spark, self.path, self.schema, self.entity = spark, path, schema, entity
+
+    def read(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path, self.schema)
+
+    def build(self, docs: DataFrame) -> int:
+        """Write the documents of entities that have no store yet; returns how many entities."""
+        todo = written(pending(docs, self.read().select(self.entity).distinct(), [self.entity]))
+        n = todo.select(self.entity).distinct().count()
+        if n:
+            todo.write.mode("append").partitionBy(self.entity).parquet(self.path)
+        return n
 
 
 class FileStore:

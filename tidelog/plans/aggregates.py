@@ -110,12 +110,12 @@ q(
 )
 q(
     "AGG13_composite_dedup",
-    "SELECT l_orderkey, CAST(count(DISTINCT (l_returnflag, l_linestatus)) AS INTEGER) AS n FROM lineitem GROUP BY 1",
+    """
+    SELECT l_orderkey, list(kind ORDER BY first, kind) AS kinds FROM (SELECT l_orderkey, l_returnflag || ':' || l_linestatus AS kind, min(l_linenumber) AS first FROM lineitem GROUP BY ALL) GROUP BY 1
+    """,
     lambda t: (
-        t.lineitem
-        .groupBy("l_orderkey")
-        .agg(F.collect_list(F.struct("l_returnflag", "l_linestatus")).alias("a"))
-        .select("l_orderkey", F.size(F.array_distinct("a")).alias("n"))
+        ev.ordered_unique(t.lineitem, ["l_orderkey"], "l_linenumber", ["l_returnflag", "l_linestatus"])
+        .select("l_orderkey", F.transform("items", lambda x: F.concat_ws(":", x.l_returnflag, x.l_linestatus)).alias("kinds"))
     ),
 )
 q(
@@ -284,8 +284,8 @@ q(
 )
 q(
     "AGG34_id_sets",
-    "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
-    lambda t: t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("n")),
+    "SELECT o_custkey AS visit, list(DISTINCT o_orderkey ORDER BY o_orderkey) AS qids FROM orders GROUP BY 1",
+    lambda t: t.orders.groupBy(c("o_custkey").alias("visit")).agg(F.sort_array(F.collect_set("o_orderkey")).alias("qids")),
 )
 
 # ---- sorts and limits (the order shows in an ordinal) ------------------------------------------------------------

@@ -145,14 +145,13 @@ def completeness(t: Tables):
     "JOI20_task_grid",
     """
     SELECT task, model, n_nationkey, o_orderkey FROM (VALUES ('sort'), ('cloze')) a(task), (VALUES ('m1'), ('m2'), ('m3'))
-    b(model), nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey AND o_orderkey
-    < 100
+    b(model), nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
     """,
 )
 def task_grid(t: Tables):
     """Tasks and models are given lists: every entity's row is repeated for them, and meets its items by key."""
     grid = t.nation.select("n_nationkey", F.explode(F.array(F.lit("sort"), F.lit("cloze"))).alias("task")).withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"), F.lit("m3"))))
-    items = t.customer.join(t.orders.where("o_orderkey < 100"), c("o_custkey") == c("c_custkey")).select(c("c_nationkey").alias("n_nationkey"), "o_orderkey")
+    items = t.customer.join(t.orders, c("o_custkey") == c("c_custkey")).select(c("c_nationkey").alias("n_nationkey"), "o_orderkey")
     return grid.join(items, "n_nationkey").select("task", "model", "n_nationkey", "o_orderkey")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, texts, times
 from ..operators import events as ev
 from ..operators import memory, synthesis
+from ..sources import versions
 from .registry import Tables, query
 
 c = F.col
@@ -20,10 +21,16 @@ def score_files(t: Tables):
     return rows.groupBy(F.regexp_extract(F.input_file_name(), "event_type=([^/]+)/", 1).alias("model")).agg(F.count("*").alias("n"))
 
 
-@query("AUX3_global_summaries", "SELECT event_type AS task, avg(value) AS mean FROM events GROUP BY 1")
+@query(
+    "AUX3_global_summaries",
+    "SELECT event_type AS task, 'm' || user_id % 3 AS model, avg(value) AS mean, stddev_samp(value) AS std, count(*) AS total, count(value) AS valid FROM events GROUP BY ALL",
+)
 def global_summaries(t: Tables):
-    t.events.groupBy("event_type").agg(F.avg("value").alias("mean")).write.partitionBy("event_type").json(at := t.scratch())
-    return t.spark.read.schema("mean double, event_type string").json(at).select(c("event_type").alias("task"), "mean")
+    """A summary for each task and model in a folder of its own; the folders name them when all are read."""
+    own = t.events.select("event_type", F.concat(F.lit("m"), (c("user_id") % 3).cast("string")).alias("model"), "value")
+    each = own.groupBy("event_type", "model").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("total"), F.count("value").alias("valid"))
+    each.withColumnRenamed("event_type", "task").write.partitionBy("task", "model").json(at := t.scratch())
+    return t.spark.read.schema("mean double, std double, total bigint, valid bigint, task string, model string").json(at)
 
 
 @query(
@@ -50,17 +57,30 @@ def nested_summary(t: Tables):
     return ev.nested(each, ["event_type"], ["user_id"], ["n"]).select("event_type", F.transform("items", lambda x: x.n).alias("counts"))
 
 
-@query("AUX10_entity_of_qid", "SELECT o_orderkey, printf('P%06d', o_custkey) AS entity FROM orders")
+@query(
+    "AUX10_entity_of_qid",
+    """
+    SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN printf('P%06d', o_custkey) WHEN 1 THEN 'S' || o_custkey ELSE CAST(o_orderkey AS VARCHAR) END AS entity,
+    CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN o_orderstatus ELSE '{"key":' || o_orderkey || '}' END AS content FROM orders
+    """,
+)
 def entity_of_qid(t: Tables):
-    qid = F.concat(texts.visit_id(texts.entity_id(c("o_custkey")), F.lit(1)), F.lit("-T0001-T3-D-0"))
-    return t.orders.select("o_orderkey", F.coalesce(texts.parse_qid(qid).getField("entity"), F.element_at(F.split(qid, "-"), 1)).alias("entity"))
+    """The entity before ``-V``, else before the first dash, else the whole; contents that are no text as JSON, and nothing as an empty text."""
+    visit = F.concat(texts.visit_id(texts.entity_id(c("o_custkey")), F.lit(1)), F.lit("-T0001-T3-D-0"))
+    qid = F.when(c("o_orderkey") % 3 == 0, visit).when(c("o_orderkey") % 3 == 1, F.concat(F.lit("S"), c("o_custkey").cast("string"), F.lit("-x-1"))).otherwise(c("o_orderkey").cast("string"))
+    content = F.when(c("o_orderkey") % 3 == 1, c("o_orderstatus").cast("variant")).when(c("o_orderkey") % 3 == 2, F.to_variant_object(F.struct(c("o_orderkey").alias("key"))))
+    return t.orders.select("o_orderkey", texts.entity_of(qid).alias("entity"), texts.as_text(content).alias("content"))
 
 
-@query("AUX14_paged_delete", "SELECT event_id FROM events WHERE user_id <> 3")
+@query("AUX14_paged_delete", "SELECT event_id, CAST(ceil(row_number() OVER (ORDER BY event_id) / 50.0) AS BIGINT) AS page FROM events WHERE user_id = 3 UNION ALL SELECT event_id, NULL FROM events WHERE user_id <> 3")
 def paged_delete(t: Tables):
-    store = memory.FrameStore(t.events)
-    store.delete({"user_id": 3})
-    return store.items.select("event_id")
+    """What a scope lists, in pages of fifty, and what is left when every page was deleted: pages that are refused go one by one."""
+    listed = memory.pages(t.events.where(memory.in_scope({"user_id": 3})), ["event_id"], 50)
+    at = versions.VersionedTable(t.spark, t.scratch(), "event_id bigint, user_id bigint", ["event_id"])
+    at.upsert(t.events)
+    memory.delete_pages(at, listed.select("event_id", "page"))
+    left = at.read().select("event_id", F.lit(None).cast("long").alias("page"))
+    return listed.select("event_id", "page").unionByName(left)
 
 
 @query(
@@ -77,13 +97,28 @@ def default_reason(t: Tables):
     return asked.select("n_nationkey", F.coalesce("reply", F.lit("not_available")).alias("reason"))
 
 
-@query("AUX22_entity_store", "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 2 = 1 GROUP BY 1")
+@query(
+    "AUX22_entity_store",
+    """
+    SELECT label, kind, doc, text, round(CAST('0x' || substr(md5('0:' || text), 1, 8) AS BIGINT) / 2147483648.0::DOUBLE - 1, 9) AS x FROM (
+      SELECT conv_id % 7 AS label, 'note' AS kind, conv_id || '-' || turn || '-' || i AS doc, substr(text, i * 1050 + 1, 1200) AS text FROM (
+        SELECT *, unnest(range(greatest(1, CAST(ceil((length(text) - 150) / 1050.0) AS INTEGER)))) AS i FROM conversations WHERE role = 'assistant' AND length(text) > 0)
+      UNION ALL SELECT conv_id % 7, 'event', conv_id || '-' || turn, role || ': ' || text FROM conversations WHERE role <> 'assistant'
+    )
+    """,
+)
 def entity_store(t: Tables):
-    """Stores that are on disk already are not built again."""
-    at = t.scratch()
-    docs = t.conversations.select("conv_id", "turn", scores.normalized(synthesis.hash_embedding(c("text"))).alias("unit"))
-    docs.where("conv_id % 2 = 0").write.parquet(at)
-    return ev.pending(docs, t.spark.read.parquet(at).select("conv_id").distinct(), ["conv_id"]).groupBy("conv_id").agg(F.count("*").alias("n"))
+    """A note store and an event store for each entity, with texts and vectors. Entities that are there already are not built again: the second run finds all done."""
+    own = t.conversations.withColumn("label", c("conv_id") % 7)
+    name = lambda *more: F.concat_ws("-", c("conv_id").cast("string"), c("turn").cast("string"), *more)
+    note = own.where("role = 'assistant'").select("label", "conv_id", "turn", F.posexplode(texts.chunks(c("text"))).alias("i", "text")).select("label", F.lit("note").alias("kind"), name(c("i").cast("string")).alias("doc"), "text")
+    event = own.where("role <> 'assistant'").select("label", F.lit("event").alias("kind"), name().alias("doc"), F.concat_ws(": ", "role", "text").alias("text"))
+    docs = note.unionByName(event).withColumn("vector", synthesis.hash_embedding(c("text")))
+    stores = memory.EntityStores(t.spark, t.scratch(), docs.schema, "label")
+    stores.build(docs.where("label < 3"))
+    if stores.build(docs) != 4 or stores.build(docs) != 0:
+        raise AssertionError("what is done is not built again")
+    return stores.read().select("label", "kind", "doc", "text", F.round(c("vector")[0], 9).alias("x"))
 
 
 @query("AUX29_keywords", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [event_type] ELSE [] END AS keywords FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, times
 from ..operators import chat
 from ..operators import events as ev
-from ..operators import vectors
+from ..operators import memory, vectors
 from .registry import query
 
 c = F.col
@@ -261,11 +261,19 @@ q(
     """,
     lambda t: ev.fingerprint_dedup(t.events, ["user_id", "event_type"], "event_id").select("event_id"),
 )
-q(
-    "SET11_scoped_delete",
-    "SELECT event_id FROM events WHERE NOT (user_id = 7 AND event_type = 'view')",
-    lambda t: t.events.where(~F.coalesce((c("user_id") == 7) & (c("event_type") == "view"), F.lit(False))).select("event_id"),
-)
+def scoped_delete(t):
+    """Two deletes of a store; one without a scope or a filter is refused."""
+    store = memory.FrameStore(t.events)
+    store.delete({"user_id": 7, "agent_id": None}, {"event_type": "view"})
+    store.delete({}, {"event_type": "error"})
+    try:
+        store.delete({"user_id": None})
+    except ValueError:
+        return store.items.select("event_id")
+    raise AssertionError("a delete of everything must be refused")
+
+
+q("SET11_scoped_delete", "SELECT event_id FROM events WHERE NOT coalesce(user_id = 7 AND event_type = 'view', false) AND event_type IS DISTINCT FROM 'error'", scoped_delete)
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------
 q(

@@ -183,8 +183,12 @@ q(
 )
 q(
     "WIN18_incremental_slice",
-    f"SELECT event_id FROM (SELECT *, row_number() OVER ({ORDER}) AS i FROM events) WHERE i > 40",
-    lambda t: ev.with_ordinal(t.events, ["user_id"], order()).where("seq > 40").select("event_id"),
+    """
+    SELECT conv_id, max(turn) FILTER (asks) AS turn, list(turn ORDER BY turn) FILTER (NOT asks) AS gained FROM (SELECT conv_id, turn, role = 'user' AS asks,
+    coalesce(sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM conversations)
+    GROUP BY conv_id, n HAVING bool_or(asks)
+    """,
+    lambda t: ev.increments(t.conversations, "conv_id", ["turn"], c("role") == "user", c("turn"), "gained").withColumn("gained", F.when(F.size("gained") > 0, c("gained"))),
 )
 q(
     "WIN19_repair_pairs",
@@ -403,8 +407,17 @@ q(
 )
 q(
     "AUX16_null_safe",
-    "SELECT event_id, TRY_CAST(event_id % 10 AS INTEGER) AS n FROM events",
-    lambda t: t.events.select("event_id", nulls.lenient((c("event_id") % 10).cast("string"), "int").alias("n")),
+    """
+    SELECT event_id, coalesce(CASE WHEN event_id % 4 = 0 THEN event_id % 100 END, -1) AS number, CASE WHEN event_id % 3 = 0 THEN event_type END AS text,
+    CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) END AS at FROM events
+    """,
+    lambda t: (
+        t.events
+        .select("event_id", "event_type", "ts", F.when(c("event_id") % 4 == 0, (c("event_id") % 100).cast("string")).when(c("event_id") % 4 == 1, "x12").when(c("event_id") % 4 == 2, "").alias("n"))
+        .withColumn("s", F.when(c("event_id") % 3 == 0, F.concat(F.lit(" \t"), "event_type", F.lit("\n"))).when(c("event_id") % 3 == 1, " \n "))
+        .withColumn("d", F.when(c("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(c("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon"))
+        .select("event_id", F.coalesce(nulls.lenient(c("n"), "bigint"), F.lit(-1).cast("long")).alias("number"), F.nullif(nulls.strip(c("s")), F.lit("")).alias("text"), times.parse_time(c("d")).cast("timestamp_ntz").alias("at"))
+    ),
 )
 q(
     "AUX17_summary_line",
@@ -418,9 +431,15 @@ q(
 )
 q(
     "AUX19_context_missing",
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    """
+    SELECT visit, qids, coalesce(n_rows, 0) AS n_rows, context FROM (SELECT o_custkey AS visit, list(DISTINCT o_orderkey ORDER BY o_orderkey) AS qids FROM orders GROUP BY 1)
+    LEFT JOIN (SELECT user_id AS visit, CAST(count(*) AS INTEGER) AS n_rows, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type, chr(10) ORDER BY ts, event_id) AS context FROM events GROUP BY 1) USING (visit)
+    """,
     lambda t: (
-        ev.pending(t.customer.select(c("c_custkey").alias("k")), t.orders.select(c("o_custkey").alias("k")), ["k"]).select(c("k").alias("c_custkey"))
+        ev.contexts(
+            t.orders.select(c("o_custkey").alias("visit"), "o_orderkey"), t.events.withColumnRenamed("user_id", "visit"), visit="visit", qid="o_orderkey", order=["ts", "event_id"],
+            line=F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type"),
+        )
     ),
 )
 q(
@@ -437,9 +456,21 @@ q(
 )
 q(
     "AUX23_turn_of_event",
-    "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1",
-    lambda t: t.conversations.where("role = 'assistant'").groupBy("conv_id").agg(F.min("turn").alias("turn")),
+    """
+    SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN CAST(sum(CAST(event_type = 'click' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) END AS turn FROM events
+    """,
+    lambda t: turn_of_event(t),
 )
+
+
+def turn_of_event(t):
+    """Messages of a user in turns that a click begins; each event's turn is the first that holds an observation of it (errors are observed by none)."""
+    turns = ev.segments(t.events, "user_id", order(), c("event_type") == "click", "turn")
+    seen = turns.where("event_type <> 'error'").select("user_id", "turn", c("event_id").cast("string").alias("id"))
+    first = seen.groupBy("user_id", "id").agg(F.min("turn").alias("turn"))
+    return t.events.select("user_id", "event_id", c("event_id").cast("string").alias("id")).join(first, ["user_id", "id"], "left").select("user_id", "event_id", "turn")
+
+
 q(
     "AUX32_note_lengths",
     "SELECT role, count(*) AS n, quantile_cont(length(text), 0.9) AS p90 FROM conversations GROUP BY 1",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import dropped, settled
 
 #: Edges (16 bytes each) that one task may join up by itself, counted beforehand: rounds of shuffles over so few cost more than they spread.
 ONE_TASK = 1_000_000
@@ -22,9 +22,11 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     AQE splits where one node has many. Only counts and checksums of the edges come to the driver. Loops count for
     nothing, repeated edges once; without edges there are no rows.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     if now.count() <= one_task:
-        return joined_up(now)
+        roots = joined_up(now)
+        dropped(now)
+        return roots
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +35,8 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("x"), "u", "m")
         after = small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(after, "cc-edges")
+        old, now = now, settled(after, "cc-edges")
+        dropped(old)
         # Two independent checksums of 64 bits and the count tell whether a round changed anything.
         sums = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         if sums == before:
@@ -66,4 +69,4 @@ def joined_up(edges: DataFrame) -> DataFrame:
         for at in range(0, len(names), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 100_000], pa.int64()), pa.array(names[low[at : at + 100_000]], pa.int64())], names=["node", "root"])
 
-    return materialize(edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, root bigint"), "cc-roots")
+    return settled(edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, root bigint"), "cc-roots")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import KEPT, bounded_batches, eased, materialize, total_chars
+from .shared import KEPT, bounded_batches, dropped, eased, settled, total_chars
 
 #: The least and most counters of the frequency sketch, and the most bits of the bitmap of sets whose texts are fetched.
 SKETCH = (1 << 16, 1 << 24)
@@ -226,8 +226,7 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, odd: list[int], k: int) -> DataFrame:
-    """(s, z): the compressed text of one document for each wanted (key, s); a text's set is worked out again, so that a key which two documents share brings no wrong text."""
-    wanted = materialize(wanted, "join-wanted")
+    """(s, z): the compressed text of one document for each wanted (key, s), a table; a text's set is worked out again, so that a key which two documents share brings no wrong text."""
     few, odd = wanted.count(), frozenset(odd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,16 +295,19 @@ def near(x: str, y: str, num: int, den: int) -> Column:
     return sized & (differing(FOLDED, x, y) <= n + o - 2 * both)
 
 
-def stars(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each token's sets with its pivot, where they are not in one component; every turn has other pivots.
+def stars(shared: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each token's sets with its pivot, where they are not in one component and their signatures allow the threshold; every turn has other pivots.
 
     The pivots are a table of their own, so that AQE can split the join where a token is in many sets.
     """
     own = ("s", "n", "m", "i", "root", *FOLDED)
     pivot = F.min(F.struct(F.xxhash64("token", "s", F.lit(turn)).alias("h"), *own)).alias("p")
-    pivots = materialize(shared.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"{c}p") for c in own]), "join-pivots")
+    pivots = settled(shared.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"{c}p") for c in own]), "join-pivots")
     met = shared.join(pivots, "token").where((F.col("root") != F.col("rootp")) & near("", "p", num, den))
-    return met.select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b")).distinct()
+    pairs = met.select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b")).distinct()
+    star = settled(plausible(pairs, sets, num, den), "join-star")
+    dropped(pivots)
+    return star
 
 
 def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -318,7 +320,18 @@ def plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def texts_of(docs: DataFrame, pairs: DataFrame, sets: DataFrame, odd: list[int], k: int) -> DataFrame:
     """The texts of the sets in pairs."""
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    return materialize(fetched(docs, ids.join(sets, "s").select("key", "s"), odd, k), "join-texts")
+    wanted = settled(ids.join(sets, "s").select("key", "s"), "join-wanted")
+    texts = settled(fetched(docs, wanted, odd, k), "join-texts")
+    dropped(wanted)
+    return texts
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, odd: list[int], k: int, num: int, den: int) -> DataFrame:
+    """The pairs that link; their texts are there for no longer than it takes."""
+    texts = texts_of(docs, pairs, sets, odd, k)
+    out = settled(linked(pairs, texts, k, num, den), "join-linked")
+    dropped(texts)
+    return out
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,30 +340,32 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
     size = sketch_size(total_chars(docs, text_col))
-    told = materialize(digests(own, k, size), "join-digests")
+    told = settled(digests(own, k, size), "join-digests")
     if odd := shared_names(told):
         told = told.withColumn("s", F.when(F.col("s").isin(odd), F.col("d")).otherwise(F.col("s")))
         if left := shared_names(told):
             raise ValueError(f"{len(left)} sets share both halves of a digest with others")
     sets = told.where("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in SIGNATURE])
-    sets = materialize(sets, "join-sets")
+    sets = settled(sets, "join-sets")
     ranks = merged(told.where("sketch IS NOT NULL"), size)
     by_token = Window.partitionBy("token")
     prefixes = tokens(own, ranks, odd, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
     shared = prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets").withColumn("root", F.col("s"))
     folded = [functools.reduce(Column.bitwiseXOR, [F.col(c) for c in SIGNATURE[i :: len(FOLDED)]]).alias(q) for i, q in enumerate(FOLDED)]
-    apart = materialize(shared.join(sets.select("s", *folded), "s"), "join-shared")
+    apart = settled(shared.join(sets.select("s", *folded), "s"), "join-shared")
     links, tried = [], None
     for turn in range(STARS):
-        star = materialize(plausible(stars(apart, turn, num, den), sets, num, den), "join-star")
+        star = stars(apart, sets, turn, num, den)
         tried = star if tried is None else tried.unionByName(star)
-        links.append(materialize(linked(star, texts_of(own, star, sets, odd, k), k, num, den), "join-linked"))
+        links.append(_verified(own, star, sets, odd, k, num, den))
         root = components(functools.reduce(DataFrame.unionByName, links))
         # What is in one component stays so: only tokens that were undecided are looked at again.
-        named = materialize(apart.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "join-named")
+        named = settled(apart.drop("root").join(root.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")), "join-named")
+        dropped(apart)
         split = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("g")).where("lo <> hi").select("token", "g")
-        split = materialize(split, "join-split")
-        apart = materialize(named.join(split.select("token"), "token", "left_semi"), "join-apart")
+        split = settled(split, "join-split")
+        apart = settled(named.join(split.select("token"), "token", "left_semi"), "join-apart")
+        dropped(named)
         # Another round of stars is worth its price while groups are large and rounds link what is in them.
         sizes = split.agg(F.sum("g").alias("rows"), F.sum(F.col("g") * (F.col("g") - 1) / 2).alias("pairs")).first()
         if (sizes["pairs"] or 0) <= 4 * (sizes["rows"] or 0) or links[-1].count() < WORTH * apart.agg(F.countDistinct("s")).first()[0]:
@@ -358,9 +373,10 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root", *FOLDED)]) for end in "xy")
     met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
     pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    pairs = materialize(plausible(pairs.join(tried, ["a", "b"], "left_anti"), sets, num, den), "join-pairs")
-    links.append(linked(pairs, texts_of(own, pairs, sets, odd, k), k, num, den))
-    edges = materialize(functools.reduce(DataFrame.unionByName, links), "join-edges")
+    pairs = settled(plausible(pairs.join(tried, ["a", "b"], "left_anti"), sets, num, den), "join-pairs")
+    dropped(apart)
+    links.append(_verified(own, pairs, sets, odd, k, num, den))
+    edges = settled(functools.reduce(DataFrame.unionByName, links), "join-edges")
     roots = components(edges)
     of_set = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("root", "s").alias("root"), "low")
     of_root = of_set.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -376,8 +392,8 @@ def one_of_each(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id", t
     """
     grouped = joined.where("n_shingles > 0 AND component_id IS NOT NULL")
     stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("key"))
-    gone = materialize(grouped.select("key").distinct().join(stay, "key", "left_anti"), "join-gone")
-    again = materialize(joined.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "join-again")
+    gone = settled(grouped.select("key").distinct().join(stay, "key", "left_anti"), "join-gone")
+    again = settled(joined.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "join-again")
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     left = rows.join(gone, "key", "left_anti")
     if not again.isEmpty():

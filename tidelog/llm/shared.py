@@ -67,7 +67,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+#: Whether a write's shuffle files go when it has ended, rather than when the driver's JVM collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """materialize() for one of many steps: the shuffles that made df leave no files behind."""
+    spark = df.sparkSession
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        spark.conf.set(TIDY, before)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what materialize() or settled() gave back, once all that reads these tables has been written itself."""
+    for t in tables:
+        discard(t.sparkSession, t.written_at)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -43,6 +43,8 @@ SKETCH = (1 << 16, 1 << 24)
 SLICES = 16
 MOST_BITS = 1 << 26
 MOST_MATCHES = 4
+#: What a token's place in its prefix is multiplied with to hold the set's m beside it.
+MOST_PLACE = 8
 #: Bits of a set's signature, the columns that hold them, and the two that it is folded into where rows are many.
 BITS = 512
 SIGNATURE = [f"p{i}" for i in range(BITS // 64)]
@@ -195,7 +197,7 @@ def merged(sketches: DataFrame, size: int) -> np.ndarray:
 
 
 def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int, den: int) -> DataFrame:
-    """(token, s, n, m, i): a row for each token of each set's prefix, i its place; within a task a set is given out once."""
+    """(token, s, at): a row for each token of each set's prefix, at = MOST_PLACE * place + m; within a task a set is given out once."""
     odd = frozenset(odd)
     middle = 2.0 ** (float(np.median(ranks)) / 8) - 1
     usual = middle + 3 * middle**0.5 + 1
@@ -204,7 +206,7 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            parts, ids, sizes, matches = [], [], [], []
+            parts, ids, places = [], [], []
             for x in batch.column(0):
                 h = shingle_hashes(x.as_py(), k)
                 s, d = set_id(h)
@@ -216,13 +218,12 @@ def tokens(docs: DataFrame, ranks: np.ndarray, odd: list[int], k: int, num: int,
                 own, m = prefix(h, shared.value, usual, num, den)
                 parts.append(own.view(np.int64))
                 ids.append(s)
-                sizes.append(len(h))
-                matches.append(m)
+                places.append(np.arange(len(own), dtype=np.int64) * MOST_PLACE + m)
             if parts:
-                each = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts), pa.int64()), *(pa.array(np.repeat(np.array(x), each), t) for x, t in ((ids, pa.int64()), (sizes, pa.int32()), (matches, pa.int32()))), pa.array(np.concatenate([np.arange(x) for x in each]), pa.int32())], names=["token", "s", "n", "m", "i"])
+                owners = np.repeat(np.array(ids), [len(p) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts), pa.int64()), pa.array(owners, pa.int64()), pa.array(np.concatenate(places), pa.int64())], names=["token", "s", "at"])
 
-    return docs.select("text").mapInArrow(eased(run), "token bigint, s bigint, n int, m int, i int")
+    return docs.select("text").mapInArrow(eased(run), "token bigint, s bigint, at bigint")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, odd: list[int], k: int) -> DataFrame:
@@ -349,10 +350,13 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
     sets = settled(sets, "join-sets")
     ranks = merged(told.where("sketch IS NOT NULL"), size)
     by_token = Window.partitionBy("token")
-    prefixes = tokens(own, ranks, odd, k, num, den).repartition("token").groupBy("token", "s", "n", "m", "i").agg(F.count("*").alias("__c")).drop("__c")
-    shared = prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets").withColumn("root", F.col("s"))
+    prefixes = tokens(own, ranks, odd, k, num, den).repartition("token").groupBy("token", "s", "at").agg(F.count("*").alias("__c")).drop("__c")
+    # By itself, so that the shuffle of all prefixes is gone before the few that are left meet their sets.
+    shared = settled(prefixes.withColumn("sets", F.count("*").over(by_token)).where("sets > 1").drop("sets"), "join-prefixes")
+    placed = [F.floor(F.col("at") / MOST_PLACE).cast("int").alias("i"), (F.col("at") % MOST_PLACE).cast("int").alias("m"), F.col("s").alias("root")]
     folded = [functools.reduce(Column.bitwiseXOR, [F.col(c) for c in SIGNATURE[i :: len(FOLDED)]]).alias(q) for i, q in enumerate(FOLDED)]
-    apart = settled(shared.join(sets.select("s", *folded), "s"), "join-shared")
+    apart = settled(shared.select("token", "s", *placed).join(sets.select("s", "n", *folded), "s"), "join-shared")
+    dropped(shared)
     links, tried = [], None
     for turn in range(STARS):
         star = stars(apart, sets, turn, num, den)

@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, eased, materialize, total_chars
+from .shared import KEPT, bounded_batches, eased, give_back, materialize, total_chars
 
 #: Characters of a run, characters of the corpus for a shard, pieces that are laid out as one sequence, pieces that one row of numbers holds.
 RUN_CHARS = 12_000_000
@@ -134,6 +134,7 @@ class Vocabulary:
 
 
 _loaded: dict[bytes, Vocabulary] = {}
+KEPT.append(_loaded)
 
 
 def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
@@ -176,19 +177,23 @@ def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
         schema = None
 
         def told() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate([np.zeros(0, np.int64), *codes])
+            each = np.array([len(x) for x in codes])
+            flat = np.concatenate([np.zeros(0, np.int32), *codes])
+            codes.clear()
             order = np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
-            number = np.empty(len(own), np.int64)
+            number = np.empty(len(own), np.int32)
             number[order] = np.arange(len(own))
-            each = np.array([len(x) for x in codes])
             # Rows of texts, of about ROW_PIECES pieces.
             part = (np.cumsum(each) - each) // ROW_PIECES
             bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
             ends = np.concatenate([[0], np.cumsum(each)])
             for a, b in zip(bounds, bounds[1:], strict=False):
                 yield batch_of({"run": [name], "shard": [None], "docs": [ids[a:b]], "sizes": [squeezed(each[a:b])], "numbers": [squeezed(number[flat[ends[a] : ends[b]]])], "pieces": [None]}, schema)
+            del flat
             names = list(own)
+            own.clear()
             pieces = [names[i].encode() for i in order]
+            del names
             shard = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)) % shards
             by = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[by], prepend=-1)).tolist()
@@ -210,7 +215,7 @@ def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
                 text = x.as_py() or ""
                 found = split(text)
                 ids.append(doc)
-                codes.append(np.fromiter(map(own.__getitem__, found), np.int64, len(found)))
+                codes.append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
                 chars += len(text)
                 if chars >= RUN_CHARS:
                     yield from told()
@@ -225,6 +230,11 @@ def answers(told: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     """(run, numbers, sizes, ids): the ids of a run's pieces by shard; every distinct piece of a shard is replayed once."""
 
     def run(rows: pa.Table) -> pa.Table:
+        out = replayed(rows)
+        give_back(caches=False)  # the next shard needs the vocabulary
+        return out
+
+    def replayed(rows: pa.Table) -> pa.Table:
         v, own = vocabulary(ranks.value, pattern), Numbers()
         asked = []
         for sizes, packed in zip(rows.column("sizes"), rows.column("pieces"), strict=True):
@@ -270,7 +280,13 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "
     known = materialize(answers(told.where("shard IS NOT NULL"), ranks, pattern), "bpe-pieces")
     texts = told.where("shard IS NULL").select("run", "docs", "sizes", "numbers")
     kind = own.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("run").cogroup(known.groupBy("run")).applyInArrow(filled, f"doc_id {kind}, n_tokens bigint, ids binary")
+
+    def run(rows: pa.Table, pieces: pa.Table) -> pa.Table:
+        out = filled(rows, pieces)
+        give_back()
+        return out
+
+    return texts.groupBy("run").cogroup(known.groupBy("run")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:

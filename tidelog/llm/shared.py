@@ -32,9 +32,9 @@ def bounded_batches(spark: SparkSession) -> None:
 KEPT: list[dict] = []
 
 
-def give_back() -> None:
+def give_back(caches: bool = True) -> None:
     """Empties the caches and returns free memory to the system: an idle worker stands beside the JVM's next stages."""
-    for cache in KEPT:
+    for cache in KEPT if caches else ():
         cache.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has

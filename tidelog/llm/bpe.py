@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, bounded_batches, eased, give_back, materialize, total_chars
+from .shared import KEPT, bounded_batches, dropped, eased, give_back, parted, settled, total_chars
 
 #: Characters of a run, characters of the corpus for a shard, pieces that are laid out as one sequence, pieces that one row of numbers holds.
 RUN_CHARS = 12_000_000
@@ -276,9 +276,11 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "
     bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    told = materialize(runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS))), "bpe-runs")
-    known = materialize(answers(told.where("shard IS NOT NULL"), ranks, pattern), "bpe-pieces")
-    texts = told.where("shard IS NULL").select("run", "docs", "sizes", "numbers")
+    told = runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS)))
+    pieces, texts = parted(told.withColumn("part", F.when(F.col("shard").isNull(), "texts").otherwise("pieces")), "bpe-runs", "part", ("pieces", "texts"))
+    known = settled(answers(pieces, ranks, pattern), "bpe-pieces")
+    dropped(pieces)
+    texts = texts.select("run", "docs", "sizes", "numbers")
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(rows: pa.Table, pieces: pa.Table) -> pa.Table:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, bounded_batches, dropped, eased, give_back, parted, settled, total_chars
+from .shared import KEPT, bounded_batches, eased, give_back, settled, shared_dir, total_chars
 
 #: Characters of a run, characters of the corpus for a shard, pieces that are laid out as one sequence, pieces that one row of numbers holds.
 RUN_CHARS = 12_000_000
@@ -271,16 +272,24 @@ def filled(rows: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs, rows.schema.field("docs").type.value_type), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
 
+def by_run(told: DataFrame, chars: int) -> DataFrame:
+    """told as a table in the shared folder, in folders by part and bucketed by run: a run's texts stay where they were written and only the ids of its pieces move to them."""
+    spark = told.sparkSession
+    name = f"bpe_runs_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RUN_CHARS))
+    told.write.partitionBy("part").bucketBy(buckets, "run").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids: the text's token ids as packed little-endian unsigned 32-bit integers."""
     bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     told = runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS)))
-    pieces, texts = parted(told.withColumn("part", F.when(F.col("shard").isNull(), "texts").otherwise("pieces")), "bpe-runs", "part", ("pieces", "texts"))
-    known = settled(answers(pieces, ranks, pattern), "bpe-pieces")
-    dropped(pieces)
-    texts = texts.select("run", "docs", "sizes", "numbers")
+    held = by_run(told.withColumn("part", F.when(F.col("shard").isNull(), "texts").otherwise("pieces")), total_chars(docs, text_col))
+    known = settled(answers(held.where("part = 'pieces'"), ranks, pattern), "bpe-pieces")
+    texts = held.where("part = 'texts'").select("run", "docs", "sizes", "numbers")
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def run(rows: pa.Table, pieces: pa.Table) -> pa.Table:

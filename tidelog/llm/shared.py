@@ -87,21 +87,6 @@ def settled(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(TIDY, before)
 
 
-def parted(df: DataFrame, label: str, by: str, values: tuple[str, ...]) -> list[DataFrame]:
-    """df written once in a folder for each value of a text column, and each of these as a table of its own, without the column; a value that no row has gives an empty one."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
-    own, out = df.drop(by).schema, []
-    for value in values:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        frame = spark.read.schema(own).parquet(f"{path}/{by}={value}") if there else spark.createDataFrame([], own)
-        frame.written_at = f"{path}/{by}={value}"
-        out.append(frame)
-    return out
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes what materialize() or settled() gave back, once all that reads these tables has been written itself."""
     for t in tables:

@@ -288,12 +288,12 @@ def differing(columns: list[str], x: str, y: str) -> Column:
     return sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in columns), F.lit(0))
 
 
-def near(x: str, y: str, num: int, den: int) -> Column:
-    """Sets of these sizes can reach the threshold, their folded signatures allow it, and this token can be one of the first m that they share: enough of both sets comes after it. x and y are suffixes of the columns."""
+def near(x: str, y: str, num: int, den: int, signature: list[str]) -> Column:
+    """Sets of these sizes can reach the threshold, their signatures (whole or folded) allow it, and this token can be one of the first m that they share: enough of both sets comes after it. x and y are suffixes of the columns."""
     n, o, m = F.col(f"n{x}").cast("long"), F.col(f"n{y}").cast("long"), F.least(f"m{x}", f"m{y}")
     both = needed(n, o, num, den)
     sized = (F.least(n, o) * den >= F.greatest(n, o) * num) & (n - F.col(f"i{x}") >= both - m + 1) & (o - F.col(f"i{y}") >= both - m + 1)
-    return sized & (differing(FOLDED, x, y) <= n + o - 2 * both)
+    return sized & (differing(signature, x, y) <= n + o - 2 * both)
 
 
 def stars(shared: DataFrame, sets: DataFrame, turn: int, num: int, den: int) -> DataFrame:
@@ -304,7 +304,7 @@ def stars(shared: DataFrame, sets: DataFrame, turn: int, num: int, den: int) ->
     own = ("s", "n", "m", "i", "root", *FOLDED)
     pivot = F.min(F.struct(F.xxhash64("token", "s", F.lit(turn)).alias("h"), *own)).alias("p")
     pivots = settled(shared.groupBy("token").agg(pivot).select("token", *[F.col(f"p.{c}").alias(f"{c}p") for c in own]), "join-pivots")
-    met = shared.join(pivots, "token").where((F.col("root") != F.col("rootp")) & near("", "p", num, den))
+    met = shared.join(pivots, "token").where((F.col("root") != F.col("rootp")) & near("", "p", num, den, FOLDED))
     pairs = met.select(F.least("s", "sp").alias("a"), F.greatest("s", "sp").alias("b")).distinct()
     star = settled(plausible(pairs, sets, num, den), "join-star")
     dropped(pivots)
@@ -374,11 +374,14 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100,
         sizes = split.agg(F.sum("g").alias("rows"), F.sum(F.col("g") * (F.col("g") - 1) / 2).alias("pairs")).first()
         if (sizes["pairs"] or 0) <= 4 * (sizes["rows"] or 0) or links[-1].count() < WORTH * apart.agg(F.countDistinct("s")).first()[0]:
             break
-    x, y = (apart.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root", *FOLDED)]) for end in "xy")
-    met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den))
-    pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
-    pairs = settled(plausible(pairs.join(tried, ["a", "b"], "left_anti"), sets, num, den), "join-pairs")
+    # A token's sets meet each other now: with their whole signatures, as a folded one lets most pairs through that share a passage alone.
+    whole = settled(apart.drop(*FOLDED).join(sets.select("s", *SIGNATURE), "s"), "join-whole")
     dropped(apart)
+    x, y = (whole.select("token", *[F.col(c).alias(c + end) for c in ("s", "n", "m", "i", "root", *SIGNATURE)]) for end in "xy")
+    met = x.join(y, "token").where((F.col("sx") < F.col("sy")) & (F.col("rootx") != F.col("rooty")) & near("x", "y", num, den, SIGNATURE))
+    pairs = met.groupBy(F.col("sx").alias("a"), F.col("sy").alias("b"), F.least("mx", "my").alias("m")).agg(F.count("*").alias("c")).where("c >= m").select("a", "b")
+    pairs = settled(pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    dropped(whole)
     links.append(_verified(own, pairs, sets, odd, k, num, den))
     edges = settled(functools.reduce(DataFrame.unionByName, links), "join-edges")
     roots = components(edges)

@@ -6,6 +6,7 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,15 @@ def test_visibility_against_a_loop(spark):
         assert len(got) == len(rows) and all(r.s == seen(*r[:6], inclusive) for r in got)
 
 
+def test_relative_weight_after_a_first_zero(spark):
+    rows = [(u, i, w) for u, ws in enumerate([[0.0, 3.0, -2.0, 0.0, None], [-0.0, 3.0, -2.0], [None, 1.0], [4.0, 1.0, 0.0, float("nan")], [float("inf"), 1.0], [0.0, float("inf"), float("nan")]]) for i, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "user_id bigint, i int, value double")
+    got = [r.relative for r in ev.relative_weight(df, ["user_id"], [F.col("i")], "value").orderBy("user_id", "i").collect()]
+    values = ", ".join(f"({u}, {i}, {'NULL' if w is None else repr(str(w))}::DOUBLE)" for u, i, w in rows)
+    want = duckdb.sql(f"SELECT value / first_value(value) OVER (PARTITION BY user_id ORDER BY i) FROM (VALUES {values}) v(user_id, i, value) ORDER BY user_id, i").fetchall()
+    assert list(map(str, got)) == [str(x) for (x,) in want]
+
+
 def test_seen_so_far(spark):
     rows = [(1, 7, "b"), (2, 7, "a"), (3, 7, "b"), (4, 7, "c"), (5, 8, "a"), (6, None, "a"), (7, 7, None)]
     got = ev.seen_so_far(spark.createDataFrame(rows, "e int, u int, t string"), "u", "t").collect()

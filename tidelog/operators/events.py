@@ -43,7 +43,11 @@ def decayed(joined: DataFrame, *, at: str, ts: str, floor: float = 0.01, span: f
 
 
 def relative_weight(df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str = "weight") -> DataFrame:
-    return df.withColumn("relative", F.col(weight) / F.first(weight).over(Window.partitionBy(*by).orderBy(*order)))
+    """relative: each weight over its group's first one, as doubles divide (x / 0 is infinite, 0 / 0 NaN); null where either is null."""
+    w = F.col(weight).cast("double")
+    first = F.first(w).over(Window.partitionBy(*by).orderBy(*order))
+    # An ANSI division by zero is an error; the power -1 of a zero is an infinity of its sign.
+    return df.withColumn("relative", F.when(first == 0, w * F.pow(first, F.lit(-1.0))).otherwise(F.try_divide(w, first)))
 
 
 def with_ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "seq") -> DataFrame:

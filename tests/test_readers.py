@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from tidelog.sources import readers
+from tidelog.plans import catalog, registry
+from tidelog.sources import readers, writers
 
 
 @pytest.mark.parametrize("block", [200, 10_000_000])
@@ -36,3 +37,26 @@ def test_first_files(spark, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     read = lambda first: sorted(r.name for r in readers.scan_documents(spark, str(tmp_path), "name string", first=first).collect())
     assert read(2) == ["P1", "P10"] and read(9) == ["P1", "P10", "P2"] and read(0) == [] and read(None) == ["P1", "P10", "P2"]
+
+
+def test_packed_documents(spark, tmp_path):
+    """As many files as partitions, not as documents; the first ones by their names as text."""
+    names = [None, *range(-3, 300)]
+    rows = [(n, [(1, "a\nb"), (2, None)] if i % 2 else []) for i, n in enumerate(names)]
+    schema = "n bigint, events array<struct<id:bigint,kind:string>>"
+    writers.write_documents(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "docs"))
+    assert len(list((tmp_path / "docs").rglob("*.json"))) == 3
+    read = lambda first: sorted(((r.n, [tuple(e) for e in r.events]) for r in readers.scan_documents(spark, str(tmp_path), schema, recursive=True, first=first, name="n").collect()), key=str)
+    assert read(None) == sorted(rows, key=str)
+    early = sorted((r for r in rows if r[0] is not None), key=lambda r: str(r[0]))
+    assert read(20) == sorted(early[:20], key=str) and read(999) == sorted(early, key=str) and read(0) == []
+
+
+def test_query_of_documents_makes_few_files(spark, tmp_path, monkeypatch):
+    rows = [(u * 10 + i, u, "x") for u in range(300) for i in range(3)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "in" / "events.parquet"))
+    monkeypatch.setattr(registry, "fresh_folder", lambda spark: f"file://{tmp_path}/docs")
+    got = catalog.queries()["SRC6_json_documents"](spark, str(tmp_path / "in")).collect()
+    first = set(sorted(map(str, range(300)))[:20])
+    assert sorted((r.user_id, r.event_id, r.event_type, r.demo) for r in got) == sorted((u, e, k, d) for e, u, k in rows for d in (False, True) if not d or str(u) in first)
+    assert len(list((tmp_path / "docs").rglob("*.json"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

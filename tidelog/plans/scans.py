@@ -50,11 +50,11 @@ def prefer_extract(t: Tables):
     """,
 )
 def json_documents(t: Tables):
-    """A document for each user: all of them, and the first twenty files as a demo reads them."""
+    """A document for each user: all of them, and the first twenty as a demo reads them."""
     docs = t.events.groupBy("user_id").agg(F.collect_list(F.struct("event_id", "event_type")).alias("events"))
-    writers.write_documents(docs, at := t.scratch(), "user_id")
+    writers.write_documents(docs, at := t.scratch())
     schema = "user_id bigint, events array<struct<event_id:bigint,event_type:string>>"
-    read = lambda first: readers.scan_documents(t.spark, at, schema, recursive=True, first=first).select("user_id", F.inline("events"))
+    read = lambda first: readers.scan_documents(t.spark, at, schema, recursive=True, first=first, name="user_id").select("user_id", F.inline("events"))
     return read(None).withColumn("demo", F.lit(False)).unionByName(read(20).withColumn("demo", F.lit(True)))
 
 

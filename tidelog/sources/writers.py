@@ -20,9 +20,9 @@ def write_csv(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_documents(df: DataFrame, path: str, key: str) -> None:
-    """Nested JSON in a folder for each key."""
-    df.withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)
+def write_documents(df: DataFrame, path: str) -> None:
+    """Nested JSON documents, a line each, a file for each partition: with a file for each document, files and folders to make and list take most of the time."""
+    df.write.mode("overwrite").json(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

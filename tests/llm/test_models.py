@@ -199,6 +199,20 @@ def test_kneser_ney_by_definition(spark):
         assert abs(sum(got[h + c] for c in letters) - 1) < 1e-9
 
 
+def test_quality_model_counts_every_trusted_text(spark):
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("aaaabbbcde") for _ in range(rng.randrange(1, 7))) for _ in range(20_600)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    l = d.select("doc_id", (F.col("doc_id") % 200 != 0).cast("int").alias("quality"))
+    p = kneser_ney([t for i, t in enumerate(texts) if i % 200], kn_quality.ORDER)
+    pads = kn_quality.PAD * (kn_quality.ORDER - 1)
+    for r in kn_quality.kn_quality(d, l, carry=("doc_id", "text")).where("doc_id % 500 = 0").collect():
+        x = pads + texts[r.doc_id]
+        logs = [math.log10(p(x[i : i + 3], x[i + 3])) for i in range(r.n_chars)]
+        assert math.isclose(r.perplexity, 10 ** (-sum(logs) / len(logs)), rel_tol=1e-9)
+
+
 def test_gram_keys_are_exact():
     many = "".join(chr(0x4E00 + i) for i in range(20000)) + "".join(chr(0x20000 + i) for i in range(40000))
     for texts in (["abcabc", "", "a"], ["", ""], [], [many, many[:10]]):

@@ -6,10 +6,11 @@ ones carry three discounts each, from their counts of counts. A document is reje
 ``quantile`` of trusted documents of its language, times ``margin``; a language with fewer than ``enough`` trusted documents is held
 against the quantile of all.
 
-Scale: the fit takes whole trusted documents in hash order, ``fit_rows`` at most (a parameter); quantiles are over all
-trusted documents, exact to 1/1000 of a nat, by a histogram that is pre-aggregated. Every block of documents (see ``blocks``) asks for
-its distinct n-grams once; the requests' n-grams meet the count tables in shuffle joins, sharded by n-gram and by
-history, so no table of the model is broadcast or collected. All texts are moved once, to meet the answers.
+Scale: every block of documents (see ``blocks``) gives its distinct n-grams once, each with its count in the block's trusted
+texts. These counts are added up, so that the model is fitted on all trusted documents; which ones a block holds is told by ids
+alone. The n-grams then meet the count tables in shuffle joins, sharded by n-gram and by history, so no table of the model is
+broadcast whole or collected, and the answers meet the texts: all texts are moved twice. Quantiles are over all trusted documents
+too, exact to 1/1000 of a nat, by a histogram that is pre-aggregated.
 
 Edge cases: null and empty texts have no characters, perplexity 1 and are kept; documents with null, unknown or
 contradicting labels are not trusted; without trusted documents nothing is rejected; a null language is a group of its
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import bounded_batches, materialize
+from .shared import bounded_batches, materialize, settled
 from .toxicity import learnable
 
 #: Two pairs of characters: see Grams.
@@ -123,17 +125,21 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "g string, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-def requests(docs: DataFrame) -> DataFrame:
-    """(block, g): the distinct n-grams of each block."""
+def requests(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(block, g, n): the distinct n-grams of each block and how often its rows with the block's trusted ids hold them."""
 
-    def run(block: int, rows: pa.Table) -> pa.Table:
-        own: set[str] = set()
-        for _, batch in blocks.texts(rows):
-            own.update(Grams(batch).texts())
-        names = sorted(own)
-        return pa.table({"block": pa.array([block] * len(names), pa.int32()), "g": pa.array(names, pa.string())})
+    def run(block: int, rows: pa.Table, known: pa.Table) -> pa.Table:
+        seen: dict[str, int] = {}
+        learn = pc.is_in(rows.column("__id"), value_set=known.column("__id").combine_chunks())
+        for part, batch in blocks.texts(rows.append_column("learn", learn)):
+            own = Grams(batch)
+            inside = np.repeat(part.column("learn").to_numpy(), own.n)
+            for g, n in zip(own.texts(), np.bincount(own.of[inside], minlength=len(own.keys)).tolist()):
+                seen[g] = seen.get(g, 0) + n
+        names = sorted(seen)
+        return pa.table({"block": pa.array([block] * len(names), pa.int32()), "g": pa.array(names, pa.string()), "n": pa.array([seen[g] for g in names], pa.int64())})
 
-    return blocks.per_block(docs.select("block", "text"), run, "block int, g string")
+    return blocks.met(docs.select("block", "__id", "text"), trusted.select("block", "__id"), run, "block int, g string, n bigint")
 
 
 class Level:
@@ -186,14 +192,14 @@ def log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return p.select("g", F.log10("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, *, fit_rows: int, keep: tuple[Column, ...] = (), with_text: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The kept columns (with text, if wanted), n_chars and perplexity; the model is fitted on the texts of at most fit_rows of the trusted ids."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = materialize(trusted.select("doc_id").orderBy(*order).limit(fit_rows), "kn-sample")
-    fit = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    counts = materialize(count_grams(fit), "kn-counts")
-    own = blocks.blocked(docs, *keep, text_col=text_col, chars=24_000_000)
-    wanted = materialize(requests(own), "kn-requests")
+def perplexities(docs: DataFrame, trusted: DataFrame, *, keep: tuple[Column, ...] = (), with_text: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The kept columns (with text, if wanted), n_chars and perplexity; the model is fitted on the texts of all trusted ids."""
+    own = blocks.blocked(docs, *keep, F.col(id_col).alias("__id"), text_col=text_col, chars=24_000_000)
+    # The ids meet the trusted ones without their texts.
+    known = materialize(own.select("block", "__id").join(trusted.select(F.col("doc_id").alias("__id")), "__id", "left_semi"), "kn-known")
+    wanted = settled(requests(own, known), "kn-requests")
+    counts = materialize(wanted.where("n > 0").groupBy("g").agg(F.sum("n").alias("c")), "kn-counts")
+    own = own.drop("__id")
     answers = wanted.join(log_probabilities(wanted.select("g").distinct(), counts), "g").select("block", "g", "logp")
     names = [c for c in own.columns if c != "block" and (with_text or c != "text")]
 
@@ -225,7 +231,7 @@ def limits(scored: DataFrame, trusted: DataFrame, *, quantile: float, enough: in
     return runs.groupBy("lang_key").agg((F.exp(F.min("step") / 1000) * margin).alias("most"))
 
 
-def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (), fit_rows: int = 20_000, quantile: float = 0.99, margin: float = 1.05, noise: float = 2.0, enough: int = 30, lang_col: str = "lang") -> DataFrame:
+def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (), quantile: float = 0.99, margin: float = 1.05, noise: float = 2.0, enough: int = 30, lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and kept for each document, and the columns to carry (``text`` if named; null comes back empty).
 
     The mean over n characters strays as 1 / sqrt(n): the limit is widened by exp(noise / sqrt(n)), which keeps short clean texts.
@@ -234,7 +240,7 @@ def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (
     trusted = materialize(learnable(labels, "quality").where("y = 1").select("doc_id"), "kn-trusted")
     key = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit(""))
     others = [F.col(c).alias(f"own_{c}") for c in carry if c != "text"]
-    scored = perplexities(docs, trusted, fit_rows=fit_rows, keep=(F.col("doc_id").alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("lang_key"), *others), with_text="text" in carry)
+    scored = perplexities(docs, trusted, keep=(F.col("doc_id").alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("lang_key"), *others), with_text="text" in carry)
     scored = materialize(scored, "kn-scores")
     most = materialize(limits(scored, trusted, quantile=quantile, enough=enough, margin=margin), "kn-limits")
     other = most.where("lang_key IS NULL").first()  # one row at most

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import __spark_entry__
+from pyspark.sql import functions as F
 
 
 def test_stages_keep_columns(spark, docs, labels, tmp_path):
@@ -32,3 +33,12 @@ def test_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
+
+
+def test_quality_stage_learns_from_every_trusted_text(spark, tmp_path):
+    """The last 150 of 20,150 trusted documents, in the order of their ids' hashes, are in a script of their own."""
+    order = [r.doc_id for r in spark.range(20_150).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(i, "the river and the stone" if at < 20_000 else "жар и лёд", "en") for at, i in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.good(spark, docs, str(tmp_path)).count() == len(rows)

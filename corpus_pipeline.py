@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic. Null and empty texts score as one empty sentence; without labels nothing goes; repeated rows share a fate."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fit_rows=4000, fit_words=5_000_000)
+    model = toxicity.train_all(docs, table(spark, sf_dir, "labels"), fit_rows=4000, fit_words=5_000_000)
     return toxicity.keep_clean(docs, model)
 
 

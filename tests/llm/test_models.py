@@ -140,6 +140,29 @@ def test_toxicity_leaves_out_only_what_does_not_fit(spark):
     assert not w.any() and abs(1 / (1 + math.exp(-bias)) - 0.2) < 1e-9
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """The word of the last hundred toxic documents, in the order of their ids' hashes, is one that the first fit never meets."""
+    d, l = planted(spark, 3000)
+    order = [r.doc_id for r in l.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = d.withColumn("text", F.when(F.col("doc_id").isin(order[500:]), F.replace("text", F.lit("grumblefoot"), F.lit("snarkwort"))).otherwise(F.col("text")))
+    start = toxicity.train(late, l, fit_rows=500, fit_words=100_000)
+    assert toxicity.keep_clean(late, start).count() == 2500
+    models = [toxicity.train_all(x, l, fit_rows=500, fit_words=100_000) for x in (late.repartition(7), late.coalesce(1))]
+    assert toxicity.keep_clean(late, models[0]).count() == 2400
+    assert models[0][1] == models[1][1] and (models[0][0] == models[1][0]).all()
+    # The sums over blocks are those of all documents at once.
+    own = late.join(toxicity.learnable(l, "toxic"), "doc_id")
+    bags = toxicity.bagged(own)
+    rows = bags.toArrow()
+    y, whole, every = rows.column("y").to_numpy(), toxicity.Bags.of(rows), np.arange(toxicity.BUCKETS, dtype=np.int32)
+    v, scale = np.random.default_rng(2).normal(size=toxicity.BUCKETS), np.array([0.0002, 0.0003])
+    grad, bias = toxicity.slopes([whole], y, scale[y], v, -1.0)
+    summed, summed_bias = toxicity.summed(toxicity.packed(bags, every, 5), scale, v, -1.0)
+    assert np.allclose(grad, summed, atol=1e-10) and abs(bias - summed_bias) < 1e-10
+    held = toxicity.held_by(bags)
+    assert (held[0] == whole.documents_with(y == 0)).all() and (held[1] == whole.documents_with(y == 1)).all()
+
+
 def test_toxicity_takes_any_id_and_chooses_by_content(spark):
     d, l = planted(spark)
     name = F.concat(F.lit("k"), F.col("doc_id").cast("string"))

@@ -42,3 +42,13 @@ def test_quality_stage_learns_from_every_trusted_text(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.good(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_toxicity_stage_learns_from_every_labelled_text(spark, tmp_path):
+    """The last 150 of 4,150 toxic documents, in the order of their ids' hashes, have a word of their own."""
+    order = [r.doc_id for r in spark.range(4150).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(i, f"the river {'grumblefoot' if at < 4000 else 'snarkwort'} stone", 1) for at, i in enumerate(order)] + [(i, "the river and the stone", 0) for i in range(4150, 22_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    docs.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.clean(spark, docs.drop("toxic"), str(tmp_path))
+    assert kept.count() == len(rows) - len(order)

@@ -163,6 +163,23 @@ def test_toxicity_learns_from_every_labelled_document(spark):
     assert (held[0] == whole.documents_with(y == 0)).all() and (held[1] == whole.documents_with(y == 1)).all()
 
 
+def test_toxicity_shuffles_labelled_texts_only(spark, monkeypatch):
+    d, l = planted(spark, 3000)
+    few = l.where("doc_id % 10 < 3")
+    met, labelled_rows = [], toxicity.labelled_rows
+
+    def told(*given):
+        met.extend(labelled_rows(*given).collect())
+        return labelled_rows(*given)
+
+    monkeypatch.setattr(toxicity, "labelled_rows", told)
+    toxicity.train_all(d, few, fit_rows=100, fit_words=100_000, rounds=(1,))
+    ids = {r.doc_id for r in met}
+    assert {i for i in range(3000) if i % 10 < 3} <= ids and len(ids) < 1000
+    # Ids of two types are hashed apart and yet equal to a join.
+    assert labelled_rows(d, few.withColumn("doc_id", F.col("doc_id").cast("int")), 900).count() == 3000
+
+
 def test_toxicity_takes_any_id_and_chooses_by_content(spark):
     d, l = planted(spark)
     name = F.concat(F.lit("k"), F.col("doc_id").cast("string"))

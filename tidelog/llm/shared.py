@@ -20,12 +20,12 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 BATCH_BYTES = 8_000_000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_BYTES; a smaller setting of the caller's stays."""
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Holds the session's Arrow batches to so many bytes; a smaller setting of the caller's stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name).rstrip("bB")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
 
 
 #: What the modules of this subpackage keep in a Python worker for the length of a task.
@@ -72,21 +72,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-#: Whether a write's shuffle files go when it has ended, rather than when the driver's JVM collects its garbage.
+#: Whether a query's shuffle files go when it has ended, rather than when the driver's JVM collects its garbage.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """materialize() for one of many steps: the shuffles that made df leave no files behind."""
-    spark = df.sparkSession
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is made and run meanwhile leaves no shuffle files behind."""
     before = spark.conf.get(TIDY, "false")
     spark.conf.set(TIDY, "true")
     try:
-        return materialize(df, label)
+        yield
     finally:
         spark.conf.set(TIDY, before)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """materialize() for one of many steps: the shuffles that made df leave no files behind."""
+    with tidy(df.sparkSession):
+        return materialize(df, label)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what materialize() or settled() gave back, once all that reads these tables has been written itself."""
     for t in tables:

@@ -32,7 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, bounded_batches, dropped, eased, settled
+from .shared import KEPT, bounded_batches, dropped, eased, settled, tidy
+from .url_filter import blocks_for, bloom, possible
 
 BUCKETS = 1 << 18
 STOPS = re.compile(r"[.!?\n。！？]+")
@@ -270,15 +271,14 @@ def packed_numbers(x: np.ndarray, each: np.ndarray) -> pa.Array:
 
 #: Gradients are added up in this fraction of one, as whole numbers, so that their order doesn't matter.
 FINE = 2.0**40
-#: Instances of a block, on average, and the numbers of a gradient that are added up together.
-BLOCK, SLICE = 2_000_000, 1 << 15
+#: Instances of a block, on average, the blocks of a file, and the numbers of a gradient that are added up together.
+BLOCK, IN_FILE, SLICE = 500_000, 4, 1 << 15
 
 
 def refit(docs: DataFrame, known: DataFrame, counts: dict[int, int], start: tuple[np.ndarray, float], *, rounds: tuple[int, ...]) -> tuple[np.ndarray, float]:
     """The model of all labelled documents, by turns of so many rounds of descent from start."""
-    spark = docs.sparkSession
     # As in the first fit, the smallest of the texts with one id.
-    own = docs.select("doc_id", "text").join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    own = labelled_rows(docs, known, sum(counts.values())).join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     bags = settled(bagged(own), "toxic-bags")
     sizes = {r["y"]: r for r in bags.groupBy("y").agg(F.count("*").alias("docs"), F.sum(F.length("n")).alias("sentences"), F.sum(F.length("f")).alias("instances")).collect()}
     if len(sizes) < 2:  # no document of one class
@@ -317,6 +317,15 @@ def refit(docs: DataFrame, known: DataFrame, counts: dict[int, int], start: tupl
     return out, b
 
 
+def labelled_rows(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """doc_id and text of the rows whose id is among the n known ones, and of few others: only these are shuffled to their labels."""
+    own = docs.select("doc_id", "text")
+    if own.schema["doc_id"].dataType != known.schema["doc_id"].dataType:  # equal ids may have different hashes
+        return own
+    blocks = blocks_for(n)
+    return possible(own, "doc_id", bloom(known, "doc_id", blocks), blocks)
+
+
 def held_by(bags: DataFrame) -> np.ndarray:
     """For each class and bucket, how many documents hold it."""
 
@@ -329,7 +338,8 @@ def held_by(bags: DataFrame) -> np.ndarray:
         y, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[y, bucket], pa.int64())], names=["y", "bucket", "c"])
 
-    rows = bags.mapInArrow(eased(run), "y int, bucket int, c bigint").groupBy("y", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    with tidy(bags.sparkSession):
+        rows = bags.mapInArrow(eased(run), "y int, bucket int, c bigint").groupBy("y", "bucket").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros((2, BUCKETS), dtype=np.int64)
     out[rows.column("y").to_numpy(), rows.column("bucket").to_numpy()] = rows.column("c").to_numpy()
     return out
@@ -354,7 +364,7 @@ def packed(bags: DataFrame, place: np.ndarray, n_blocks: int) -> DataFrame:
         return pa.table({k: packed_numbers(x, np.array([len(x)])) for k, x in zip("yfnd", whole)})
 
     cut = bags.withColumn("h", F.xxhash64("doc_id")).mapInArrow(eased(less), f"h bigint, doc_id {kind}, y int, f binary, n binary")
-    return cut.withColumn("block", F.pmod("h", F.lit(n_blocks))).repartition(n_blocks, "block").groupBy("block").applyInArrow(pack, "y binary, f binary, n binary, d binary")
+    return cut.withColumn("block", F.pmod("h", F.lit(n_blocks))).repartition(-(-n_blocks // IN_FILE), "block").groupBy("block").applyInArrow(pack, "y binary, f binary, n binary, d binary")
 
 
 def unpacked(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, Bags]:
@@ -396,7 +406,8 @@ def summed(blocks: DataFrame, scale: np.ndarray, v: np.ndarray, b: float) -> tup
         out = np.sum([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("g")], axis=0, dtype=np.int64)
         return pa.table({"at": rows.column("at").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
 
-    rows = blocks.mapInArrow(run, "at int, g binary").groupBy("at").applyInArrow(add, "at int, g binary").toArrow().sort_by("at")
+    with tidy(blocks.sparkSession):
+        rows = blocks.mapInArrow(eased(run), "at int, g binary").groupBy("at").applyInArrow(add, "at int, g binary").toArrow().sort_by("at")
     shared.destroy()
     total = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("g")]) / FINE
     return total[:-1], float(total[-1])

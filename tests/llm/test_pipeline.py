@@ -52,3 +52,22 @@ def test_toxicity_stage_learns_from_every_labelled_text(spark, tmp_path):
     docs.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
     kept = corpus_pipeline.clean(spark, docs.drop("toxic"), str(tmp_path))
     assert kept.count() == len(rows) - len(order)
+
+
+def test_stages_hold_little_at_a_time(spark, docs, labels, tmp_path, monkeypatch):
+    """Every stage that runs Python bounds its batches by itself; runs and blocks are the pipeline's own and change no result."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    own, name = docs.select("doc_id", "text", "lang", "source", "n_chars"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, got = spark.conf.get(name), {}
+    try:
+        for stage in (corpus_pipeline.clean, corpus_pipeline.good, corpus_pipeline.distinct, corpus_pipeline.encoded):
+            spark.conf.set(name, "64000000")
+            got[stage.__name__] = stage(spark, own, str(tmp_path))
+            assert int(spark.conf.get(name).rstrip("bB")) <= 2_000_000
+        monkeypatch.setattr(corpus_pipeline, "RUN_CHARS", 10_000)
+        monkeypatch.setattr(corpus_pipeline, "BLOCK_CHARS", 10_000)
+        for stage in (corpus_pipeline.good, corpus_pipeline.encoded):
+            again = stage(spark, own, str(tmp_path))
+            assert sorted(map(str, again.collect())) == sorted(map(str, got[stage.__name__].collect()))
+    finally:
+        spark.conf.set(name, before)

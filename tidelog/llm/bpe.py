@@ -168,7 +168,7 @@ def batch_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
+def runs(docs: DataFrame, pattern: str, shards: int, run_chars: int) -> DataFrame:
     """A run's texts (docs, sizes: pieces of each, numbers) and its pieces by shard (sizes: bytes of each, numbers, pieces); named by run."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -218,7 +218,7 @@ def runs(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
                 ids.append(doc)
                 codes.append(np.fromiter(map(own.__getitem__, found), np.int32, len(found)))
                 chars += len(text)
-                if chars >= RUN_CHARS:
+                if chars >= run_chars:
                     yield from told()
                     name, own, ids, codes, chars = name + 1, Numbers(), [], [], 0
         if ids:
@@ -281,12 +281,12 @@ def by_run(told: DataFrame, chars: int) -> DataFrame:
     return spark.table(name)
 
 
-def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids: the text's token ids as packed little-endian unsigned 32-bit integers."""
+def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", run_chars: int | None = None) -> DataFrame:
+    """doc_id, n_tokens and ids: the text's token ids as packed little-endian unsigned 32-bit integers. Shorter runs (RUN_CHARS, if not given) take less memory and more disk."""
     bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    told = runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS)))
+    told = runs(own, pattern, max(1, -(-total_chars(docs, text_col) // SHARD_CHARS)), run_chars or RUN_CHARS)
     held = by_run(told.withColumn("part", F.when(F.col("shard").isNull(), "texts").otherwise("pieces")), total_chars(docs, text_col))
     known = settled(answers(held.where("part = 'pieces'"), ranks, pattern), "bpe-pieces")
     texts = held.where("part = 'texts'").select("run", "docs", "sizes", "numbers")

@@ -192,9 +192,9 @@ def log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     return p.select("g", F.log10("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, *, keep: tuple[Column, ...] = (), with_text: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, *, keep: tuple[Column, ...] = (), with_text: bool = False, block_chars: int = 24_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The kept columns (with text, if wanted), n_chars and perplexity; the model is fitted on the texts of all trusted ids."""
-    own = blocks.blocked(docs, *keep, F.col(id_col).alias("__id"), text_col=text_col, chars=24_000_000)
+    own = blocks.blocked(docs, *keep, F.col(id_col).alias("__id"), text_col=text_col, chars=block_chars)
     # The ids meet the trusted ones without their texts.
     known = materialize(own.select("block", "__id").join(trusted.select(F.col("doc_id").alias("__id")), "__id", "left_semi"), "kn-known")
     wanted = settled(requests(own, known), "kn-requests")
@@ -231,7 +231,7 @@ def limits(scored: DataFrame, trusted: DataFrame, *, quantile: float, enough: in
     return runs.groupBy("lang_key").agg((F.exp(F.min("step") / 1000) * margin).alias("most"))
 
 
-def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (), quantile: float = 0.99, margin: float = 1.05, noise: float = 2.0, enough: int = 30, lang_col: str = "lang") -> DataFrame:
+def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (), quantile: float = 0.99, margin: float = 1.05, noise: float = 2.0, enough: int = 30, lang_col: str = "lang", block_chars: int = 24_000_000) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and kept for each document, and the columns to carry (``text`` if named; null comes back empty).
 
     The mean over n characters strays as 1 / sqrt(n): the limit is widened by exp(noise / sqrt(n)), which keeps short clean texts.
@@ -240,7 +240,7 @@ def kn_quality(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = (
     trusted = materialize(learnable(labels, "quality").where("y = 1").select("doc_id"), "kn-trusted")
     key = F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit(""))
     others = [F.col(c).alias(f"own_{c}") for c in carry if c != "text"]
-    scored = perplexities(docs, trusted, keep=(F.col("doc_id").alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("lang_key"), *others), with_text="text" in carry)
+    scored = perplexities(docs, trusted, keep=(F.col("doc_id").alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("lang_key"), *others), with_text="text" in carry, block_chars=block_chars)
     scored = materialize(scored, "kn-scores")
     most = materialize(limits(scored, trusted, quantile=quantile, enough=enough, margin=margin), "kn-limits")
     other = most.where("lang_key IS NULL").first()  # one row at most

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -180,6 +181,34 @@ def test_toxicity_shuffles_labelled_texts_only(spark, monkeypatch):
     assert labelled_rows(d, few.withColumn("doc_id", F.col("doc_id").cast("int")), 900).count() == 3000
 
 
+def test_toxicity_rounds_take_few_tasks(spark):
+    """However many partitions shuffles have, a round's gradients are added up by few tasks: the driver keeps a record of each."""
+    rng = np.random.default_rng(3)
+    schema = "y binary, f binary, n binary, d binary"
+    place = lambda n: rng.integers(0, 70_000, n)
+    rows = [tuple(np.asarray(x, "<i4").tobytes() for x in ([0, 1], place(9), [2, 3, 4], [1, 2])) for _ in range(24)]
+    v, scale = rng.normal(size=70_000), np.array([0.5, 0.25])
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, x in names.items():
+            spark.conf.set(k, x)
+        spark.sparkContext.setJobGroup("rounds", "")
+        grad, bias = toxicity.summed(spark.createDataFrame(rows, schema).repartition(6), scale, v, 0.5)
+        status = spark.sparkContext.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup("rounds") for s in status.getJobInfo(j).stageIds}
+        tasks = sum(status.getStageInfo(s).numTasks for s in stages)
+        assert 0 < tasks < 64
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    # To the bit what the blocks give one by one, in any order.
+    each = [toxicity.slopes([bags], y, scale[y], v, 0.5) for y, bags in (toxicity.unpacked(pa.RecordBatch.from_pylist([dict(zip("yfnd", r, strict=True))]), 0) for r in rows)]
+    want = sum(np.rint(np.append(*x) * toxicity.FINE).astype(np.int64) for x in each) / toxicity.FINE
+    assert (grad == want[:-1]).all() and bias == want[-1]
+
+
 def test_toxicity_takes_any_id_and_chooses_by_content(spark):
     d, l = planted(spark)
     name = F.concat(F.lit("k"), F.col("doc_id").cast("string"))

@@ -9,7 +9,7 @@ in hash order (both are parameters; rows are taken whole, and one that doesn't f
 use half the words, and what the other doesn't need; eight characters count as a word at least); class weights restore the labelled proportions. If rows are left out, it
 is only where the descent over all labelled documents starts. These lie in blocks. Each turn takes the gradient over all of them to find the words that have a weight
 or deserve one, writes the documents' sentences with these words alone, and descends on them; each round is one job that adds up the blocks' gradients in whole numbers
-(reruns agree to the bit), and the driver sees sums of 2^18 numbers at most. ``train`` is the first fit alone. Scoring is a map over all whole texts without
+(reruns agree to the bit), and the driver sees ``ADDERS`` sums of 2^18 numbers at most. ``train`` is the first fit alone. Scoring is a map over all whole texts without
 a shuffle; the weights (2^18 doubles, fixed) are broadcast.
 
 Edge cases: null and empty texts have no sentence and get the score of a single empty one; documents with null, unknown
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, bounded_batches, dropped, eased, settled, tidy
+from .shared import KEPT, bounded_batches, dropped, eased, give_back, settled, tidy
 from .url_filter import blocks_for, bloom, possible
 
 BUCKETS = 1 << 18
@@ -209,6 +209,7 @@ def train_all(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_w
     """Fit on all labelled rows for which ``usable`` (over doc_id) holds; the bounds are those of the fit it starts from."""
     known = settled(usable_labels(labels, usable), "toxic-known")
     model, counts, whole = first_fit(docs, known, fit_rows=fit_rows, fit_words=fit_words)
+    give_back()
     if not whole:
         model = refit(docs, known, counts, model, rounds=rounds)
     dropped(known)
@@ -273,6 +274,8 @@ def packed_numbers(x: np.ndarray, each: np.ndarray) -> pa.Array:
 FINE = 2.0**40
 #: Instances of a block, on average, the blocks of a file, and the numbers of a gradient that are added up together.
 BLOCK, IN_FILE, SLICE = 500_000, 4, 1 << 15
+#: Tasks that add up a round's gradients before the driver does. There are many rounds, and the driver's JVM keeps a record of every task.
+ADDERS = 4
 
 
 def refit(docs: DataFrame, known: DataFrame, counts: dict[int, int], start: tuple[np.ndarray, float], *, rounds: tuple[int, ...]) -> tuple[np.ndarray, float]:
@@ -402,17 +405,32 @@ def summed(blocks: DataFrame, scale: np.ndarray, v: np.ndarray, b: float) -> tup
         cuts = range(0, len(total), SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int32()), pa.array([total[i : i + SLICE].tobytes() for i in cuts], pa.binary())], names=["at", "g"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        out = np.sum([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("g")], axis=0, dtype=np.int64)
-        return pa.table({"at": rows.column("at").slice(0, 1), "g": pa.array([out.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = added(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["at", "g"])
 
+    # Without a key: as many tasks as add up, however many partitions the session's shuffles have.
     with tidy(blocks.sparkSession):
-        rows = blocks.mapInArrow(eased(run), "at int, g binary").groupBy("at").applyInArrow(add, "at int, g binary").toArrow().sort_by("at")
+        rows = blocks.mapInArrow(eased(run), "at int, g binary").repartition(ADDERS).mapInArrow(eased(add), "at int, g binary").toArrow()
     shared.destroy()
-    total = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in rows.column("g")]) / FINE
+    sums = added(rows.to_batches())
+    total = np.concatenate([sums[at] for at in sorted(sums)]) / FINE
     return total[:-1], float(total[-1])
 
 
+def added(batches: Iterable[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    """The sum of each slice of the gradients in columns at and g."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, g in zip(batch.column("at").to_pylist(), batch.column("g"), strict=True):
+            own = np.frombuffer(g.as_buffer(), "<i8")
+            if at in total:
+                total[at] += own
+            else:
+                total[at] = own.copy()
+    return total
+
+
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, n_sentences and offending: (start, end, score) of sentences at or above the threshold, in characters."""
     weights, bias = model
